@@ -20,15 +20,13 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
-#: Each rule reads a rate: at most ``good`` votes good, above ``bad`` votes bad, between them it abstains.
-RULES = (
-    ("symbols", 0.02, 0.10),  # symbols per word
-    ("dup_lines", 0.10, 0.30),  # repeated lines per line with a word
-    ("repeats", 0.05, 0.20),  # words in repeated windows per word
-    ("shouting", 0.30, 0.60),  # capitals per ASCII letter
-    ("exclaims", 0.05, 0.25),  # exclamation marks per word
-    ("word_length", 4.0, 7.0),  # distance of the mean word length from 6 characters
-)
+#: Rules that vote bad above a rate and abstain else: symbols per word, repeated lines per line with a word, words in
+#: repeated windows per word, capitals per ASCII letter, exclamation marks per word, and the distance of the mean word
+#: length from 6 characters.
+FAULTS = (("symbols", 0.10), ("dup_lines", 0.50), ("repeats", 0.30), ("shouting", 0.60), ("exclaims", 0.25), ("word_length", 7.0))
+#: The rule that votes good if the share of words that end a sentence lies in these bounds, and abstains else.
+PROSE = (0.01, 0.40)
+N_RULES = len(FAULTS) + 1
 
 
 def measure(run: Run) -> dict[str, np.ndarray]:
@@ -63,6 +61,8 @@ def measure(run: Run) -> dict[str, np.ndarray]:
     steps = np.bincount(word, minlength=len(run.starts) + 1).astype(np.int64)
     steps[: len(run.starts) + 1] -= np.bincount(word + WINDOW, minlength=len(run.starts) + 1)[: len(run.starts) + 1]
     out["n_repeat_words"] = sum_by((np.cumsum(steps)[:-1] > 0).astype(np.int64), run.word_offs)
+    stops = np.isin(run.buf[run.ends - 1], (33, 46, 63))
+    out["_stops"] = sum_by(stops.astype(np.int64), run.word_offs)
     out["_upper"], out["_lower"], out["_exclaims"] = count(_UPPER[run.buf]), count(_LOWER[run.buf]), count(run.buf == 33)
     return out
 
@@ -72,7 +72,8 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     words = np.maximum(m["n_words"], 1)
     letters = np.maximum(m["_upper"] + m["_lower"], 1)
     rates = (m["n_symbols"] / words, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), m["n_repeat_words"] / words, m["_upper"] / letters, m["_exclaims"] / words, np.abs(m["word_chars"] / words - 6))
-    out = np.stack([np.where(x <= good, 1, np.where(x > bad, -1, 0)) for x, (_, good, bad) in zip(rates, RULES, strict=True)], 1).astype(np.int8)
+    stops = m["_stops"] / words
+    out = np.stack([*(-(x > bad).astype(np.int8) for x, (_, bad) in zip(rates, FAULTS, strict=True)), ((stops >= PROSE[0]) & (stops <= PROSE[1])).astype(np.int8)], 1)
     out[m["n_words"] == 0] = 0
     return out
 
@@ -83,30 +84,47 @@ def base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Log odds of good: of no votes, and what each rule's good or bad vote adds."""
+    """Log odds of good: before any vote, and what each rule's vote (bad, abstains, good) adds."""
 
     prior: float
-    good: tuple[float, ...]
-    bad: tuple[float, ...]
+    odds: tuple[tuple[float, float, float], ...]
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        odds = self.prior + (v == 1) @ np.array(self.good) + (v == -1) @ np.array(self.bad)
+        odds = np.full(len(v), self.prior)
+        for rule, each in enumerate(self.odds):
+            odds += np.array(each)[v[:, rule] + 1]
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+#: What rules are believed to do before any text is seen, as chances of (bad vote, abstaining, good vote) on good and on bad
+#: texts, and the weight of this belief against the texts seen.  Rules look for unlike faults, so a bad text fails few.
+BELIEF, BELIEF_WEIGHT = np.array([[0.001, 0.5, 0.499], [0.2, 0.5, 0.3]]), 0.1
+#: The most that a rule's bad votes are thought to err: the chance of one on a good text.
+MOST_FALSE_ALARMS = 0.002
+
+
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
     """Expectation-maximisation over distinct vote patterns: the prior, and each rule's chance of each vote on good and on bad texts.
 
-    Starts from the majority of the votes, bad where any rule says so against no majority; counts are smoothed by one of
-    each kind, which keeps a rule that never votes neutral.  Without votes the prior alone remains."""
-    n_rules = patterns.shape[1]
-    good = np.where(patterns.sum(1) > n_rules / 2, 0.9, 0.1) if len(patterns) else np.zeros(0)
+    Starts from texts without a bad vote as good.  The belief and the bound on false alarms hold the two kinds of texts to
+    their names (EM alone may take any two groups that differ for them); a rule that never votes stays nearly neutral.  Without votes the belief
+    alone remains."""
+    n_rules, total = patterns.shape[1], max(float(counts.sum()), 1.0)
+    good = np.where((patterns == -1).any(1), 0.1, 0.9) if len(patterns) else np.zeros(0)
     for _ in range(rounds):
         weight = np.stack([good * counts, (1 - good) * counts])  # good, bad
-        prior = (weight.sum(1) + 1) / (counts.sum() + 2)
-        chance = np.array([[[(w[patterns[:, r] == vote].sum() + 1) / (w.sum() + 3) for vote in (1, -1)] for r in range(n_rules)] for w in weight])
-        model = VoteModel(float(np.log(prior[0] / prior[1])), tuple(np.log(chance[0, :, 0] / chance[1, :, 0])), tuple(np.log(chance[0, :, 1] / chance[1, :, 1])))
-        now = model.posterior(patterns) if len(patterns) else good
+        prior = (weight.sum(1) + BELIEF_WEIGHT * total * np.array([0.9, 0.1])) / (counts.sum() + BELIEF_WEIGHT * total)
+        chance = np.empty((2, n_rules, 3))
+        for kind in (0, 1):
+            belief = BELIEF_WEIGHT * total * prior[kind]
+            for v in range(3):
+                chance[kind, :, v] = weight[kind] @ (patterns == v - 1) + belief * BELIEF[kind, v]
+        chance /= chance.sum(2, keepdims=True)
+        chance[0, :, 0] = np.minimum(chance[0, :, 0], MOST_FALSE_ALARMS)
+        chance[1, :, 0] = np.maximum(chance[1, :, 0], 10 * MOST_FALSE_ALARMS)
+        odds = np.log(chance[0] / chance[1])
+        model = VoteModel(float(np.log(prior[0] / prior[1])), tuple(map(tuple, odds.tolist())))
+        now = model.posterior(patterns)
         if len(good) == 0 or np.abs(now - good).max() < 1e-9:
             break
         good = now
@@ -114,8 +132,8 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Vo
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base = 3 ** np.arange(len(RULES), dtype=np.int64)
-    total = np.zeros(3 ** len(RULES), np.int64)
+    base = 3 ** np.arange(N_RULES, dtype=np.int64)
+    total = np.zeros(3**N_RULES, np.int64)
     for batch in batches:
         for run in runs(batch.column(0)):
             total += np.bincount((votes(measure(run)) + 1) @ base, minlength=len(total))
@@ -124,11 +142,11 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, text: str = "text") -> VoteModel:
-    """The vote model of docs: vote patterns of all texts are counted in Spark (3^6 at most), EM runs on the counts."""
+    """The vote model of docs: vote patterns of all texts are counted in Spark (3^7 at most), EM runs on the counts."""
     found = docs.select(text).mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     found = sorted((r["pattern"], r["n"]) for r in found)
     code = np.array([p for p, _ in found], np.int64).reshape(-1, 1)
-    return fit_votes(code // 3 ** np.arange(len(RULES)) % 3 - 1, np.array([n for _, n in found], np.float64))
+    return fit_votes(code // 3 ** np.arange(N_RULES) % 3 - 1, np.array([n for _, n in found], np.float64))
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
