@@ -43,17 +43,6 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def semi_join(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of big whose key is in ids (distinct, one column, already cut).
-
-    ids are counted first: up to BROADCAST_ROWS they are broadcast, so that big isn't shuffled; beyond, both sides are shuffled."""
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    else:
-        ids = ids.hint("merge")
-    return big.join(ids, key, "left_semi")
-
-
 def bucket_of(key: Column, splitters: list) -> Column:
     """The number of splitters (ascending) that are <= key, by a two-level search; null keys count as least."""
     if not splitters:
@@ -90,4 +79,4 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "id long, component long")
 
 
-__all__ = ["BROADCAST_ROWS", "bucket_of", "components", "cut", "new_path", "semi_join", "shared_dir", "write_table"]
+__all__ = ["BROADCAST_ROWS", "bucket_of", "components", "cut", "new_path", "shared_dir", "write_table"]

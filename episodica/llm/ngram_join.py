@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import components, cut, semi_join, write_table
+from episodica.llm.common import BROADCAST_ROWS, components, cut
 from episodica.llm.textbytes import _SLOT_CODES, LOWER, Run, mix, runs, spread, sum_by, windows
 
 #: Texts that share a hash from which it counts as frequent, and frequent hashes that are told to tasks at most (8 MB).
@@ -28,6 +28,8 @@ from episodica.llm.textbytes import _SLOT_CODES, LOWER, Run, mix, runs, spread,
 FREQUENT, MOST_FREQUENT = 64, 1 << 20
 #: Postings that a task gathers, and members of a tile that one block compares.
 TASK_POSTINGS, BLOCK = 1 << 20, 1024
+#: Members that are compared with a pivot in one group.
+GROUP = 512
 
 
 class Sets:
@@ -64,9 +66,9 @@ class Sets:
         #: The same for equal sets, whatever the text.
         self.keys = mix(sum_by(mix(self.hashes).view(np.int64), self.offs).view(np.uint64) + self.n.astype(np.uint64)).view(np.int64)
 
-    def prefixes(self, t100: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all prefixes, their texts, and whether each is frequent."""
-        hashes, doc, often = self.hashes, self.doc, np.zeros(len(self.hashes), bool)
+    def prefixes(self, t100: int, tasks: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of all prefixes, their texts, and whether each is frequent."""
+        hashes, doc, often = posting(self.hashes, tasks), self.doc, np.zeros(len(self.hashes), bool)
         if len(frequent) and len(hashes):
             often = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
             if often.any():
@@ -115,149 +117,197 @@ def _documents(shingle: int):
     return measure
 
 
+def posting(hashes: np.ndarray, tasks: int) -> np.ndarray:
+    """What stands for a hash in postings: the task that gathers it and its low 40 bits, which tell the hashes of one task apart.
+
+    Two hashes that fall together (about one pair in a task of 2^20) only make a tile larger."""
+    task = (hashes >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)
+    return task << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
+
+
+def _short(postings: np.ndarray) -> bytes:
+    return np.ascontiguousarray(postings).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(len(names))], names=names)
+
+
+def _slices(values: np.ndarray) -> zip:
+    """Start and end of each run of equal values."""
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1)) if len(values) else np.zeros(0, np.int64)
+    return zip(first.tolist(), [*first[1:].tolist(), len(values)], strict=True) if len(first) else zip((), (), strict=True)
+
+
 def _counts(shingle: int, t100: int, tasks: int):
-    """Distinct prefix hashes of each batch with their texts' counts, a row for each range of hashes."""
+    """Distinct prefix postings of each batch with their texts' counts, a row for each task that gathers them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Sets(run, shingle).prefixes(t100, np.zeros(0, np.uint64))[0] for run in runs(batch.column(0))]
+            found = [Sets(run, shingle).prefixes(t100, tasks, np.zeros(0, np.uint64))[0] for run in runs(batch.column(0))]
             values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-            task = _task_of(values, tasks)
-            first = np.flatnonzero(np.diff(task, prepend=-1))
-            last = np.append(first[1:], len(task))
-            rows = [(int(task[a]), values[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["task", "hashes", "counts"])
+            task, counts = (values >> np.uint64(40)).astype(np.int64), counts.astype(np.uint32)
+            yield _rows([(int(task[a]), _short(values[a:b]), counts[a:b].tobytes()) for a, b in _slices(task)], ["task", "hashes", "counts"])
 
     return gather
 
 
-def _task_of(hashes: np.ndarray, tasks: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
-
-
 def _frequent(least: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = [], []
+        values, counts = [], []
         for batch in batches:
-            hashes += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
-        if hashes:
-            values, back = np.unique(np.concatenate(hashes), return_inverse=True)
+            for task, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values.append(_long(h) | np.uint64(task << 40))
+                counts.append(np.frombuffer(n, np.uint32))
+        if values:
+            found, back = np.unique(np.concatenate(values), return_inverse=True)
             total = np.bincount(back, np.concatenate(counts))
             at = np.flatnonzero(total >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(total[at].astype(np.int64))], names=["hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(total[at].astype(np.int64))], names=["hash", "n"])
 
     return find
 
 
 def _postings(shingle: int, t100: int, tasks: int, frequent):
-    """Prefix postings of each batch, a row for each range of hashes; those of frequent hashes, dealt by text, to ranges of their own."""
+    """Prefix postings of each batch, a row for each task that gathers them; those of frequent ones, dealt by text, go to tasks of their own.
+
+    A row holds the postings of a text side by side: for each such text its key, size and number of postings."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
+        often, names = frequent.value, ["task", "hashes", "keys", "sizes", "counts"]
         for batch in batches:
-            parts = []
+            parts, texts = [], 0
             for run in runs(batch.column(0)):
                 s = Sets(run, shingle)
                 _, one = np.unique(s.keys, return_index=True)  # one text of each class
                 first = np.zeros(run.n, bool)
                 first[one] = True
-                hashes, doc, is_often = s.prefixes(t100, often)
+                hashes, doc, is_often = s.prefixes(t100, tasks, often)
                 at = np.flatnonzero(first[doc])
-                parts.append((hashes[at], s.keys[doc[at]], s.n[doc[at]].astype(np.int32), is_often[at]))
+                doc = doc[at]
+                parts.append((hashes[at], s.keys[doc], s.n[doc].astype(np.int32), is_often[at], doc + texts))
+                texts += run.n
             if not parts:
                 continue
-            hashes, keys, sizes, is_often = (np.concatenate(x) for x in zip(*parts, strict=True))
-            task = np.where(is_often, tasks + _task_of(mix(keys.view(np.uint64)), tasks), _task_of(hashes, tasks))
+            hashes, keys, sizes, is_often, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            task = np.where(is_often, tasks + (mix(keys.view(np.uint64)) % np.uint64(tasks)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64))
             order = np.argsort(task, kind="stable")
-            task = task[order]
-            first = np.flatnonzero(np.diff(task, prepend=-1))
-            last = np.append(first[1:], len(task))
-            hashes, keys, sizes = hashes[order], keys[order], sizes[order]
-            rows = [(int(task[a]), hashes[a:b].tobytes(), keys[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["task", "hashes", "keys", "sizes"])
+            task, hashes, keys, sizes, doc = task[order], hashes[order], keys[order], sizes[order], doc[order]
+            rows = []
+            for a, b in _slices(task):
+                first = np.flatnonzero(np.diff(doc[a:b], prepend=-1)) + a
+                counts = np.diff(np.append(first, b)).astype(np.uint32)
+                code = hashes[a:b].tobytes() if task[a] >= tasks else _short(hashes[a:b])
+                rows.append((int(task[a]), code, keys[first].tobytes(), sizes[first].tobytes(), counts.tobytes()))
+            yield _rows(rows, names)
 
     return gather
 
 
 def _tiles(t100: int, tasks: int):
-    """Members of tiles: each class in the tile of its own size band and in that of the next; tiles that can't hold a pair are left out."""
+    """Members of tiles: each class in the tile of its own size band and in that of the next.
+
+    Tiles that can't hold a pair are left out.  A tile is named by its members, so that the many tiles that alike texts
+    share become one; those of frequent postings, which several tasks hold parts of, are named by posting and band."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, often = [], []
         for batch in batches:
-            for task, h, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (often if task >= tasks else parts).append((np.frombuffer(h, np.uint64), np.frombuffer(k, np.int64), np.frombuffer(n, np.int32)))
-        for rows, keep_all in ((parts, False), (often, True)):
+            for task, h, k, n, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                counts = np.frombuffer(c, np.uint32)
+                code = np.frombuffer(h, np.uint64) if task >= tasks else _long(h) | np.uint64(task << 40)
+                (often if task >= tasks else parts).append((code, np.repeat(np.frombuffer(k, np.int64), counts), np.repeat(np.frombuffer(n, np.int32), counts)))
+        for rows, whole in ((parts, True), (often, False)):
             if not rows:
                 continue
             hashes, keys, sizes = (np.concatenate(x) for x in zip(*rows, strict=True))
-            if not keep_all:
-                values, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-                at = counts[back] > 1
+            if whole:
+                order = np.argsort(hashes)
+                same = hashes[order][1:] == hashes[order][:-1]
+                at = order[np.append(same, False) | np.insert(same, 0, False)]
                 hashes, keys, sizes = hashes[at], keys[at], sizes[at]
             band = bands(sizes, t100).astype(np.uint64)
             both = np.concatenate([band, band + np.uint64(1)])
             tile = mix(np.concatenate([hashes, hashes]) ^ mix(both + np.uint64(0x51ED27)))
             keys, own = np.concatenate([keys, keys]), np.arange(2 * len(hashes)) < len(hashes)
-            order = np.lexsort((keys, tile))
+            order = np.lexsort((~own, keys, tile))
             tile, keys, own = tile[order], keys[order], own[order]
             new = np.ones(len(tile), bool)
             new[1:] = (tile[1:] != tile[:-1]) | (keys[1:] != keys[:-1])
             tile, keys, own = tile[new], keys[new], own[new]
-            if not keep_all:
-                first = np.flatnonzero(np.diff(tile, prepend=~tile[:1])) if len(tile) else np.zeros(0, np.int64)
+            if whole and len(tile):
+                first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
                 count = np.diff(np.append(first, len(tile)))
-                owners = np.add.reduceat(own.astype(np.int64), first) if len(first) else count
-                at = np.repeat((count > 1) & (owners > 0), count)
-                tile, keys, own = tile[at], keys[at], own[at]
+                owners = np.add.reduceat(own.astype(np.int64), first)
+                name = mix(np.add.reduceat(mix(keys.view(np.uint64) * np.uint64(2) + own), first) + count.astype(np.uint64))
+                _, once = np.unique(name, return_index=True)
+                kept = np.zeros(len(first), bool)
+                kept[once] = True
+                kept &= (count > 1) & (owners > 0)
+                at = np.repeat(kept, count)
+                tile, keys, own = np.repeat(name, count)[at], keys[at], own[at]
             yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(keys), pa.array(own)], names=["tile", "key", "own"])
 
     return deal
 
 
-def _arrays(shingle: int):
+def _bitmaps(shingle: int):
+    """key, n and bitmap of the texts whose expected class (column 1) they are of."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            expected = np.asarray(batch.column(1))
             for run in runs(batch.column(0)):
                 s = Sets(run, shingle)
-                one = np.unique(s.keys, return_index=True)[1]
-                sets = [s.hashes[s.offs[i] : s.offs[i + 1]] for i in one.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(s.keys[one]), pa.array(s.n[one].astype(np.int32)), pa.array([bitmap(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "n", "bits", "hashes"])
+                at = np.flatnonzero(s.keys == expected[run.first : run.first + run.n]).tolist()
+                bits = [bitmap(s.hashes[s.offs[i] : s.offs[i + 1]]) for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array(s.keys[at], pa.int64()), pa.array(s.n[at].astype(np.int32)), pa.array(bits, pa.binary())], names=["key", "n", "bits"])
 
     return fetch
 
 
-def _pass_bound(t100: int):
-    """Pairs whose bitmaps allow the threshold."""
+def _arrays(shingle: int):
+    """The sorted array of each text of the expected class, for each of its roles: pivot of a group of comparisons (0), or member (1)."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "part", "role", "key", "hashes"]
         for batch in batches:
-            a, b, n, m = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 2, 3))
-            differ = np.zeros(len(a), np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                size = min(len(x), len(y))
-                x, y = (_fold(np.frombuffer(z, np.uint8)[None], size) for z in (x, y))
-                differ[i] = np.bitwise_count(x ^ y).sum()
-            keep = _reaches((n + m - differ) // 2, n, m, t100)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            expected = np.asarray(batch.column(1))
+            for run in runs(batch.column(0)):
+                s, out = Sets(run, shingle), []
+                for i in np.flatnonzero(s.keys == expected[run.first : run.first + run.n]).tolist():
+                    data = s.hashes[s.offs[i] : s.offs[i + 1]].tobytes()
+                    out += [(r["pivot"], r["part"], r["role"], int(s.keys[i]), data) for r in batch.column(2)[run.first + i].as_py()]
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
 
-    return check
+    return fetch
 
 
 def _intersect(t100: int):
-    """Pairs whose sorted arrays share enough."""
+    """Pairs of pivot and member whose arrays share enough; rows come ordered by pivot, part and role."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # two ascending runs
-                keep.append(bool(_reaches(int((both[1:] == both[:-1]).sum()), len(x), len(y), t100)))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            a, b = [], []
+            for group, role, key, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if role == 0:
+                    pivot, held = group, np.frombuffer(data, np.uint64)
+                elif pivot == group:
+                    other = np.frombuffer(data, np.uint64)
+                    both = np.concatenate([held, other])
+                    both.sort(kind="stable")  # two ascending runs
+                    if _reaches(int((both[1:] == both[:-1]).sum()), len(held), len(other), t100):
+                        a.append(group)
+                        b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return check
 
@@ -315,14 +365,25 @@ def _across(t100: int):
     return check
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, t100: int, bound: bool) -> DataFrame:
-    """The pairs (a, b), distinct, that reach the threshold."""
-    side = lambda x, *columns: arrays.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    if bound:
-        both = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-        pairs = both.mapInArrow(_pass_bound(t100), "a long, b long")
-    both = pairs.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return both.mapInArrow(_intersect(t100), "a long, b long").distinct()
+def _of_classes(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """The text of one document of each wanted class, with wanted's columns: (text, key, ...)."""
+    ids = cut(wanted.join(classes.select("key", F.col("any_id").alias("_id")), "key"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+    return docs.join(ids, "_id").select("text", *wanted.columns)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t100: int, shingle: int) -> DataFrame:
+    """The pairs (a, b), distinct, that reach the threshold, a being the one that is compared with many.
+
+    Texts are read once more where they lie, and each array moves once for each of its pairs; a pivot of very many pairs
+    is repeated for parts of them."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"))
+    roles = dealt.select(F.col("b").alias("key"), F.struct(F.col("a").alias("pivot"), "part", F.lit(1).alias("role")).alias("r"))
+    roles = roles.union(dealt.select("a", "part").distinct().select(F.col("a").alias("key"), F.struct(F.col("a").alias("pivot"), "part", F.lit(0).alias("role")).alias("r")))
+    roles = roles.groupBy("key").agg(F.collect_list("r").alias("roles"))
+    arrays = _of_classes(docs, roles, classes).mapInArrow(_arrays(shingle), "pivot long, part int, role int, key long, hashes binary")
+    return arrays.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").mapInArrow(_intersect(t100), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,41 +400,39 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     each = cut(docs.mapInArrow(_documents(shingle), "doc_id long, n_shingles long, key long"))
     null_id = F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
     filled = each.where("n_shingles > 0")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("any_id"), F.min(null_id).alias("low"))
+    classes = cut(filled.groupBy("key").agg(F.min("doc_id").alias("any_id"), F.min(null_id).alias("low")))
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, int(total * (100 - t100) / 100) // TASK_POSTINGS)
     counted = texts.mapInArrow(_counts(shingle, t100, tasks), "task int, hashes binary, counts binary").repartitionById(tasks, "task")
     often = counted.mapInArrow(_frequent(FREQUENT), "hash long, n long").orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).select("hash").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often["hash"]).astype(np.int64).view(np.uint64)))
-    posted = texts.mapInArrow(_postings(shingle, t100, tasks, frequent), "task int, hashes binary, keys binary, sizes binary")
-    members = posted.repartitionById(2 * tasks, "task").mapInArrow(_tiles(t100, tasks), "tile long, key long, own boolean")
-    members = cut(members)
-
-    involved = members.select("key").distinct().join(classes, "key").select(F.col("any_id").alias("_id")).distinct()
-    arrays = write_table(semi_join(docs, cut(involved), "_id").select("text").mapInArrow(_arrays(shingle), "key long, n int, bits binary, hashes binary"), "sets")
+    posted = texts.mapInArrow(_postings(shingle, t100, tasks, frequent), "task int, hashes binary, keys binary, sizes binary, counts binary")
+    members = cut(posted.repartitionById(2 * tasks, "task").mapInArrow(_tiles(t100, tasks), "tile long, key long, own boolean").distinct())
 
     links, tested, labels = None, None, None
     for _ in range(2):  # each member against one pivot of its tiles
         labelled = members.withColumn("comp", F.col("key")) if labels is None else members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         pivots = labelled.where("own").groupBy("tile").agg(F.min(F.struct("comp", "key")).alias("p"))
-        met = labelled.join(pivots, "tile").where("comp <> p.comp").groupBy("key").agg(F.min("p.key").alias("p"))
-        pairs = met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        met = labelled.join(pivots, "tile").where("comp <> p.comp").groupBy(F.col("key").alias("b")).agg(F.min("p.key").alias("a"))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = _verified(pairs, arrays, t100, bound=True)
-        links = cut(found if links is None else links.union(found))
+            met = met.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(met.select("a", "b"))
+        found = cut(_verified(docs, pairs, classes, t100, shingle))
+        links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links).select(F.col("id").alias("key"), F.col("component").alias("comp"))
     labelled = cut(members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
     mixed = labelled.groupBy("tile").agg(F.count("*").alias("_n"), F.max("own").alias("_own"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_own and _low < _high")
     mixed = mixed.select("tile", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = labelled.join(mixed, "tile").join(arrays.select("key", "n", "bits").dropDuplicates(["key"]), "key")
+    rows = cut(labelled.join(mixed, "tile"))
+    maps = _of_classes(docs, rows.select("key").distinct(), classes).mapInArrow(_bitmaps(shingle), "key long, n int, bits binary").dropDuplicates(["key"])
+    rows = rows.join(maps, "key")
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("tile", F.least("_block", "_other").alias("t0"), F.greatest("_block", "_other").alias("t1"), "key", "comp", "n", "own", (F.col("_block") > F.col("_other")).cast("int").alias("side"), (F.col("_block") == F.col("_other")).alias("same"), "bits")
     rows = rows.repartition("tile", "t0", "t1").sortWithinPartitions("tile", "t0", "t1")
-    pairs = cut(rows.mapInArrow(_across(t100), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
-    links = links.union(_verified(pairs, arrays, t100, bound=False))
+    pairs = rows.mapInArrow(_across(t100), "a long, b long").distinct()
+    pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = links.union(_verified(docs, cut(pairs), classes, t100, shingle))
     joined = components(links)
     lows = joined.join(classes, joined["id"] == classes["key"]).groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = classes.join(joined.withColumnRenamed("id", "key"), "key", "left").join(lows, "component", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
