@@ -88,8 +88,8 @@ def bands(n: np.ndarray, t100: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parities of the set's hashes in as many bits as the next power of two of its size: |A ^ B| is at least the bits that differ."""
-    bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    """Parities of the set's hashes in four to eight bits for each: |A ^ B| is at least the number of bits that differ."""
+    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else 64
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -320,7 +320,14 @@ def _across(t100: int):
         order = np.argsort(n, kind="stable")
         key, comp, n, own, side = key[order], comp[order], n[order].astype(np.int64), own[order], side[order]
         raw = rows["bits"].to_pylist()
-        maps = [np.frombuffer(raw[i], np.uint8) for i in order.tolist()]
+        raw = [raw[i] for i in order.tolist()]
+        sizes = np.array([len(x) for x in raw])  # ascending, as they follow n
+        folded = {}  # bitmaps of all that are at least so large, folded to that size
+        for size in np.unique(sizes).tolist():
+            first = int(np.searchsorted(sizes, size))
+            to = int(np.searchsorted(n, 100 * n[np.searchsorted(sizes, size, "right") - 1] // t100, "right"))
+            parts = [_fold(np.frombuffer(b"".join(raw[i:j]), np.uint8).reshape(j - i, -1), size) for i, j in _slices(sizes) if i >= first and i < to]
+            folded[size] = first, np.concatenate(parts).view(np.uint64)
         same, out = bool(rows["same"][0].as_py()), []
         to = np.searchsorted(n, 100 * n // t100, "right")
         for i in range(len(n)):
@@ -329,8 +336,8 @@ def _across(t100: int):
             if not same:
                 j = j[side[j] != side[i]]
             if len(j):
-                size = len(maps[i])
-                differ = np.array([np.bitwise_count(_fold(maps[k][None], size) ^ maps[i]).sum() for k in j.tolist()]) if len(j) < 4 else np.bitwise_count(np.concatenate([_fold(maps[k][None], size) for k in j.tolist()]) ^ maps[i]).sum(1)
+                first, maps = folded[int(sizes[i])]
+                differ = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
                 j = j[_reaches(_overlap_bound(int(n[i]), n[j], differ), n[i], n[j], t100)]
                 out.append((np.full(len(j), key[i]), key[j]))
         if not out:
@@ -409,14 +416,18 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     posted = texts.mapInArrow(_postings(shingle, t100, tasks, frequent), "task int, hashes binary, keys binary, sizes binary, counts binary")
     members = cut(posted.repartitionById(2 * tasks, "task").mapInArrow(_tiles(t100, tasks), "tile long, key long, own boolean").distinct())
 
+    # a text that others were made from has no rare hashes of its own, so its prefix lies in the most tiles: a good pivot
+    members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("tiles")), "key"))
+    best = lambda rows: rows.groupBy("tile").agg(F.max(F.struct("tiles", "key", "comp")).alias("p"))
     links, tested, labels = None, None, None
-    for _ in range(2):  # each member against one pivot of its tiles
+    for again in (False, True):  # each member against one pivot of its tiles
         labelled = members.withColumn("comp", F.col("key")) if labels is None else members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        pivots = labelled.where("own").groupBy("tile").agg(F.min(F.struct("comp", "key")).alias("p"))
-        met = labelled.join(pivots, "tile").where("comp <> p.comp").groupBy(F.col("key").alias("b")).agg(F.min("p.key").alias("a"))
+        if again:  # among those that are still apart from their tile's first pivot
+            labelled = labelled.join(best(labelled), "tile").where("comp <> p.comp").drop("p")
+        met = labelled.join(best(labelled), "tile").where("comp <> p.comp").select(F.col("key").alias("b"), F.col("p.key").alias("a"), F.col("p.tiles").alias("weight"))
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(met.select("a", "b"))
+        pairs = cut(met.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("p")).select("p.a", "b"))
         found = cut(_verified(docs, pairs, classes, t100, shingle))
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
