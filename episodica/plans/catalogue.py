@@ -19,7 +19,10 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FRAMES = "WITH f AS (SELECT user_id AS episode_index, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 LINES = "WITH x AS (SELECT l_returnflag AS dataset, unnest([0, 1, 2, 3]) AS dim, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem)"
-LINE_VECTOR = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+def line_vector():
+    return F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 EMB = "WITH x AS (SELECT vec_id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
 
@@ -40,7 +43,7 @@ def events_as_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return stats.dims(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "dataset"), LINE_VECTOR, ["dataset"])
+    return stats.dims(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "dataset"), line_vector(), ["dataset"])
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +146,7 @@ def state_bins(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, unnest(range(8)) AS dim, unnest([l_quantity, l_extendedprice, l_discount, l_tax, 0, 0, 0, 0]) AS x, unnest([1, 1, 1, 1, 0, 0, 0, 0])::BIGINT AS mask FROM lineitem")
 def pad_dims_mask(spark, d):
-    padded = F.arrays_zip(V.pad(LINE_VECTOR, 8).alias("x"), V.pad_mask(LINE_VECTOR, 8).alias("mask"))
+    padded = F.arrays_zip(V.pad(line_vector(), 8).alias("x"), V.pad_mask(line_vector(), 8).alias("mask"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(padded).alias("dim", "s")).select("l_orderkey", "l_linenumber", F.col("dim").cast("long").alias("dim"), "s.x", F.col("s.mask").cast("long").alias("mask"))
 
 
@@ -177,12 +180,13 @@ def canonical_text(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.canonical(F.concat(F.lit("  Pick UP "), F.col("s_name"), F.lit(".. "))).alias("text"))
 
 
-ENDS = F.array(F.floor(F.col("episode_length") / 3), F.floor(F.col("episode_length") / 2), F.col("episode_length") - 2)
+def third_ends():
+    return F.array(F.floor(F.col("episode_length") / 3), F.floor(F.col("episode_length") / 2), F.col("episode_length") - 2)
 
 
 @query(FRAMES + ", e AS (SELECT *, [n // 3, n // 2, n - 2] AS ends FROM f), s AS (SELECT *, least(len(list_filter(ends, lambda x: x <= frame_index)), 2) AS seg FROM e) SELECT event_id, seg::BIGINT AS segment, greatest(0, ends[seg + 1] - frame_index)::BIGINT AS steps FROM s")
 def subtask_segment(spark, d):
-    return events_as_frames(spark, d).withColumn("ends", ENDS).select("event_id", subtasks.segment_index(F.col("frame_index"), F.col("ends")).cast("long").alias("segment"), subtasks.segment_steps(F.col("frame_index"), F.col("ends")).cast("long").alias("steps"))
+    return events_as_frames(spark, d).withColumn("ends", third_ends()).select("event_id", subtasks.segment_index(F.col("frame_index"), F.col("ends")).cast("long").alias("segment"), subtasks.segment_steps(F.col("frame_index"), F.col("ends")).cast("long").alias("steps"))
 
 
 @query("SELECT n_nationkey, n_name || ' ' || lower(n_name) || ' done' AS text FROM nation")
@@ -373,18 +377,19 @@ def dct_roundtrip(spark, d):
     return df.agg(F.count("*").alias("frames"), (F.max(error) < 0.05 * 8).alias("close"))
 
 
-TOKENS = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_size").cast("long")), lambda i: (i * F.col("p_partkey") + i) % 13)
+def part_tokens():
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_size").cast("long")), lambda i: (i * F.col("p_partkey") + i) % 13)
 
 
 @query("WITH t AS (SELECT p_partkey, list_transform(range(0, p_size + 1), lambda i: (i * p_partkey + i) % 13) AS ids FROM part), s AS (SELECT *, list_position(ids, 5) AS st FROM t), g AS (SELECT *, CASE WHEN st > 0 THEN list_position(ids[st:], 7) END AS gp FROM s) SELECT p_partkey, CASE WHEN st > 0 THEN st - 1 END::BIGINT AS start, CASE WHEN st > 0 THEN CASE WHEN gp > 0 THEN st + gp - 1 ELSE st END END::BIGINT AS \"end\" FROM g")
 def span_extract(spark, d):
     s = T.span(F.col("ids"), 5, 7)
-    return table(spark, d, "part").select("p_partkey", TOKENS.alias("ids")).select("p_partkey", s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))
+    return table(spark, d, "part").select("p_partkey", part_tokens().alias("ids")).select("p_partkey", s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))
 
 
 @query("WITH t AS (SELECT p_partkey, list_transform(range(0, p_size + 1), lambda i: (i * p_partkey + i) % 13) AS ids FROM part) SELECT p_partkey, coalesce((SELECT min(i) FROM (SELECT unnest(range(1, len(ids))) AS i) WHERE ids[i] = 3 AND ids[i + 1] = 4), 0)::BIGINT - 1 AS place FROM t")
 def subsequence_search(spark, d):
-    return table(spark, d, "part").select("p_partkey", TOKENS.alias("ids")).select("p_partkey", T.find(F.col("ids"), [3, 4]).cast("long").alias("place"))
+    return table(spark, d, "part").select("p_partkey", part_tokens().alias("ids")).select("p_partkey", T.find(F.col("ids"), [3, 4]).cast("long").alias("place"))
 
 
 @query()
