@@ -30,6 +30,9 @@ FREQUENT, MOST_FREQUENT = 64, 1 << 20
 TASK_POSTINGS, BLOCK = 1 << 20, 1024
 #: Members that are compared with a pivot in one group.
 GROUP = 512
+#: Parts by low bits of the hash in which a task works through its postings, and bytes of text whose postings are
+#: gathered at once: a worker's temporary arrays are bounded by these.
+PARTS, GATHER_BYTES = 8, 1 << 23
 
 
 class Sets:
@@ -135,6 +138,10 @@ def _long(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _of_part(hashes: np.ndarray, part: int) -> np.ndarray:
+    return np.flatnonzero(hashes % np.uint64(PARTS) == np.uint64(part))
+
+
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(len(names))], names=names)
 
@@ -160,14 +167,16 @@ def _counts(shingle: int, t100: int, tasks: int):
 
 def _frequent(least: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = [], []
-        for batch in batches:
-            for task, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values.append(_long(h) | np.uint64(task << 40))
-                counts.append(np.frombuffer(n, np.uint32))
-        if values:
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        for part in range(PARTS if rows else 0):
+            values, counts = [], []
+            for task, h, n in rows:
+                value = _long(h) | np.uint64(task << 40)
+                at = _of_part(value, part)
+                values.append(value[at])
+                counts.append(np.frombuffer(n, np.uint32)[at])
             found, back = np.unique(np.concatenate(values), return_inverse=True)
-            total = np.bincount(back, np.concatenate(counts))
+            total = np.bincount(back, np.concatenate(counts), len(found))
             at = np.flatnonzero(total >= least)
             yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(total[at].astype(np.int64))], names=["hash", "n"])
 
@@ -179,11 +188,25 @@ def _postings(shingle: int, t100: int, tasks: int, frequent):
 
     A row holds the postings of a text side by side: for each such text its key, size and number of postings."""
 
+    def deal(parts: list[tuple]) -> pa.RecordBatch:
+        hashes, keys, sizes, is_often, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        task = np.where(is_often, tasks + (mix(keys.view(np.uint64)) % np.uint64(tasks)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64))
+        order = np.argsort(task, kind="stable")
+        task, hashes, keys, sizes, doc = task[order], hashes[order], keys[order], sizes[order], doc[order]
+        rows = []
+        for a, b in _slices(task):
+            first = np.flatnonzero(np.diff(doc[a:b], prepend=-1)) + a
+            counts = np.diff(np.append(first, b)).astype(np.uint32)
+            code = hashes[a:b].tobytes() if task[a] >= tasks else _short(hashes[a:b])
+            rows.append((int(task[a]), code, keys[first].tobytes(), sizes[first].tobytes(), counts.tobytes()))
+        return _rows(rows, ["task", "hashes", "keys", "sizes", "counts"])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, names = frequent.value, ["task", "hashes", "keys", "sizes", "counts"]
+        often = frequent.value
         for batch in batches:
-            parts, texts = [], 0
+            parts, texts, size = [], 0, 0
             for run in runs(batch.column(0)):
+                size += len(run.buf)
                 s = Sets(run, shingle)
                 _, one = np.unique(s.keys, return_index=True)  # one text of each class
                 first = np.zeros(run.n, bool)
@@ -193,19 +216,11 @@ def _postings(shingle: int, t100: int, tasks: int, frequent):
                 doc = doc[at]
                 parts.append((hashes[at], s.keys[doc], s.n[doc].astype(np.int32), is_often[at], doc + texts))
                 texts += run.n
-            if not parts:
-                continue
-            hashes, keys, sizes, is_often, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            task = np.where(is_often, tasks + (mix(keys.view(np.uint64)) % np.uint64(tasks)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64))
-            order = np.argsort(task, kind="stable")
-            task, hashes, keys, sizes, doc = task[order], hashes[order], keys[order], sizes[order], doc[order]
-            rows = []
-            for a, b in _slices(task):
-                first = np.flatnonzero(np.diff(doc[a:b], prepend=-1)) + a
-                counts = np.diff(np.append(first, b)).astype(np.uint32)
-                code = hashes[a:b].tobytes() if task[a] >= tasks else _short(hashes[a:b])
-                rows.append((int(task[a]), code, keys[first].tobytes(), sizes[first].tobytes(), counts.tobytes()))
-            yield _rows(rows, names)
+                if size >= GATHER_BYTES:
+                    yield deal(parts)
+                    parts, size = [], 0
+            if parts:
+                yield deal(parts)
 
     return gather
 
@@ -216,43 +231,51 @@ def _tiles(t100: int, tasks: int):
     Tiles that can't hold a pair are left out.  A tile is named by its members, so that the many tiles that alike texts
     share become one; those of frequent postings, which several tasks hold parts of, are named by posting and band."""
 
+    def tiles(rows: list[tuple], whole: bool, part: int, seen: np.ndarray) -> tuple[tuple, np.ndarray]:
+        chosen = []
+        for task, h, k, n, c in rows:
+            code = _long(h) | np.uint64(task << 40) if whole else np.frombuffer(h, np.uint64)
+            at, counts = _of_part(code, part), np.frombuffer(c, np.uint32)
+            text = np.repeat(np.arange(len(counts)), counts)[at]
+            chosen.append((code[at], np.frombuffer(k, np.int64)[text], np.frombuffer(n, np.int32)[text]))
+        hashes, keys, sizes = (np.concatenate(x) for x in zip(*chosen, strict=True))
+        if whole:
+            order = np.argsort(hashes)
+            same = hashes[order][1:] == hashes[order][:-1]
+            at = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+            hashes, keys, sizes = hashes[at], keys[at], sizes[at]
+        band = bands(sizes, t100).astype(np.uint64)
+        both = np.concatenate([band, band + np.uint64(1)])
+        tile = mix(np.concatenate([hashes, hashes]) ^ mix(both + np.uint64(0x51ED27)))
+        keys, own = np.concatenate([keys, keys]), np.arange(2 * len(hashes)) < len(hashes)
+        order = np.lexsort((~own, keys, tile))
+        tile, keys, own = tile[order], keys[order], own[order]
+        new = np.ones(len(tile), bool)
+        new[1:] = (tile[1:] != tile[:-1]) | (keys[1:] != keys[:-1])
+        tile, keys, own = tile[new], keys[new], own[new]
+        if whole and len(tile):
+            first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            count = np.diff(np.append(first, len(tile)))
+            owners = np.add.reduceat(own.astype(np.int64), first)
+            name = mix(np.add.reduceat(mix(keys.view(np.uint64) * np.uint64(2) + own), first) + count.astype(np.uint64))
+            _, once = np.unique(name, return_index=True)
+            kept = np.zeros(len(first), bool)
+            kept[once] = True
+            kept &= (count > 1) & (owners > 0) & ~np.isin(name, seen)
+            seen = np.concatenate([seen, name[kept]])
+            at = np.repeat(kept, count)
+            tile, keys, own = np.repeat(name, count)[at], keys[at], own[at]
+        return (tile, keys, own), seen
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, often = [], []
+        parts, often, seen = [], [], np.zeros(0, np.uint64)
         for batch in batches:
-            for task, h, k, n, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                counts = np.frombuffer(c, np.uint32)
-                code = np.frombuffer(h, np.uint64) if task >= tasks else _long(h) | np.uint64(task << 40)
-                (often if task >= tasks else parts).append((code, np.repeat(np.frombuffer(k, np.int64), counts), np.repeat(np.frombuffer(n, np.int32), counts)))
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                (often if row[0] >= tasks else parts).append(row)
         for rows, whole in ((parts, True), (often, False)):
-            if not rows:
-                continue
-            hashes, keys, sizes = (np.concatenate(x) for x in zip(*rows, strict=True))
-            if whole:
-                order = np.argsort(hashes)
-                same = hashes[order][1:] == hashes[order][:-1]
-                at = order[np.append(same, False) | np.insert(same, 0, False)]
-                hashes, keys, sizes = hashes[at], keys[at], sizes[at]
-            band = bands(sizes, t100).astype(np.uint64)
-            both = np.concatenate([band, band + np.uint64(1)])
-            tile = mix(np.concatenate([hashes, hashes]) ^ mix(both + np.uint64(0x51ED27)))
-            keys, own = np.concatenate([keys, keys]), np.arange(2 * len(hashes)) < len(hashes)
-            order = np.lexsort((~own, keys, tile))
-            tile, keys, own = tile[order], keys[order], own[order]
-            new = np.ones(len(tile), bool)
-            new[1:] = (tile[1:] != tile[:-1]) | (keys[1:] != keys[:-1])
-            tile, keys, own = tile[new], keys[new], own[new]
-            if whole and len(tile):
-                first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-                count = np.diff(np.append(first, len(tile)))
-                owners = np.add.reduceat(own.astype(np.int64), first)
-                name = mix(np.add.reduceat(mix(keys.view(np.uint64) * np.uint64(2) + own), first) + count.astype(np.uint64))
-                _, once = np.unique(name, return_index=True)
-                kept = np.zeros(len(first), bool)
-                kept[once] = True
-                kept &= (count > 1) & (owners > 0)
-                at = np.repeat(kept, count)
-                tile, keys, own = np.repeat(name, count)[at], keys[at], own[at]
-            yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(keys), pa.array(own)], names=["tile", "key", "own"])
+            for part in range(PARTS if rows else 0):
+                (tile, keys, own), seen = tiles(rows, whole, part, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(keys), pa.array(own)], names=["tile", "key", "own"])
 
     return deal
 
