@@ -12,26 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
-from episodica.llm.common import BROADCAST_ROWS, cut, write_table
+from episodica.llm.common import BROADCAST_ROWS, bound_batches, cut, write_table
 from episodica.llm.queries import held_out, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents, to be handed to workers in batches that suit whole texts."""
+    bound_batches(spark)
+    return docs.select(*COLUMNS)
+
+
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules keep."""
-    return quality_rules.keep(docs.select(*COLUMNS))
+    return quality_rules.keep(_texts(spark, docs))
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good; trained on labelled ones of docs."""
-    docs = docs.select(*COLUMNS)
+    docs = _texts(spark, docs)
     return quality_classifier.keep(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~held_out())))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group that shares its word shingles."""
-    docs = docs.select(*COLUMNS)
+    docs = _texts(spark, docs)
     found = ngram_join.jaccard_components(docs)
     dropped = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("merge")
@@ -40,14 +46,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    docs = docs.select(*COLUMNS)
+    docs = _texts(spark, docs)
     plan = mixing.mixing_plan(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "size")
     return mixing.repeat_rows(mixing.apply_plan(docs, plan)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a sequence of 4096 tokens."""
-    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=2))
+    return packing.pack(packing.pieces(_texts(spark, docs), tokenizer_path("word_bpe_49k.json"), end_id=2))
 
 
 STAGES = [

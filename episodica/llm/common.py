@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table of ids may be broadcast (about 16 bytes each); beyond, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
+#: Rows of whole texts in an Arrow batch: what a worker and its executor hold of them at once.
+TEXT_BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to TEXT_BATCH_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(name, str(TEXT_BATCH_ROWS))
+
+
 def bucket_of(key: Column, splitters: list) -> Column:
     """The number of splitters (ascending) that are <= key, by a two-level search; null keys count as least."""
     if not splitters:
@@ -79,4 +88,4 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "id long, component long")
 
 
-__all__ = ["BROADCAST_ROWS", "bucket_of", "components", "cut", "new_path", "shared_dir", "write_table"]
+__all__ = ["BROADCAST_ROWS", "TEXT_BATCH_ROWS", "bound_batches", "bucket_of", "components", "cut", "new_path", "shared_dir", "write_table"]

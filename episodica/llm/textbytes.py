@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 END = 0xFF  # never a byte of UTF-8
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; the end byte counts as white space too.
