@@ -30,9 +30,9 @@ _CLASS[0x80:] = ODD
 _CLASS[END] = STOP
 #: White space outside ASCII, as UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_SLOTS = 22
+_SLOTS = 20
 #: Distinct pieces remembered by a worker before it starts afresh.
-MOST_PIECES = 1_500_000
+MOST_PIECES = 400_000
 
 
 def _byte_signs() -> dict[int, str]:
