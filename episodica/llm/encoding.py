@@ -69,7 +69,8 @@ class Encoder:
     def _clear(self) -> None:
         self.keys = np.zeros(1 << _SLOTS, np.uint64)
         self.vals = np.zeros(1 << _SLOTS, np.int32)
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes of all pieces, ascending, and which piece each is of
+        self.piece = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)  # piece k has ids pool[at[k]:at[k+1]]
         self.n = 0
@@ -116,21 +117,25 @@ class Encoder:
 
     def _fill(self, buf, starts, ends, odd, hashes, found, missed, values, first, back) -> None:
         """Sets found for the missed spans, encoding those never met before."""
-        spans, data, encode, known = missed[first], buf.tobytes(), self._encode_piece, self.known
-        froms, tos = starts[spans].tolist(), ends[spans].tolist()
-        odds = odd[spans].tolist() if odd is not None else [False] * len(spans)
-        new, flat, lengths, n = [], [], [], self.n
-        for value, start, end, is_odd in zip(values.tolist(), froms, tos, odds, strict=True):
-            index = known.get(value)
-            if index is None:
+        at = np.searchsorted(self.known, values)
+        met = np.zeros(len(values), bool)
+        if len(self.known):
+            met = self.known[np.minimum(at, len(self.known) - 1)] == values
+        new = np.empty(len(values), np.int32)
+        new[met] = self.piece[at[met]]
+        fresh = np.flatnonzero(~met)
+        if len(fresh):
+            spans, data, encode = missed[first[fresh]], buf.tobytes(), self._encode_piece
+            odds = odd[spans].tolist() if odd is not None else [False] * len(spans)
+            flat, lengths = [], []
+            for start, end, is_odd in zip(starts[spans].tolist(), ends[spans].tolist(), odds, strict=True):
                 ids = encode(data[start:end], is_odd)
                 flat.extend(ids)
                 lengths.append(len(ids))
-                index = known[value] = n
-                n += 1
-            new.append(index)
-        self._extend(flat, lengths)
-        new = np.array(new, np.int32)
+            new[fresh] = np.arange(self.n, self.n + len(fresh))
+            self.known = np.insert(self.known, at[fresh], values[fresh])
+            self.piece = np.insert(self.piece, at[fresh], new[fresh])
+            self._extend(flat, lengths)
         slots = (values >> np.uint64(64 - _SLOTS)).astype(np.int64)
         self.keys[slots], self.vals[slots] = values, new
         found[missed] = new[back]
