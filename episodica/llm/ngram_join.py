@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.common import BROADCAST_ROWS, components, cut
-from episodica.llm.textbytes import _SLOT_CODES, LOWER, Run, mix, runs, spread, sum_by, windows
+from episodica.llm.textbytes import _SLOT_CODES, LOWER, Run, give_back, mix, runs, spread, sum_by, windows
 
 #: Texts that share a hash from which it counts as frequent, and frequent hashes that are told to tasks at most (8 MB).
 #: Both only shape the order of prefixes; results are the same for any values.
@@ -179,6 +179,8 @@ def _frequent(least: int):
             total = np.bincount(back, np.concatenate(counts), len(found))
             at = np.flatnonzero(total >= least)
             yield pa.RecordBatch.from_arrays([pa.array(found[at].view(np.int64)), pa.array(total[at].astype(np.int64))], names=["hash", "n"])
+        rows = None
+        give_back()
 
     return find
 
@@ -276,6 +278,8 @@ def _tiles(t100: int, tasks: int):
             for part in range(PARTS if rows else 0):
                 (tile, keys, own), seen = tiles(rows, whole, part, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(keys), pa.array(own)], names=["tile", "key", "own"])
+        parts = often = rows = None
+        give_back()
 
     return deal
 
@@ -331,6 +335,7 @@ def _intersect(t100: int):
                         a.append(group)
                         b.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     return check
 
@@ -391,6 +396,7 @@ def _across(t100: int):
                 yield out(groups(pa.Table.from_batches([*held, batch]).combine_chunks(), False))
         if held:
             yield out(groups(pa.Table.from_batches(held), True))
+        give_back()
 
     return check
 

@@ -9,6 +9,7 @@ is longer than this forms a run of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live for many tasks, and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2^64, kept for the worker's life."""
     if len(_powers[0]) < n:
@@ -105,6 +116,8 @@ def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[Run]:
         offs[1:] = ends[at:to] - base
         yield Run(buf, offs, at)
         at = to
+    del part, buf, offs
+    give_back()
 
 
 def windows(hashes: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
