@@ -226,6 +226,26 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def crowded(rng, n, dim, median, pairs):
+    """n unit vectors with a median cosine between unlike ones, and as many pairs of them again at a cosine of exactly 0.9."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(np.sqrt(median) * unit(rng.standard_normal((1, dim))) + np.sqrt(1 - median) * unit(rng.standard_normal((n, dim))))
+    y = rng.standard_normal((pairs, dim))
+    y = unit(y - (y * x[:pairs]).sum(1)[:, None] * x[:pairs])
+    return np.concatenate([x, (0.9 + 1e-6) * x[:pairs] + np.sqrt(1 - (0.9 + 1e-6) ** 2) * y])
+
+
+def test_crowded_vectors(spark):
+    x = crowded(np.random.default_rng(5), 6000, 64, 0.8, 300)
+    vectors = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], *x.tolist()]  # the first rows have a length of their own
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_duplicates(df).collect()}
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    share = np.mean([got[i + 2] == got[j + 2] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    assert len(a) >= 300 and share >= 0.95
+    assert got[0] == got[1] == 0
+
+
 PAGE = """<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="share-box">Follow {0}</div><article><h1>Head &amp; {1}</h1>
 <div><i>Our daily letter</i></div><p><b>One<br>two {1}.<p>Three <i>fo</i>ur&nbsp;five<script>var t="</p>";</script></p><div class="comments"><p>nice</p></div></article><aside>side</aside><footer>&copy;</footer></body></html>"""
 
