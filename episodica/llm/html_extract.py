@@ -11,6 +11,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,20 +21,25 @@ from episodica.llm.common import cut
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[-_]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math xmp".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open element of the same kind, up to the element that holds such ones.
 _CLOSES = {"p": ({"p"}, {"body", "div", "article", "section", "td", "li", "blockquote"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements and marks (parts of class or id) of what is no article.
+#: Elements and marks (whole words of class or id, or joined of such alone) of what is no article.
 _NO_ARTICLE = frozenset("nav footer aside form button select option dialog menu head".split())
 _MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe widget".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Elements whose recurrence makes them template; paragraphs, headings and articles themselves are content even where they repeat.
-_TEMPLATE = frozenset("aside center details dir div dl fieldset figure footer form header menu nav ol section table ul".split())
-#: Different main texts of a host under which a subtree stands at least, and the share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.25
+#: Elements whose recurrence makes them template, unless they are a page's main passage; inline ones where their parent has no text beside them.
+_TEMPLATE = frozenset("aside blockquote center details dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header menu nav ol p pre section table ul".split())
+_LEAF = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
+_INLINE = frozenset("a b em i small span strong".split())
+#: Different main texts of a host under which a template's subtree stands: LEAST_PAGES at least, and LEAST_SHARE of all or, on
+#: large hosts, LOG_PAGES times the binary logarithm of all.
+LEAST_PAGES, LEAST_SHARE, LOG_PAGES = 5, 0.25, 4
+#: Recurring subtrees up to which every worker holds all of them (8 bytes each).
+BROADCAST_SUBTREES = 4_000_000
 
 
 class Node:
@@ -105,23 +111,51 @@ def parse(page: str) -> Node:
     return root
 
 
-def _no_article(node: Node, inside: bool) -> bool:
-    """Whether the element says itself that it is no part of an article; inside: it stands in one."""
-    if node.name in _NO_ARTICLE or node.name == "header" and not inside:
+def _marks(node: Node) -> tuple[dict[str, str], set[str]]:
+    """The attributes, and the words of class and id with those joined of marks alone taken apart."""
+    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(node.attributes)}
+    words = f"{found.get('class', '')} {found.get('id', '')}".split()
+    marks = set(words)
+    for word in words:
+        parts = [x for x in _SPLIT.split(word) if x]
+        if _MARKS.issuperset(parts):
+            marks.update(parts)
+    return found, marks
+
+
+def _no_article(node: Node, inside: bool, guarded: set[int] = frozenset()) -> bool:
+    """Whether the element says itself that it is no part of an article; inside: it stands in one; guarded: see there."""
+    if node.name in _NO_ARTICLE and not (node.name in ("form", "dialog") and id(node) in guarded) or node.name == "header" and not inside:
         return True
     if not node.attributes or node.name in ("main", "body", "html"):
         return False
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(node.attributes)}
-    marks = set(_SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}"))
+    found, marks = _marks(node)
     if node.name == "article":  # only readers' comments are articles that don't count
         return not marks.isdisjoint(("comment", "comments", "reply", "replies"))
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return True
+    if id(node) in guarded:
+        return False
     if not _ROLES.isdisjoint(found.get("role", "").split()):
         return True
     return not _MARKS.isdisjoint(marks)
 
 
+def guarded(root: Node) -> set[int]:
+    """Elements (by id()) that no mark, role or form tag drops: those around all articles and main elements of the page, or
+    around one of them and most of the page's text; on pages without such, those around most of the text."""
+    tops, chars = {}, {}
+    order = list(_walk(root))
+    for node in reversed(order):
+        texts = [" ".join(c.split()) if isinstance(c, str) else c for c in node.children]
+        chars[id(node)] = sum(len(c) if isinstance(c, str) else chars[id(c)] for c in texts)
+        own = node.name == "main" or node.name == "article" and not _no_article(node, False)
+        tops[id(node)] = own + sum(tops[id(c)] for c in texts if not isinstance(c, str))
+    n, size = tops[id(root)], chars[id(root)]
+    most = lambda k: 2 * chars[k] > size
+    return {k for k in chars if (tops[k] == n or tops[k] and most(k)) and (n or most(k))}
+
+
 def _walk(node: Node):
     """All elements, parents first."""
     todo = [node]
@@ -133,10 +167,12 @@ def _walk(node: Node):
 
 def subtree_hashes(root: Node) -> dict[int, int]:
     """A 64-bit hash for each template-like element by id(): of its tags and words; elements around an article have none."""
-    order, hashes, holds, out = list(_walk(root)), {}, set(), {}
+    order, hashes, holds, out, mixed = list(_walk(root)), {}, set(), {}, set()
     for node in reversed(order):
         h = xxhash.xxh64(node.name)
         content = False
+        if any(isinstance(c, str) and not c.isspace() for c in node.children):
+            mixed.add(id(node))
         for c in node.children:
             if isinstance(c, Node):
                 digest, filled = hashes[id(c)]
@@ -150,25 +186,49 @@ def subtree_hashes(root: Node) -> dict[int, int]:
                     h.update(words)
                     content = True
         hashes[id(node)] = h.digest(), content
-        if content and node.name in _TEMPLATE and id(node) not in holds:
+        if content and node.name in (_TEMPLATE | _INLINE) and id(node) not in holds:
             out[id(node)] = int.from_bytes(h.digest(), "big", signed=True)
+    within = set()
+    for node in order:
+        if node.name in ("article", "main") or node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+        if node.name in _INLINE and (id(node.parent) in mixed or node.parent.name in _INLINE or node.parent.name == "p"):
+            out.pop(id(node), None)  # a part of a sentence
+        elif node.name in _LEAF and id(node) in within and any(isinstance(c, Node) for c in node.children):
+            out.pop(id(node), None)  # a passage with marked up words is the article's own
     return out
 
 
+def _length(node: Node) -> int:
+    return sum(len(" ".join(c.split())) for x in _walk(node) for c in x.children if isinstance(c, str))
+
+
+def template_nodes(root: Node, known) -> set[int]:
+    """The elements (by id()) whose hashes known(array) finds in the template, without a page's main passage: a paragraph,
+    heading, quotation or inline element with half of the main text or more."""
+    hashes = subtree_hashes(root)
+    if not hashes:
+        return set()
+    of = {id(node): node for node in _walk(root)}
+    found = [i for (i, _), hit in zip(hashes.items(), known(np.fromiter(hashes.values(), np.int64)), strict=True) if hit]
+    if not found:
+        return set()
+    whole = len(main_text(root))
+    return {i for i in found if of[i].name not in _LEAF | _INLINE or 2 * _length(of[i]) < whole}
+
+
 def main_text(root: Node, deleted: set[int] = frozenset()) -> str:
-    """The text of the articles (else of main, else of the body), without what is deleted (by id()) or no article."""
-    kept, todo, main = [], [root], []
+    """The text of all main elements and articles (else of the body), without what is deleted (by id()) or no article."""
+    guard = guarded(root)
+    kept, todo = [], [root]
     while todo:  # outermost articles and main elements that aren't part of something dropped
         node = todo.pop()
-        if _no_article(node, False) or id(node) in deleted:
+        if _no_article(node, False, guard) or id(node) in deleted:
             continue
-        if node.name == "article":
+        if node.name in ("article", "main"):
             kept.append(node)
             continue
-        if node.name == "main":
-            main.append(node)
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    kept = kept or main[:1]
     inside = bool(kept)
     kept = kept or [root]
     parts: list[str] = []
@@ -179,7 +239,7 @@ def main_text(root: Node, deleted: set[int] = frozenset()) -> str:
             if isinstance(node, str):
                 parts.append(node)
                 continue
-            if node is not top and (id(node) in deleted or _no_article(node, inside)):
+            if node is not top and (id(node) in deleted or _no_article(node, inside, guard)):
                 if node.name in _BLOCK:
                     parts.append(" ")
                 continue
@@ -197,6 +257,11 @@ def host_of(url):
     return F.when(host != "", host)
 
 
+def _of_host(host: str, hashes: np.ndarray) -> np.ndarray:
+    """Subtree hashes mixed with their host's, so that one sorted array can hold those of all hosts."""
+    return hashes ^ np.int64(xxhash.xxh64_intdigest(host) - (1 << 63))
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, subtrees, mains = [], [], []
@@ -211,40 +276,59 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtrees array<long>): subtrees under at least least_pages different main texts of the host and least_share of them.
+    """(host, subtree long): subtrees under at least least_pages different main texts of the host and, of all its n main texts,
+    least_share or LOG_PAGES * log2(n), whichever is less.
 
-    Copies of a page count once, as they have one main text.  At most 1/least_share times a page's subtrees recur so, so a
-    host's array is bounded by its pages' size, not their number.  Pages without a host have no template."""
+    Copies of a page count once, as they have one main text.  Pages without a host have no template."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("host is not null and html is not null")
     seen = rows.mapInArrow(_subtrees, "host string, subtree long, main long").distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     hosts = counts.where("subtree is null").select("host", F.col("n").alias("all"))
-    found = counts.where("subtree is not null").where(F.col("n") >= least_pages).join(hosts, "host").where(F.col("n") >= F.col("all") * least_share)
-    return found.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees"))
+    bar = F.least(F.col("all") * least_share, LOG_PAGES * F.log2("all"))
+    return counts.where("subtree is not null").where(F.col("n") >= least_pages).join(hosts, "host").where(F.col("n") >= bar).select("host", "subtree")
+
+
+def _extract(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for host, page, own in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                root = parse(page or "")
+                deleted = set()
+                if host is not None:
+                    every = shared.value if shared is not None else np.array(own or [], np.int64)
+                    deleted = template_nodes(root, lambda x: np.isin(x, every) if shared is None else _found(every, _of_host(host, x)))  # noqa: B023
+                texts.append(main_text(root, deleted))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(every: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array."""
+    return every[np.minimum(np.searchsorted(every, x), len(every) - 1)] == x if len(every) else np.zeros(len(x), bool)
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for page, recurring in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            root = parse(page or "")
-            deleted = set()
-            if recurring:
-                known = set(recurring)
-                deleted = {i for i, h in subtree_hashes(root).items() if h in known}
-            texts.append(main_text(root, deleted))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", broadcast_hosts: int = 50_000) -> DataFrame:
+        mixed = [int(_of_host(h, np.int64(x))) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(mixed, pa.int64())], names=["subtree"])
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", broadcast_subtrees: int = BROADCAST_SUBTREES) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every page.
 
     Each block's white space is one space, blocks follow in page order, joined by one space; character references are
     decoded.  Null and empty pages, and those without main text, give the empty text.  Null urls have no host and so no
-    template.  Repeated rows stay.  Without rows the result is empty.  Pages aren't shuffled while at most broadcast_hosts
-    hosts have a template; beyond, they are joined by host, where adaptive execution splits a hot one."""
+    template.  Repeated rows stay.  Without rows the result is empty.  Pages aren't shuffled while at most
+    broadcast_subtrees subtrees recur; beyond, they are joined by host, where adaptive execution splits a hot one."""
     found = cut(templates(pages, url, page))
-    found = F.broadcast(found) if found.count() <= broadcast_hosts else found
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("host"))
-    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "subtrees")
-    return rows.mapInArrow(_extract, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
+    if found.count() <= broadcast_subtrees:
+        every = np.sort(np.asarray(found.mapInArrow(_mixed, "subtree long").toArrow()["subtree"].combine_chunks(), np.int64))
+        shared = pages.sparkSession.sparkContext.broadcast(every)
+        rows = rows.withColumn("subtrees", F.lit(None).cast("array<long>"))
+    else:
+        shared = None
+        rows = rows.join(found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees")), "host", "left").select("page_id", "url", "host", "html", "subtrees")
+    return rows.mapInArrow(_extract(shared), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")

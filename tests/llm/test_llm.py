@@ -260,6 +260,34 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_rare_template(spark):
+    """A box and a notice on a tenth of a large host are template; a heading that is all of a page isn't."""
+    box = "<div class=xy>Read our weekly letter</div><p>Prices are in euro</p>"
+    data = [(i, f"http://h.example/{i}", f"<body><p>Body text of page number {i} is here</p>{box if i % 10 == 0 else ''}</body>") for i in range(600)]
+    data += [(600 + i, f"http://g.example/{i}", f"<body><h1>Moved for good</h1><p>{i}</p></body>") for i in range(8)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    for limit in (100, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, broadcast_subtrees=limit).collect()}
+        assert all(got[i] == f"Body text of page number {i} is here" for i in range(600))
+        assert got[603] == "Moved for good 3"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='content has-sidebar'><article>a b</article></div>", "a b"),
+        ("<div id=page class='no-comments'><p>a b</p></div>", "a b"),
+        ("<div class=sidebar><article>a b</article></div><p>c", "a b"),
+        ("<article class='post no-comments'>a b</article>", "a b"),
+        ("<form><article>a b</article><div class='cookie-banner'>no</div></form>", "a b"),
+        ("<main>body <article>a</article></main><main>c<div class=related><article>no</article></div></main>", "body a c"),
+        ("<article>a b</article><form>no</form><div role=dialog>no</div>", "a b"),
+    ],
+)
+def test_html_guard(page, want):
+    assert html_extract.main_text(html_extract.parse(page)) == want
+
+
 def test_rules(spark, docs, empty):
     def brute(text):
         words = WORD.findall(text or "")
