@@ -54,6 +54,26 @@ def megabatches(df: DataFrame, key: str, rows: int = 100_000, seed: int = 42) ->
     return df.withColumn("megabatch", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)))
 
 
+def fixed_batches(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """Adds batch: 0-based, of so many rows each in order (the last may have fewer), however many there are.
+
+    Rows are range partitioned and sorted once and numbered from the partitions' counts; no task sees more than its range."""
+    by = [F.col(c).asc_nulls_first() for c in order]
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", at)
+    context, where = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if where and not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    placed = placed.checkpoint(eager=True) if context.getCheckpointDir() else placed.localCheckpoint(eager=True)
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    index = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn("batch", F.floor(index / F.lit(rows)).cast("long")).drop("_part", "_start", "_at")
+
+
 def loads(packed: DataFrame, group: str, length: str) -> DataFrame:
     return packed.groupBy(group, "bin").agg(F.sum(length).alias("load"), F.count("*").alias("items"))
 

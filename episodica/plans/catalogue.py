@@ -331,6 +331,17 @@ def padded_batch(spark, d):
     return out.select("conv_id", "turn", F.size("padded").cast("long").alias("padded_size"), F.aggregate("padded", F.lit(0).cast("long"), add).alias("total"), F.aggregate("mask", F.lit(0), add).cast("long").alias("real"))
 
 
+@query("WITH t AS (SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, text NULLS FIRST) - 1) // 64 AS batch, length(text) AS real FROM conversations) SELECT conv_id, turn, (max(real) OVER (PARTITION BY batch))::BIGINT AS padded_size, (real::BIGINT * (real + 1) // 2)::BIGINT AS total, real::BIGINT AS real FROM t")
+def padded_batch_whole(spark, d):
+    """padded_batch over whole texts, in batches of 64 rows."""
+    n = F.char_length("text")
+    ids = F.when(n > 0, F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long"))).when(n == 0, F.array().cast("array<long>"))
+    c = bins.fixed_batches(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn", "text"], 64)
+    out = bins.pad_batch(c.select("conv_id", "turn", "batch", ids.alias("ids")), "ids", "batch", 0)
+    add = lambda s, x: s + x
+    return out.select("conv_id", "turn", F.size("padded").cast("long").alias("padded_size"), F.aggregate("padded", F.lit(0).cast("long"), add).alias("total"), F.aggregate("mask", F.lit(0), add).cast("long").alias("real"))
+
+
 @query("SELECT l_linestatus AS dataset, round(sum(l_discount) / sum(l_linenumber), 4) AS loss, sum(l_linenumber)::BIGINT AS loss_count FROM lineitem GROUP BY l_linestatus")
 def channel_loss(spark, d):
     return metrics.channel_loss(table(spark, d, "lineitem").withColumnRenamed("l_linestatus", "dataset"), "dataset", "l_discount", "l_linenumber")

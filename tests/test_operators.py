@@ -77,3 +77,19 @@ def test_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps(stats))
     table = stats_files.read_stats(spark, str(tmp_path / "s.json"))
     assert table.count() == 2 and stats_files.nested(table) == stats
+
+
+def test_fixed_batches(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(200)] + [(None, None)], "a long, b long").repartition(5)
+    got = sorted((r["batch"], -1 if r["a"] is None else r["a"], -1 if r["b"] is None else r["b"]) for r in bins.fixed_batches(df, ["a", "b"], 16).collect())
+    rows_ = sorted([(i % 7, i) for i in range(200)] + [(-1, -1)])
+    assert got == [(k // 16, *r) for k, r in enumerate(rows_)]
+
+
+def test_padded_batch_whole(spark, tmp_path):
+    from episodica.plans import catalogue
+
+    data = [(1, 0, "x" * 100), (1, 1, ""), (2, 0, "y" * 41)]
+    spark.createDataFrame(data, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["padded_batch_whole"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 100, 5050, 100), (1, 1, 100, 0, 0), (2, 0, 100, 861, 41)]
