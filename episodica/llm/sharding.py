@@ -18,7 +18,7 @@ def shard(rows: DataFrame, key: str, size: str, order: list[str], n_shards: int
 
     key (long, such as a hash of what must stay together) decides: rows with one key share a shard.  The key space is cut
     at quantiles of a size-weighted sample of keys into ranges; ranges that turn out overfull are subdivided at quantiles
-    of their own keys.  Keys above 1/64 of a shard (a bounded number) are placed first, largest first on the emptiest
+    of their own keys.  Keys above 1/64 of a shard or of more than ROWS rows (a bounded number) are placed first, largest first on the emptiest
     shard, and ranges then fill the shards in key order up to equal bytes; the range in which a shard ends is cut between
     two keys.  A key larger than a whole shard can't stay together: it is subdivided by order into pieces below a shard.
     order: columns that order rows of one key (ties share places arbitrarily).  rows should be narrow or cut: they are
@@ -28,13 +28,13 @@ def shard(rows: DataFrame, key: str, size: str, order: list[str], n_shards: int
     if not count:
         return rows.drop("_key").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     ideal = total / n_shards
-    # keys of more than 1/64 of a shard: at most 64 * n_shards of them
-    hot = rows.groupBy("_key").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows")).where(F.col("_bytes") > ideal / 64).collect()
+    # keys of more than 1/64 of a shard or of more than ROWS rows: at most 64 * n_shards + count / ROWS of them
+    hot = rows.groupBy("_key").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows")).where((F.col("_bytes") > ideal / 64) | (F.col("_rows") > ROWS)).collect()
     pieces = {}  # key: number of pieces
     for r in hot:
         pieces[r["_key"]] = max(1, -(-r["_rows"] // ROWS), 0 if r["_bytes"] <= ideal else -(-64 * r["_bytes"] // int(ideal + 1)))
     places = rows.sparkSession.createDataFrame([(k, n) for k, n in pieces.items()] or [(None, 1)], "_key long, _pieces long")
-    rows = rows.join(F.broadcast(places), "_key", "left")  # bounded: 64 * n_shards rows
+    rows = rows.join(F.broadcast(places), "_key", "left")  # bounded: 64 * n_shards + count / ROWS rows
     piece = F.concat(F.col("_key").cast("string"), F.lit(":"), F.pmod(F.xxhash64(*order, F.lit(seed)), F.col("_pieces")).cast("string"))
     rows = rows.withColumn("_piece", F.when(F.col("_pieces").isNotNull(), piece))
     cold = rows.where("_piece is null")

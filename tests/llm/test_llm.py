@@ -207,6 +207,20 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, model).count() == 0
 
 
+def test_shard_many_small_rows(spark, monkeypatch):
+    """A key of few bytes but many rows is numbered in pieces, not in one window."""
+    seen = []
+    monkeypatch.setattr(sharding, "ROWS", 100)
+    monkeypatch.setattr(sharding, "cut", lambda df: seen.append(common.cut(df)) or seen[-1])
+    df = spark.createDataFrame([(7, i, 1) for i in range(1500)] + [(1000 * i, i, 10_000) for i in range(1, 201)], "k long, doc_id long, size long")
+    got = sharding.shard(df, "k", "size", ["doc_id"]).collect()
+    assert max(r["count"] for r in seen[-1].groupBy("_cell").count().collect()) <= 200
+    assert len({r["shard"] for r in got if r["k"] == 7}) == 1
+    for s in range(16):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 16))
