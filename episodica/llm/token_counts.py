@@ -23,9 +23,11 @@ COUNTS = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
 class Automaton:
-    """count(word): pieces of the greedy longest-match split, 0 if the word can't be split."""
+    """count(word): pieces of the greedy longest-match split, 0 if the word can't be split.
 
-    def __init__(self, heads: Iterable[str], inner: Iterable[str]):
+    bare_mark: the word mark is a piece of its own, which is popped first where no head begins the word."""
+
+    def __init__(self, heads: Iterable[str], inner: Iterable[str], bare_mark: bool = False):
         self.next: list[dict[str, int]] = [{}, {}]  # node 0 begins words, node 1 goes on
         final = [False, False]
         for root, pieces in ((0, heads), (1, inner)):
@@ -41,6 +43,8 @@ class Automaton:
                 if u != root:
                     final[u] = True
         self.fail, self.popped = [-1] * len(final), [0] * len(final)
+        if bare_mark:
+            self.fail[0], self.popped[0] = 1, 1
         queue = deque((0, 1))
         while queue:  # parents before children
             u = queue.popleft()
@@ -85,7 +89,7 @@ def _worker(model: str) -> tuple[Automaton, dict[int, int]]:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        _workers[model] = Automaton([x[1:] for x in pieces if x[0] == "▁"], [x for x in pieces if "▁" not in x]), {}
+        _workers[model] = Automaton([x[1:] for x in pieces if x[0] == "▁"], pieces, "▁" in pieces), {}
     return _workers[model]
 
 
