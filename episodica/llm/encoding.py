@@ -5,8 +5,8 @@ changes between letters, digits and other signs).  Each distinct piece is
 encoded once per worker by the library's model and remembered, so the ids are
 those of encoding the whole text while most of the work is array lookups.
 Pieces with apostrophes or unusual characters are kept whole and given to the
-library as they are; texts with white space outside ASCII, and tokenizers of
-other kinds, go to the library whole.
+library as they are; texts with white space outside ASCII or with the string
+of an added token, and tokenizers of other kinds, go to the library whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ _CLASS[0x80:] = ODD
 _CLASS[END] = STOP
 #: White space outside ASCII, as UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _SLOTS = 20
 #: Distinct pieces remembered by a worker before it starts afresh.
 MOST_PIECES = 400_000
@@ -50,7 +52,6 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tok.no_truncation()
         self.tok.no_padding()
         self.end_id = end_id
@@ -64,6 +65,8 @@ class Encoder:
         elif spec["model"]["type"] == "BPE" and steps == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"] and pre["pretokenizers"][0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
             self.kind = "bare"  # white space is dropped, case is folded, digits stand alone
         self.model = self.tok.model
+        #: Strings that stand for one id wherever they occur, in small letters; texts that hold one go to the library whole.
+        self.added = [x["content"].lower().encode() for x in spec.get("added_tokens", [])]
         self._clear()
 
     def _clear(self) -> None:
@@ -145,7 +148,14 @@ class Encoder:
         wide = np.zeros(run.n, bool)
         if self.kind == "whole":
             wide[:] = True
-        elif (run.buf[:, None] == np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)).any():
+        elif self.added:
+            data = LOWER[run.buf].tobytes()
+            for token in self.added:
+                at = data.find(token)
+                while at >= 0:
+                    wide[np.searchsorted(run.offs, at, "right") - 1] = True
+                    at = data.find(token, at + len(token))
+        if self.kind != "whole" and _WIDE_LEAD[run.buf].any():
             for m in _WIDE_SPACE.finditer(run.buf.tobytes()):
                 wide[np.searchsorted(run.offs, m.start(), "right") - 1] = True
         if wide.any():
