@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUN_BYTES = 1 << 19
+#: Bytes of a text that are hashed at once.
+HASH_BYTES = 1 << 20
 END = 0xFF  # never a byte of UTF-8
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; the end byte counts as white space too.
@@ -65,13 +67,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end): equal spans have equal hashes."""
+    """64-bit hashes of the byte spans [start, end), which follow each other: equal spans have equal hashes.
+
+    Long buffers are worked through in parts of HASH_BYTES, so tables and temporary arrays don't grow with a text."""
+    if len(buf) > HASH_BYTES:
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            low = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, low + HASH_BYTES, "right")))
+            part = buf[low : int(ends[to - 1])]
+            out[at:to] = span_hashes(part, starts[at:to] - low, ends[at:to] - low) if len(part) <= HASH_BYTES else _long_span(part)
+            at = to
+        return out
     power, inverse = _power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[buf] * power[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def _long_span(buf: np.ndarray) -> np.ndarray:
+    """The hash of one span longer than HASH_BYTES, as span_hashes would give it."""
+    power, _ = _power_tables(HASH_BYTES + 1)
+    total = 0
+    for at in range(0, len(buf), HASH_BYTES):
+        part = buf[at : at + HASH_BYTES]
+        total += int((_BYTE_CODES[part] * power[: len(part)]).sum()) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([total & ((1 << 64) - 1)], np.uint64))
+
+
 class Run:
     """Some consecutive texts of a batch: ``buf`` holds them, text i at [offs[i], offs[i+1] - 1)."""
 

@@ -113,10 +113,12 @@ def test_fill_clamps(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder(name):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     rng = np.random.default_rng(1)
     signs = list("abZ éÉß×'9 \t\n\r.,!?$  ") + ["'s", "'ll", " 's", " ", " ", "“", "日本", "\x1c", "<|endoftext|>", "é", "１", "_", "İ"]
     texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(1500)] + [None, "", "a" * 5000]
+    every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + ["한", "😀", "Ａ", "ﬁ", "\U0001d7d9"]
+    texts += ["".join(rng.choice(every, rng.integers(0, 12))) + " a1 'll " + "".join(rng.choice(every, 2)) for _ in range(3000)]
+    texts += ["hello <|endoftext|> world", " <|endoftext|>", "<|startoftext|>a<|endoftext|>b"]
     enc = Encoder(public_tokenizers.path(name), 0)
     for first, ids, offs in enc.ids(pa.array(texts)):
         for i in range(len(offs) - 1):
@@ -126,7 +128,6 @@ def test_encoder(name):
 def test_token_file(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     crc = lambda t: zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
     got = sorted(token_file.token_documents(docs, path).collect(), key=lambda r: r["start"])
     ids = [r["doc_id"] for r in got]
@@ -201,12 +202,65 @@ def test_token_counts(docs, empty):
     for n in range(1, 7):
         for word in map("".join, itertools.product("abcde", repeat=n)):
             assert auto.count(word) == greedy(word)
+    marked = token_counts.Automaton(heads, inner, bare_mark=True)
+
+    def marked_greedy(word):
+        at, n = (0, 0) if any(word.startswith(h) for h in heads) else (0, 1)
+        first = True
+        while at < len(word):
+            pool = heads if first and n == 0 else inner
+            size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pool), 0)
+            if not size:
+                return 0
+            at, n, first = at + size, n + 1, False
+        return n
+
+    for n in range(1, 7):
+        for word in map("".join, itertools.product("abcde", repeat=n)):
+            assert marked.count(word) == marked_greedy(word)
     model = public_tokenizers.path("piece_bpe_32k.model")
     got = token_counts.token_counts(docs, model).collect()
     assert len(got) == len(rows()) and all(r["n_tokens"] >= r["n_words"] for r in got)
     assert token_counts.token_counts(empty, model).count() == 0
 
 
+def test_token_counts_real_vocabulary(spark):
+    """Every distinct word of a table against a greedy loop over the model's pieces."""
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    longest = max(map(len, pieces))
+
+    def greedy(word):
+        word, at, n = "▁" + word, 0, 0
+        while at < len(word):
+            size = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), 0)
+            if not size:
+                return 0
+            at, n = at + size, n + 1
+        return n
+
+    texts = [r["text"] for r in queries.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    automaton = token_counts._worker(model)[0]
+    for word in {w for t in texts for w in WORD.findall(t or "")} | {"çréoi", "ñandú", "日本", "1", "▁", "a▁b", "\u0600x"}:
+        assert automaton.count(word) == greedy(word), word
+
+
+def test_long_texts_hash_alike(monkeypatch):
+    from episodica.llm import textbytes
+
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 90))) for _ in range(300)] + ["z" * 1000]
+    data = np.frombuffer(" ".join(words).encode() + b"\xff", np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    want = textbytes.span_hashes(data, starts, ends)
+    monkeypatch.setattr(textbytes, "HASH_BYTES", 64)
+    assert (textbytes.span_hashes(data, starts, ends) == want).all()
+
+
 def test_shard_many_small_rows(spark, monkeypatch):
     """A key of few bytes but many rows is numbered in pieces, not in one window."""
     seen = []
