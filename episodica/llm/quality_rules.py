@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,37 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
-#: Rules that vote bad above a rate and abstain else: symbols per word, repeated lines per line with a word, words in
-#: repeated windows per word, capitals per ASCII letter, exclamation marks per word, and the distance of the mean word
-#: length from 6 characters.
-FAULTS = (("symbols", 0.10), ("dup_lines", 0.50), ("repeats", 0.30), ("shouting", 0.60), ("exclaims", 0.25), ("word_length", 7.0))
-#: The rule that votes good if the share of words that end a sentence lies in these bounds, and abstains else.
-PROSE = (0.01, 0.40)
-N_RULES = len(FAULTS) + 1
+#: Bytes of letters, and last bytes of words as prose has them: letters, digits, signs of sentences, closing brackets and quotes.
+_LETTER = _UPPER | _LOWER
+_LETTER[0x80:0xFF] = True
+_USUAL_END = _LETTER.copy()
+_USUAL_END[list(b"0123456789.,;:!?'\")]}")] = True
+
+
+class Rule(NamedTuple):
+    """Votes bad on a rate below or above bad, good on one inside good, and abstains else."""
+
+    name: str
+    bad: tuple[float, float]
+    good: tuple[float, float]
+
+
+#: Rules over rates: symbols, words that end oddly, that hold a letter and that repeat the word before (each by words), repeated
+#: lines (by lines with a word), words in repeated windows (by words), capitals (by ASCII letters), exclamation marks (by
+#: words), mean word length, and words that end a sentence (by words).
+RULES = (
+    Rule("symbols", (0, 0.10), (0, 0.01)),
+    Rule("odd_ends", (0, 0.10), (0, 0.02)),
+    Rule("letters", (0.80, 1), (0.95, 1)),
+    Rule("adjacent", (0, 0.10), (0, 0.02)),
+    Rule("dup_lines", (0, 0.30), (0, 0)),
+    Rule("repeats", (0, 0.20), (0, 0.05)),
+    Rule("capitals", (0, 0.30), (0.002, 0.10)),
+    Rule("exclaims", (0, 0.25), (0, 0.02)),
+    Rule("word_length", (3, 10), (4, 7)),
+    Rule("sentences", (0.005, 1), (0.03, 0.20)),
+)
+N_RULES = len(RULES)
 
 
 def measure(run: Run) -> dict[str, np.ndarray]:
@@ -48,7 +73,12 @@ def measure(run: Run) -> dict[str, np.ndarray]:
         dup += np.bincount(lines["d"][1:][(lines["d"][1:] == lines["d"][:-1]) & (lines["h"][1:] == lines["h"][:-1])], minlength=run.n)
     out["n_dup_lines"], out["n_lines"] = dup, np.bincount(line_doc, minlength=run.n).astype(np.int64)
     # words in windows that occur twice or more in the text
-    hashes, offs = windows(run.word_hashes(), run.word_offs, WINDOW)
+    words = run.word_hashes()
+    adjacent = np.zeros(len(words), np.int64)
+    adjacent[1:] = words[1:] == words[:-1]
+    adjacent[run.word_offs[:-1][run.n_words > 0]] = 0
+    out["_adjacent"] = sum_by(adjacent, run.word_offs)
+    hashes, offs = windows(words, run.word_offs, WINDOW)
     win_doc = np.repeat(np.arange(run.n, dtype=np.uint64), np.diff(offs))
     hashes = mix(hashes + (win_doc + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(hashes)
@@ -60,19 +90,29 @@ def measure(run: Run) -> dict[str, np.ndarray]:
     steps = np.bincount(word, minlength=len(run.starts) + 1).astype(np.int64)
     steps[: len(run.starts) + 1] -= np.bincount(word + WINDOW, minlength=len(run.starts) + 1)[: len(run.starts) + 1]
     out["n_repeat_words"] = sum_by((np.cumsum(steps)[:-1] > 0).astype(np.int64), run.word_offs)
-    stops = np.isin(run.buf[run.ends - 1], (33, 46, 63))
-    out["_stops"] = sum_by(stops.astype(np.int64), run.word_offs)
+    last = run.buf[run.ends - 1]
+    out["_stops"] = sum_by(np.isin(last, (33, 46, 63)).astype(np.int64), run.word_offs)
+    out["_odd_ends"] = sum_by((~_USUAL_END[last]).astype(np.int64), run.word_offs)
+    lettered = np.logical_or.reduceat(_LETTER[run.buf], run.starts) if len(run.starts) else np.zeros(0, bool)
+    out["_lettered"] = sum_by(lettered.astype(np.int64), run.word_offs)
     out["_upper"], out["_lower"], out["_exclaims"] = count(_UPPER[run.buf]), count(_LOWER[run.buf]), count(run.buf == 33)
     return out
 
 
+def rates(m: dict[str, np.ndarray]) -> np.ndarray:
+    """(texts, rules): what each rule looks at."""
+    words = np.maximum(m["n_words"], 1)
+    letters, lines = np.maximum(m["_upper"] + m["_lower"], 1), np.maximum(m["n_lines"], 1)
+    by_words = {k: m[c] / words for k, c in (("symbols", "n_symbols"), ("odd_ends", "_odd_ends"), ("letters", "_lettered"), ("adjacent", "_adjacent"), ("repeats", "n_repeat_words"), ("exclaims", "_exclaims"), ("word_length", "word_chars"), ("sentences", "_stops"))}
+    found = by_words | {"dup_lines": m["n_dup_lines"] / lines, "capitals": m["_upper"] / letters}
+    return np.stack([found[r.name] for r in RULES], 1)
+
+
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     """(texts, rules): 1 good, 0 abstains, -1 bad.  Texts without words abstain from all."""
-    words = np.maximum(m["n_words"], 1)
-    letters = np.maximum(m["_upper"] + m["_lower"], 1)
-    rates = (m["n_symbols"] / words, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), m["n_repeat_words"] / words, m["_upper"] / letters, m["_exclaims"] / words, np.abs(m["word_chars"] / words - 6))
-    stops = m["_stops"] / words
-    out = np.stack([*(-(x > bad).astype(np.int8) for x, (_, bad) in zip(rates, FAULTS, strict=True)), ((stops >= PROSE[0]) & (stops <= PROSE[1])).astype(np.int8)], 1)
+    x = rates(m)
+    bad, good = np.array([r.bad for r in RULES]), np.array([r.good for r in RULES])
+    out = np.where((x < bad[:, 0]) | (x > bad[:, 1]), -1, np.where((x >= good[:, 0]) & (x <= good[:, 1]), 1, 0)).astype(np.int8)
     out[m["n_words"] == 0] = 0
     return out
 
@@ -96,18 +136,16 @@ class VoteModel:
 
 
 #: What rules are believed to do before any text is seen, as chances of (bad vote, abstaining, good vote) on good and on bad
-#: texts, and the weight of this belief against the texts seen.  Rules look for unlike faults, so a bad text fails few.
-BELIEF, BELIEF_WEIGHT = np.array([[0.001, 0.5, 0.499], [0.2, 0.5, 0.3]]), 0.1
-#: The most that a rule's bad votes are thought to err: the chance of one on a good text.
-MOST_FALSE_ALARMS = 0.002
+#: texts, and the weight of this belief against the texts seen: it names the two kinds and keeps chances from 0.
+BELIEF, BELIEF_WEIGHT = np.array([[0.02, 0.28, 0.70], [0.20, 0.40, 0.40]]), 0.03
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> VoteModel:
     """Expectation-maximisation over distinct vote patterns: the prior, and each rule's chance of each vote on good and on bad texts.
 
-    Starts from texts without a bad vote as good.  The belief and the bound on false alarms hold the two kinds of texts to
-    their names (EM alone may take any two groups that differ for them); a rule that never votes stays nearly neutral.  Without votes the belief
-    alone remains."""
+    Starts from texts without a bad vote as good.  Rules that look at like faults support each other, so their votes weigh more
+    than a lone bad vote among good ones, which the posterior may overrule; a rule that never votes stays neutral.  Without
+    votes the belief alone remains."""
     n_rules, total = patterns.shape[1], max(float(counts.sum()), 1.0)
     good = np.where((patterns == -1).any(1), 0.1, 0.9) if len(patterns) else np.zeros(0)
     for _ in range(rounds):
@@ -119,10 +157,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Vo
             for v in range(3):
                 chance[kind, :, v] = weight[kind] @ (patterns == v - 1) + belief * BELIEF[kind, v]
         chance /= chance.sum(2, keepdims=True)
-        chance[0, :, 0] = np.minimum(chance[0, :, 0], MOST_FALSE_ALARMS)
-        chance[1, :, 0] = np.maximum(chance[1, :, 0], 10 * MOST_FALSE_ALARMS)
-        odds = np.log(chance[0] / chance[1])
-        model = VoteModel(float(np.log(prior[0] / prior[1])), tuple(map(tuple, odds.tolist())))
+        model = VoteModel(float(np.log(prior[0] / prior[1])), tuple(map(tuple, np.log(chance[0] / chance[1]).tolist())))
         now = model.posterior(patterns)
         if len(good) == 0 or np.abs(now - good).max() < 1e-9:
             break
@@ -141,7 +176,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, text: str = "text") -> VoteModel:
-    """The vote model of docs: vote patterns of all texts are counted in Spark (3^7 at most), EM runs on the counts."""
+    """The vote model of docs: vote patterns of all texts are counted in Spark (3^10 at most), EM runs on the counts."""
     found = docs.select(text).mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     found = sorted((r["pattern"], r["n"]) for r in found)
     code = np.array([p for p, _ in found], np.int64).reshape(-1, 1)

@@ -376,6 +376,51 @@ def test_rules(spark, docs, empty):
     assert quality_rules.score(empty).count() == 0
 
 
+def test_votes_recover_planted_accuracies():
+    """EM finds what the rules do, and the posterior overrules a lone bad vote of a weak rule but not those of strong ones."""
+    rng = np.random.default_rng(9)
+    bad_if_good, bad_if_bad = np.array([0.01, 0.01, 0.02, 0.15, 0.01]), np.array([0.9, 0.8, 0.7, 0.3, 0.6])
+    good_if_good, good_if_bad = np.array([0.9, 0.8, 0.9, 0.7, 0.8]), np.array([0.05, 0.1, 0.2, 0.5, 0.3])
+    is_good = rng.random(40_000) < 0.8
+    u = rng.random((len(is_good), 5))
+    bad, good = np.where(is_good[:, None], bad_if_good, bad_if_bad), np.where(is_good[:, None], good_if_good, good_if_bad)
+    v = np.where(u < bad, -1, np.where(u < bad + good, 1, 0))
+    patterns, back, counts = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    model = quality_rules.fit_votes(patterns, counts.astype(float))
+    odds = np.array(model.odds)
+    want = np.log(np.stack([bad_if_good / bad_if_bad, (1 - bad_if_good - good_if_good) / (1 - bad_if_bad - good_if_bad), good_if_good / good_if_bad], 1))
+    assert np.abs(odds - want).max() < 0.5 and abs(model.prior - np.log(4)) < 0.2
+    verdict = model.posterior(v) >= 0.5
+    assert (verdict == is_good).mean() > 0.97 > (~(v == -1).any(1) == is_good).mean()
+    lone = model.posterior(np.array([[1, 1, 1, -1, 1], [-1, -1, 1, 1, 1], [0, 0, 0, 0, 0]]))
+    assert lone[0] > 0.5 > lone[1]
+    # the same, step by step, for each text instead of each pattern
+    p = np.where((v[:3000] == -1).any(1), 0.1, 0.9)
+    for _ in range(500):
+        w, belief = np.stack([p, 1 - p]), quality_rules.BELIEF_WEIGHT * 3000
+        prior = (w.sum(1) + belief * np.array([0.9, 0.1])) / (3000 + belief)
+        chance = np.array([[[w[k] @ (v[:3000, r] == x - 1) + belief * prior[k] * quality_rules.BELIEF[k, x] for x in range(3)] for r in range(5)] for k in (0, 1)])
+        chance /= chance.sum(2, keepdims=True)
+        logs = np.log(prior)[:, None] + sum(np.log(chance[:, r])[:, v[:3000, r] + 1] for r in range(5))
+        p = 1 / (1 + np.exp(logs[1] - logs[0]))
+    few, n = np.unique(v[:3000], axis=0, return_counts=True)
+    assert np.abs(quality_rules.fit_votes(few, n.astype(float)).posterior(v[:3000]) - p).max() < 1e-5
+
+
+def test_verdict_is_not_all_must_pass(spark):
+    scored = quality_rules.score(queries.table(spark, "/root/testdata/sf0.01", "documents"))
+    labels = queries.table(spark, "/root/testdata/sf0.01", "labels").withColumnRenamed("quality", "label")
+    got = scored.join(labels, "doc_id").collect()
+    assert np.mean([r["kept"] == (r["label"] == 1) for r in got]) > 0.97
+
+    def bad_votes(text):
+        m = quality_rules.measure(next(iter(quality_rules.runs(pa.array([text])))))
+        return int((quality_rules.votes(m) == -1).sum())
+
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    assert any(r["kept"] and bad_votes(texts[r["doc_id"]]) for r in scored.collect())
+
+
 def test_classifier(spark, docs, empty):
     got = queries.op10_quality_classifier(spark, "/root/testdata/sf0.01").join(queries.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
