@@ -1,14 +1,18 @@
 """Main text of web pages by site template removal.
 
-Pages are read into element trees.  Subtrees are hashed by their tags and text, counted in Spark over the pages of each
-host, and subtrees that recur under many different main texts of a host are the site's template: they are deleted.  What
-marks itself as no article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) goes as well.
+Pages are read into element trees.  Subtrees are hashed and counted in Spark over the pages of each host, and those that
+recur under many different main texts of a host are the site's template: they are deleted.  Boxes outside a page's main
+passage are hashed by structure (tags, attribute names, classes, ids, the shapes of their children, no words), as a menu or
+an advert differs in words from page to page; everything is also hashed by tags and words, for boxes and lines that
+recur literally.  What is left and marks itself as no article (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, comments) goes as well: that is all there is to go by on hosts of few pages.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[-_]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math xmp".split())
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg xmp".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that end an open element of the same kind, up to the element that holds such ones.
 _CLOSES = {"p": ({"p"}, {"body", "div", "article", "section", "td", "li", "blockquote"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -35,6 +39,14 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _TEMPLATE = frozenset("aside blockquote center details dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header menu nav ol p pre section table ul".split())
 _LEAF = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 _INLINE = frozenset("a b em i small span strong".split())
+#: Boxes that are hashed by structure, those of them that say what they are without class, id or role, and elements that lend
+#: a box no shape.
+_BOXES = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
+_TELLING = frozenset("aside footer form header menu nav".split())
+_SHAPELESS = frozenset("b br em hr i img small strong sub sup u wbr".split())
+#: Share of the prose (text outside links) of its pages below which a recurring structure is template.
+MOST_SHARE = 0.1
+_DIGITS = re.compile(r"\d+")
 #: Different main texts of a host under which a template's subtree stands: LEAST_PAGES at least, and LEAST_SHARE of all or, on
 #: large hosts, LOG_PAGES times the binary logarithm of all.
 LEAST_PAGES, LEAST_SHARE, LOG_PAGES = 5, 0.25, 4
@@ -54,6 +66,14 @@ def parse(page: str) -> Node:
     """The element tree of a page, however badly formed; texts have their character references decoded."""
     root = node = Node("#root", "", None)
     at, low, end = 0, None, len(page)
+    opened: Counter[str] = Counter()  # names of open elements, so that no search goes up in vain
+
+    def close(inner: Node, outer: Node) -> Node:
+        """Ends outer and all open elements inside it."""
+        while inner is not outer.parent:
+            opened[inner.name] -= 1
+            inner = inner.parent
+        return inner
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -75,11 +95,11 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m[1]:
-            seek = node
+            seek = node if opened[name] else root
             while seek is not root and seek.name != name and not (name not in _BLOCK and seek.name in _BLOCK):
                 seek = seek.parent
             if seek is not root and seek.name == name:
-                node = seek.parent
+                node = close(node, seek)
             elif name in ("p", "br"):
                 node.children.append(Node(name, "", node))
             continue
@@ -87,26 +107,27 @@ def parse(page: str) -> Node:
             low = page.lower() if low is None else low
             if len(low) != end:  # some letters change length
                 found = re.compile(f"</{name}", re.I).search(page, at)
-                close = found.start() if found else -1
+                stop = found.start() if found else -1
             else:
-                close = low.find(f"</{name}", at)
-            at = end if close < 0 else close
-            if close >= 0:
-                m = _TAG.match(page, close)
-                at = m.end() if m else close + 2
+                stop = low.find(f"</{name}", at)
+            at = end if stop < 0 else stop
+            if stop >= 0:
+                m = _TAG.match(page, stop)
+                at = m.end() if m else stop + 2
             continue
         if name in _BLOCK:
             kinds, holders = _CLOSES.get(name, _CLOSES["p"] if name != "body" else (set(), set()))
-            seek = node
+            seek = node if any(opened[k] for k in kinds) else root
             while seek is not root and seek.name not in holders:
                 if seek.name in kinds:
-                    node = seek.parent
+                    node = close(node, seek)
                     break
                 seek = seek.parent
         child = Node(name, m[3], node)
         node.children.append(child)
         if name not in _VOID and not (m[3].endswith("/") and name not in _BLOCK):
             node = child
+            opened[name] += 1
     text(at, end)
     return root
 
@@ -165,67 +186,128 @@ def _walk(node: Node):
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """A 64-bit hash for each template-like element by id(): of its tags and words; elements around an article have none."""
-    order, hashes, holds, out, mixed = list(_walk(root)), {}, set(), {}, set()
-    for node in reversed(order):
-        h = xxhash.xxh64(node.name)
-        content = False
-        if any(isinstance(c, str) and not c.isspace() for c in node.children):
-            mixed.add(id(node))
-        for c in node.children:
-            if isinstance(c, Node):
-                digest, filled = hashes[id(c)]
-                h.update(digest)
-                content |= filled
-                if id(c) in holds or c.name in ("article", "main"):
-                    holds.add(id(node))
-            else:
-                words = " ".join(c.split())
-                if words:
-                    h.update(words)
-                    content = True
-        hashes[id(node)] = h.digest(), content
-        if content and node.name in (_TEMPLATE | _INLINE) and id(node) not in holds:
-            out[id(node)] = int.from_bytes(h.digest(), "big", signed=True)
-    within = set()
-    for node in order:
-        if node.name in ("article", "main") or node.parent is not None and id(node.parent) in within:
-            within.add(id(node))
-        if node.name in _INLINE and (id(node.parent) in mixed or node.parent.name in _INLINE or node.parent.name == "p"):
-            out.pop(id(node), None)  # a part of a sentence
-        elif node.name in _LEAF and id(node) in within and any(isinstance(c, Node) for c in node.children):
-            out.pop(id(node), None)  # a passage with marked up words is the article's own
-    return out
-
-
-def _length(node: Node) -> int:
-    return sum(len(" ".join(c.split())) for x in _walk(node) for c in x.children if isinstance(c, str))
+def _signature(node: Node) -> tuple[str, bool]:
+    """Tag, classes, id (digits as 0) and the names of other attributes; whether class, id or role tell the element apart."""
+    if not node.attributes.strip(" /"):
+        return node.name, False
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes)}
+    own = [*sorted(set(found.get("class", "").split())), "#" + _DIGITS.sub("0", found.get("id", "")), found.get("role", "")]
+    return " ".join([node.name, *own, *sorted(found.keys() - {"class", "id", "role"})]), any(x in found for x in ("class", "id", "role"))
+
+
+class Subtrees:
+    """Hashes of a page's template-like elements: literal (by id(), of tags and words) and shapes (by id(), of structure).
+
+    Elements around an article have none.  Shapes are given to boxes outside the main passage: all articles and main
+    elements, and the innermost element with at least half of the page's prose.  share: prose of all boxes of each shape."""
+
+    def __init__(self, root: Node):
+        order = list(_walk(root))
+        digests, shapes, chars, prose, holds, mixed, telling = {}, {}, {}, {}, set(), set(), set()
+        self.literal: dict[int, int] = {}
+        for node in reversed(order):
+            h, key = xxhash.xxh64(node.name), id(node)
+            size = plain = 0
+            kids = set()
+            for c in node.children:
+                if isinstance(c, Node):
+                    k = id(c)
+                    h.update(digests[k])
+                    size += chars[k]
+                    plain += prose[k]
+                    if c.name not in _SHAPELESS:
+                        kids.add(shapes[k])
+                    if k in holds or c.name in ("article", "main"):
+                        holds.add(key)
+                else:
+                    words = " ".join(c.split())
+                    if words:
+                        h.update(words)
+                        size += len(words)
+                        plain += len(words)
+                        mixed.add(key)
+            name, own = _signature(node)
+            digests[key], chars[key], prose[key] = h.digest(), size, 0 if node.name in ("a", "button", "option") else plain
+            shape = xxhash.xxh64("shape " + name)
+            for k in sorted(kids):
+                shape.update(k)
+            shapes[key] = shape.digest()
+            if own or node.name in _TELLING or not prose[key]:
+                telling.add(key)
+            if size and node.name in (_TEMPLATE | _INLINE) and key not in holds:
+                self.literal[key] = int.from_bytes(digests[key], "big", signed=True)
+        self.nodes, self.prose, self.chars = {id(n): n for n in order}, prose[id(root)], chars[id(root)]
+        within, passage, top = set(), set(), root
+        while inner := next((c for c in top.children if isinstance(c, Node) and prose[id(c)] and 2 * prose[id(c)] >= self.prose), None):
+            passage.add(id(top))
+            top = inner
+        passage.add(id(top))
+        inside = set()
+        for node in order:
+            key, up = id(node), id(node.parent)
+            if node.name in ("article", "main") or up in within:
+                within.add(key)
+            if key in within or node is top or up in inside:
+                inside.add(key)
+            if node.name in _INLINE and (up in mixed or node.parent.name in _INLINE or node.parent.name == "p"):
+                self.literal.pop(key, None)  # a part of a sentence
+            elif node.name in _LEAF and key in within and any(isinstance(c, Node) for c in node.children):
+                self.literal.pop(key, None)  # a passage with marked up words is the article's own
+        free = [k for k, n in self.nodes.items() if n.name in _BOXES and chars[k] and k in telling and k not in holds and k not in inside and k not in passage]
+        self.share: Counter[int] = Counter()
+        self.shapes = {k: int.from_bytes(shapes[k], "big", signed=True) for k in free}
+        for k, shape in self.shapes.items():
+            self.share[shape] += prose[k]
+        #: Text of the main passage, by which copies of a page are told.
+        texts = [c for n in order if id(n) in inside for c in n.children if isinstance(c, str)] or [c for n in order for c in n.children if isinstance(c, str)]
+        self.main = xxhash.xxh64_intdigest(" ".join("".join(texts).split())) - (1 << 63)
+
+    def counted(self) -> dict[int, int]:
+        """The page's distinct hashes with their prose; literal ones count without."""
+        return dict.fromkeys(self.literal.values(), 0) | {h: n for h, n in self.share.items() if 2 * n < self.prose or not n}
 
 
 def template_nodes(root: Node, known) -> set[int]:
-    """The elements (by id()) whose hashes known(array) finds in the template, without a page's main passage: a paragraph,
-    heading, quotation or inline element with half of the main text or more."""
-    hashes = subtree_hashes(root)
-    if not hashes:
+    """The elements (by id()) whose hashes known(array) finds in the template, without a page's main passage: boxes of one
+    shape with half of the prose, or a paragraph, heading, quotation or inline element with half of the text."""
+    s = Subtrees(root)
+    keys = [*s.literal, *s.shapes]
+    if not keys:
         return set()
-    of = {id(node): node for node in _walk(root)}
-    found = [i for (i, _), hit in zip(hashes.items(), known(np.fromiter(hashes.values(), np.int64)), strict=True) if hit]
+    hits = known(np.fromiter([*s.literal.values(), *s.shapes.values()], np.int64))
+    found = [(k, n >= len(s.literal)) for n, (k, hit) in enumerate(zip(keys, hits, strict=True)) if hit]
     if not found:
         return set()
-    whole = len(main_text(root))
-    return {i for i in found if of[i].name not in _LEAF | _INLINE or 2 * _length(of[i]) < whole}
+    whole = len(main_text(root)) or s.chars
+    out = set()
+    for k, by_shape in found:
+        if by_shape:
+            keep = s.share[s.shapes[k]] and 2 * s.share[s.shapes[k]] >= s.prose
+        else:
+            keep = s.nodes[k].name in _LEAF | _INLINE and 2 * _length(s.nodes[k]) >= whole
+        if not keep:
+            out.add(k)
+    return out
+
 
+def _length(node: Node) -> int:
+    return sum(len(" ".join(c.split())) for x in _walk(node) for c in x.children if isinstance(c, str))
 
-def main_text(root: Node, deleted: set[int] = frozenset()) -> str:
-    """The text of all main elements and articles (else of the body), without what is deleted (by id()) or no article."""
-    guard = guarded(root)
+
+def main_text(root: Node, deleted: set[int] = frozenset(), names: bool = True) -> str:
+    """The text of all main elements and articles (else of the body), without what is deleted (by id()) or no article.
+
+    names=False goes by what is deleted alone: no element counts for its name, class or role."""
+    if not names:
+        _drops, guard = (lambda node, inside, guard: node.name == "head"), frozenset()
+    else:
+        _drops, guard = _no_article, guarded(root)
     kept, todo = [], [root]
     while todo:  # outermost articles and main elements that aren't part of something dropped
         node = todo.pop()
-        if _no_article(node, False, guard) or id(node) in deleted:
+        if _drops(node, False, guard) or id(node) in deleted:
             continue
-        if node.name in ("article", "main"):
+        if names and node.name in ("article", "main"):
             kept.append(node)
             continue
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
@@ -239,11 +321,11 @@ def main_text(root: Node, deleted: set[int] = frozenset()) -> str:
             if isinstance(node, str):
                 parts.append(node)
                 continue
-            if node is not top and (id(node) in deleted or _no_article(node, inside, guard)):
+            if node is not top and (id(node) in deleted or _drops(node, inside, guard)):
                 if node.name in _BLOCK:
                     parts.append(" ")
                 continue
-            if node.name in _BLOCK or node.name in ("br", "img"):
+            if node.name in _BLOCK or node.name == "br":
                 parts.append(" ")
                 stack.append(" ")
             stack += reversed(node.children)
@@ -264,31 +346,36 @@ def _of_host(host: str, hashes: np.ndarray) -> np.ndarray:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, subtrees, mains = [], [], []
+        hosts, subtrees, mains, prose, whole = [], [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root = parse(page)
-            main = xxhash.xxh64_intdigest(main_text(root)) - (1 << 63)
-            found = set(subtree_hashes(root).values())
+            s = Subtrees(parse(page))
+            found = s.counted()
             hosts += [host] * (len(found) + 1)
             subtrees += [*found, None]  # null stands for the page
-            mains += [main] * (len(found) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(mains, pa.int64())], names=["host", "subtree", "main"])
+            prose += [*found.values(), 0]
+            mains += [s.main] * (len(found) + 1)
+            whole += [s.prose] * (len(found) + 1)
+        columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (subtrees, mains, prose, whole))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "subtree", "main", "prose", "whole"])
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, subtree long): subtrees under at least least_pages different main texts of the host and, of all its n main texts,
-    least_share or LOG_PAGES * log2(n), whichever is less.
+    least_share or LOG_PAGES * log2(n), whichever is less; structures hold less than MOST_SHARE of these pages' prose.
 
     Copies of a page count once, as they have one main text.  Pages without a host have no template."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("host is not null and html is not null")
-    seen = rows.mapInArrow(_subtrees, "host string, subtree long, main long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    seen = rows.mapInArrow(_subtrees, "host string, subtree long, main long, prose long, whole long")
+    seen = seen.groupBy("host", "subtree", "main").agg(F.max("prose").alias("prose"), F.max("whole").alias("whole"))
+    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.sum("prose").alias("prose"), F.sum("whole").alias("whole"))
+    counts = cut(counts.where((F.col("n") >= least_pages) | F.col("subtree").isNull()))
     hosts = counts.where("subtree is null").select("host", F.col("n").alias("all"))
     bar = F.least(F.col("all") * least_share, LOG_PAGES * F.log2("all"))
-    return counts.where("subtree is not null").where(F.col("n") >= least_pages).join(hosts, "host").where(F.col("n") >= bar).select("host", "subtree")
+    found = counts.where("subtree is not null").where((F.col("prose") == 0) | (F.col("prose") < MOST_SHARE * F.col("whole")))
+    return found.join(hosts, "host").where(F.col("n") >= bar).select("host", "subtree")
 
 
-def _extract(shared):
+def _extract(shared, names: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
@@ -298,7 +385,7 @@ def _extract(shared):
                 if host is not None:
                     every = shared.value if shared is not None else np.array(own or [], np.int64)
                     deleted = template_nodes(root, lambda x: np.isin(x, every) if shared is None else _found(every, _of_host(host, x)))  # noqa: B023
-                texts.append(main_text(root, deleted))
+                texts.append(main_text(root, deleted, names))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -315,13 +402,14 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mixed, pa.int64())], names=["subtree"])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", broadcast_subtrees: int = BROADCAST_SUBTREES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", broadcast_subtrees: int = BROADCAST_SUBTREES, names: bool = True) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every page.
 
     Each block's white space is one space, blocks follow in page order, joined by one space; character references are
     decoded.  Null and empty pages, and those without main text, give the empty text.  Null urls have no host and so no
     template.  Repeated rows stay.  Without rows the result is empty.  Pages aren't shuffled while at most
-    broadcast_subtrees subtrees recur; beyond, they are joined by host, where adaptive execution splits a hot one."""
+    broadcast_subtrees subtrees recur; beyond, they are joined by host, where adaptive execution splits a hot one.  names=False
+leaves all to template removal (see main_text)."""
     found = cut(templates(pages, url, page))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
     if found.count() <= broadcast_subtrees:
@@ -331,4 +419,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     else:
         shared = None
         rows = rows.join(found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees")), "host", "left").select("page_id", "url", "host", "html", "subtrees")
-    return rows.mapInArrow(_extract(shared), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
+    return rows.mapInArrow(_extract(shared, names), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")

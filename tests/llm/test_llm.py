@@ -340,6 +340,44 @@ def test_html_rare_template(spark):
         assert got[603] == "Moved for good 3"
 
 
+def test_html_structure_removes(spark):
+    """Without any name list or article selection, structure alone removes menus, adverts and footers whose words differ by page."""
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+    def page(i):
+        menu = "".join(f"<li><a href='/{say(1)}'>{say(1)}</a></li>" for _ in range(rng.integers(3, 7)))
+        body = "".join(f"<p class=lead>{say(rng.integers(20, 60))}</p>" for _ in range(rng.integers(2, 6)))
+        want.append(" ".join(re.findall("<p class=lead>([^<]*)", body)))
+        return f"<body><div class='xa'><ul>{menu}</ul></div><div id='box-{i}'>{say(4)}</div><div class=xc>{body}</div><div class=xf>{say(3)} &copy;</div></body>"
+
+    want: list[str] = []
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(40)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df, names=False).collect()}
+    assert [got[i] for i in range(40)] == want
+    # two pages are no template: everything stays
+    few = {r["page_id"]: r["text"] for r in html_extract.extract(df.where("page_id < 2"), names=False).collect()}
+    assert all(few[i] != want[i] and want[i] in few[i] for i in range(2))
+
+
+def test_html_given_pages(spark):
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages")
+    got, alone = ({r["page_id"]: r["text"] for r in html_extract.extract(pages, names=x).collect()} for x in (True, False))
+    article = {r["page_id"]: html_extract.main_text(html_extract.parse(re.search("(?s)<article>.*</article>", r["html"])[0])) for r in pages.collect()}
+    assert got == article
+    hosts = {r["page_id"]: r["h"] for r in pages.select("page_id", html_extract.host_of("url").alias("h")).collect()}
+    large = [k for k, h in hosts.items() if list(hosts.values()).count(h) >= 10]
+    assert np.mean([alone[k] == article[k] for k in large]) > 0.9
+
+
+def test_html_deep():
+    import time
+
+    began = time.time()
+    root = html_extract.parse("<div>" * 30_000 + "a" + "</span></p>" * 30_000)
+    assert html_extract.main_text(root).split() == ["a"] and time.time() - began < 20
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
@@ -350,6 +388,7 @@ def test_html_rare_template(spark):
         ("<form><article>a b</article><div class='cookie-banner'>no</div></form>", "a b"),
         ("<main>body <article>a</article></main><main>c<div class=related><article>no</article></div></main>", "body a c"),
         ("<article>a b</article><form>no</form><div role=dialog>no</div>", "a b"),
+        ("<article><p>foo<img>bar <math><mi>x</mi></math></p></article>", "foobar x"),
     ],
 )
 def test_html_guard(page, want):
