@@ -7,7 +7,10 @@ small where many unlike texts share a passage.  Inside tiles, parity bitmaps bou
 bit counts, and the pairs that pass are decided by intersecting the sorted arrays.
 
 Tiles of many alike texts don't make all their pairs: two rounds first compare each member with one pivot of its tiles and
-join components; then pairs are made only across different components, block by block.  No link between components is
+join components; then members are compared only across different components, block by block, and no pair leaves a block
+before it is verified.  Bitmaps first tell which members of a block have a partner that may reach the threshold; only
+their arrays are fetched, once for each such block, and a block gives the verified links that span its components, fewer
+than its members.  Two members that share several tiles are compared in the first of them.  No link between components is
 lost, as every pair that shares a tile is either in one component already or compared.
 """
 
@@ -26,10 +29,12 @@ from episodica.llm.textbytes import _SLOT_CODES, LOWER, Run, give_back, mix, run
 #: Texts that share a hash from which it counts as frequent, and frequent hashes that are told to tasks at most (8 MB).
 #: Both only shape the order of prefixes; results are the same for any values.
 FREQUENT, MOST_FREQUENT = 64, 1 << 20
-#: Postings that a task gathers, and members of a tile that one block compares.
-TASK_POSTINGS, BLOCK = 1 << 20, 1024
+#: Postings that a task gathers, and members of a tile, and all their shingles, that one block holds.
+TASK_POSTINGS, BLOCK, BLOCK_SHINGLES = 1 << 20, 1024, 1 << 21
 #: Members that are compared with a pivot in one group.
 GROUP = 512
+#: Candidates of a member whose arrays are intersected at once.
+CHUNK = 32
 #: Parts by low bits of the hash in which a task works through its postings, and bytes of text whose postings are
 #: gathered at once: a worker's temporary arrays are bounded by these.
 PARTS, GATHER_BYTES = 8, 1 << 23
@@ -234,6 +239,7 @@ def _tiles(t100: int, tasks: int):
     share become one; those of frequent postings, which several tasks hold parts of, are named by posting and band."""
 
     def tiles(rows: list[tuple], whole: bool, part: int, seen: np.ndarray) -> tuple[tuple, np.ndarray]:
+        """tile, key, size and own of the members."""
         chosen = []
         for task, h, k, n, c in rows:
             code = _long(h) | np.uint64(task << 40) if whole else np.frombuffer(h, np.uint64)
@@ -249,12 +255,12 @@ def _tiles(t100: int, tasks: int):
         band = bands(sizes, t100).astype(np.uint64)
         both = np.concatenate([band, band + np.uint64(1)])
         tile = mix(np.concatenate([hashes, hashes]) ^ mix(both + np.uint64(0x51ED27)))
-        keys, own = np.concatenate([keys, keys]), np.arange(2 * len(hashes)) < len(hashes)
+        keys, sizes, own = np.concatenate([keys, keys]), np.concatenate([sizes, sizes]), np.arange(2 * len(hashes)) < len(hashes)
         order = np.lexsort((~own, keys, tile))
-        tile, keys, own = tile[order], keys[order], own[order]
+        tile, keys, sizes, own = tile[order], keys[order], sizes[order], own[order]
         new = np.ones(len(tile), bool)
         new[1:] = (tile[1:] != tile[:-1]) | (keys[1:] != keys[:-1])
-        tile, keys, own = tile[new], keys[new], own[new]
+        tile, keys, sizes, own = tile[new], keys[new], sizes[new], own[new]
         if whole and len(tile):
             first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
             count = np.diff(np.append(first, len(tile)))
@@ -266,8 +272,8 @@ def _tiles(t100: int, tasks: int):
             kept &= (count > 1) & (owners > 0) & ~np.isin(name, seen)
             seen = np.concatenate([seen, name[kept]])
             at = np.repeat(kept, count)
-            tile, keys, own = np.repeat(name, count)[at], keys[at], own[at]
-        return (tile, keys, own), seen
+            tile, keys, sizes, own = np.repeat(name, count)[at], keys[at], sizes[at], own[at]
+        return (tile, keys, sizes, own), seen
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, often, seen = [], [], np.zeros(0, np.uint64)
@@ -276,43 +282,26 @@ def _tiles(t100: int, tasks: int):
                 (often if row[0] >= tasks else parts).append(row)
         for rows, whole in ((parts, True), (often, False)):
             for part in range(PARTS if rows else 0):
-                (tile, keys, own), seen = tiles(rows, whole, part, seen)
-                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(keys), pa.array(own)], names=["tile", "key", "own"])
+                (tile, keys, sizes, own), seen = tiles(rows, whole, part, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array(own)], names=["tile", "key", "n", "own"])
         parts = often = rows = None
         give_back()
 
     return deal
 
 
-def _bitmaps(shingle: int):
-    """key, n and bitmap of the texts whose expected class (column 1) they are of."""
+def _fetched(shingle: int, form):
+    """The rows of texts that are of the expected class (column key), without the text but with form(sorted array) as data."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            expected = np.asarray(batch.column(1))
-            for run in runs(batch.column(0)):
+            expected, rest = np.asarray(batch.column("key")), batch.drop_columns(["text"])
+            for run in runs(batch.column("text")):
                 s = Sets(run, shingle)
-                at = np.flatnonzero(s.keys == expected[run.first : run.first + run.n]).tolist()
-                bits = [bitmap(s.hashes[s.offs[i] : s.offs[i + 1]]) for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(s.keys[at], pa.int64()), pa.array(s.n[at].astype(np.int32)), pa.array(bits, pa.binary())], names=["key", "n", "bits"])
-
-    return fetch
-
-
-def _arrays(shingle: int):
-    """The sorted array of each text of the expected class, for each of its roles: pivot of a group of comparisons (0), or member (1)."""
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "part", "role", "key", "hashes"]
-        for batch in batches:
-            expected = np.asarray(batch.column(1))
-            for run in runs(batch.column(0)):
-                s, out = Sets(run, shingle), []
-                for i in np.flatnonzero(s.keys == expected[run.first : run.first + run.n]).tolist():
-                    data = s.hashes[s.offs[i] : s.offs[i + 1]].tobytes()
-                    out += [(r["pivot"], r["part"], r["role"], int(s.keys[i]), data) for r in batch.column(2)[run.first + i].as_py()]
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
+                at = np.flatnonzero(s.keys == expected[run.first : run.first + run.n])
+                data = [form(s.hashes[s.offs[i] : s.offs[i + 1]]) for i in at.tolist()]
+                rows = rest.take(pa.array(run.first + at))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(data, pa.binary())], names=[*rows.schema.names, "data"])
 
     return fetch
 
@@ -324,7 +313,7 @@ def _intersect(t100: int):
         pivot, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for group, role, key, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+            for group, role, key, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "role", "key", "data")), strict=True):
                 if role == 0:
                     pivot, held = group, np.frombuffer(data, np.uint64)
                 elif pivot == group:
@@ -340,86 +329,160 @@ def _intersect(t100: int):
     return check
 
 
-def _across(t100: int):
-    """Pairs of one block tile, across components, whose sizes and bitmaps allow the threshold; rows come ordered by tile and blocks."""
-
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, comp, n, own, side = (np.asarray(rows[c]) for c in ("key", "comp", "n", "own", "side"))
-        order = np.argsort(n, kind="stable")
-        key, comp, n, own, side = key[order], comp[order], n[order].astype(np.int64), own[order], side[order]
-        raw = rows["bits"].to_pylist()
-        raw = [raw[i] for i in order.tolist()]
-        sizes = np.array([len(x) for x in raw])  # ascending, as they follow n
-        folded = {}  # bitmaps of all that are at least so large, folded to that size
-        for size in np.unique(sizes).tolist():
-            first = int(np.searchsorted(sizes, size))
-            to = int(np.searchsorted(n, 100 * n[np.searchsorted(sizes, size, "right") - 1] // t100, "right"))
-            parts = [_fold(np.frombuffer(b"".join(raw[i:j]), np.uint8).reshape(j - i, -1), size) for i, j in _slices(sizes) if i >= first and i < to]
-            folded[size] = first, np.concatenate(parts).view(np.uint64)
-        same, out = bool(rows["same"][0].as_py()), []
-        to = np.searchsorted(n, 100 * n // t100, "right")
-        for i in range(len(n)):
-            j = np.arange(i + 1, to[i])
-            j = j[(comp[j] != comp[i]) & (own[j] | own[i])]
-            if not same:
-                j = j[side[j] != side[i]]
-            if len(j):
-                first, maps = folded[int(sizes[i])]
-                differ = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
-                j = j[_reaches(_overlap_bound(int(n[i]), n[j], differ), n[i], n[j], t100)]
-                out.append((np.full(len(j), key[i]), key[j]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
+class Block:
+    """Members of two blocks of a tile, or of one, by size; candidates(i) are the later ones that i is to be compared with."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, rows: pa.Table, t100: int, whole: bool):
+        """whole: data holds sorted arrays, else bitmaps."""
+        sizes = np.asarray(rows["n"])
+        self.order = np.argsort(sizes, kind="stable")
+        self.t100, self.n = t100, sizes[self.order].astype(np.int64)
+        self.key, self.comp, self.own, self.side = (np.asarray(rows[c])[self.order] for c in ("key", "comp", "own", "side"))
+        self.same, tile = bool(rows["same"][0].as_py()), rows["tile"][0].as_py()
+        raw = rows["data"].to_pylist()
+        raw = [raw[i] for i in self.order.tolist()]
+        if whole:
+            self.arrays = [np.frombuffer(x, np.uint64) for x in raw]
+            raw = [bitmap(x) for x in self.arrays]
+        self.sizes = np.array([len(x) for x in raw])  # ascending, as they follow n
+        self.to = np.searchsorted(self.n, 100 * self.n // t100, "right")
+        self.folded = {}  # bitmaps of all that are at least so large, folded to that size
+        for size in np.unique(self.sizes).tolist():
+            first = int(np.searchsorted(self.sizes, size))
+            to = int(self.to[np.searchsorted(self.sizes, size, "right") - 1])
+            parts = [_fold(np.frombuffer(b"".join(raw[i:j]), np.uint8).reshape(j - i, -1), size) for i, j in _slices(self.sizes) if i >= first and i < to]
+            self.folded[size] = first, np.concatenate(parts).view(np.uint64)
+        self._earlier(rows["codes"].combine_chunks(), tile)
+
+    def _earlier(self, codes: pa.ListArray, tile: int) -> None:
+        """For each member the tiles before this one that others of the block are in too, as bits: all, and those it owns."""
+        codes = codes.take(pa.array(self.order))
+        flat, counts = np.asarray(codes.flatten()), np.diff(np.asarray(codes.offsets))
+        of = np.repeat(np.arange(len(counts)), counts)
+        own, flat = (flat & 1).astype(bool), flat >> 1
+        before = flat < np.array([tile], np.int64)[0] << np.int64(1) >> np.int64(1)
+        flat, of, own = flat[before], of[before], own[before]
+        values, back, met = np.unique(flat, return_inverse=True, return_counts=True)
+        place = np.cumsum(met > 1) - 1
+        shared = met[back] > 1
+        at, of, own = place[back[shared]], of[shared], own[shared]
+        width = max(1, -(-int((met > 1).sum()) // 64))
+        self.all, self.owned = np.zeros((len(counts), width), np.uint64), np.zeros((len(counts), width), np.uint64)
+        bit = np.uint64(1) << (at & 63).astype(np.uint64)
+        np.bitwise_or.at(self.all, (of, at >> 6), bit)
+        np.bitwise_or.at(self.owned, (of[own], at[own] >> 6), bit[own])
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Later members of other components whose sizes and bitmaps allow the threshold and that no earlier tile compares with i."""
+        j = np.arange(i + 1, self.to[i])
+        j = j[(self.comp[j] != self.comp[i]) & (self.own[j] | self.own[i])]
+        if not self.same:
+            j = j[self.side[j] != self.side[i]]
+        if len(j):
+            first, maps = self.folded[int(self.sizes[i])]
+            differ = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(1)
+            j = j[_reaches(_overlap_bound(int(self.n[i]), self.n[j], differ), self.n[i], self.n[j], self.t100)]
+        if len(j):
+            j = j[~((self.owned[i] & self.all[j]) | (self.all[i] & self.owned[j])).any(1)]
+        return j
+
+    def links(self) -> tuple[list[int], list[int]]:
+        """Verified links that span the components of the block."""
+        comps, of = np.unique(self.comp, return_inverse=True)
+        label, a, b = np.arange(len(comps)), [], []  # components that are one by now have one label
+        for i in range(len(self.n)):
+            todo, mine = self.candidates(i), self.arrays[i]
+            while len(todo := todo[label[of[todo]] != label[of[i]]]):
+                now, todo = todo[:CHUNK], todo[CHUNK:]
+                flat = np.concatenate([self.arrays[j] for j in now.tolist()])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                starts = np.concatenate([[0], np.cumsum(self.n[now])[:-1]])
+                shared = np.add.reduceat(hit, starts, dtype=np.int64)
+                for j in now[_reaches(shared, self.n[i], self.n[now], self.t100)].tolist():
+                    if label[of[j]] != label[of[i]]:
+                        label[label == label[of[j]]] = label[of[i]]
+                        a.append(int(self.key[i]))
+                        b.append(int(self.key[j]))
+        return a, b
+
+
+def _by_block(work, schema: pa.Schema):
+    """work(rows) for the rows of each (tile, t0, t1), by which they come ordered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def groups(table: pa.Table, last: bool):
-            """Whole tiles of the table; unless it is the last, its last tile waits."""
+        def groups(table: pa.Table, last: bool) -> pa.RecordBatch:
+            """Whole blocks of the table; unless it is the last, its last block waits."""
             ids = np.stack([np.asarray(table[c]).astype(np.int64) for c in ("tile", "t0", "t1")], 1)
-            first = np.flatnonzero(np.any(np.diff(ids, axis=0, prepend=ids[:1] - 1) != 0, axis=1))
+            first = np.flatnonzero(np.append(True, np.any(ids[1:] != ids[:-1], axis=1)))
             ends = np.append(first[1:], len(ids))
-            for a, b in list(zip(first.tolist(), ends.tolist(), strict=True))[: None if last else -1]:
-                yield pairs(table.slice(a, b - a))
-            if not last:
-                held[:] = table.slice(int(first[-1])).combine_chunks().to_batches()
-
-        def out(found):
-            found = list(found)
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found = [work(table.slice(a, b - a)) for a, b in list(zip(first.tolist(), ends.tolist(), strict=True))[: None if last else -1]]
+            held[:] = [] if last else table.slice(int(first[-1])).combine_chunks().to_batches()
+            return pa.concat_tables([schema.empty_table(), *(x.select(schema.names).cast(schema) for x in found)]).combine_chunks()
 
         for batch in batches:
             if batch.num_rows:
-                yield out(groups(pa.Table.from_batches([*held, batch]).combine_chunks(), False))
+                yield from groups(pa.Table.from_batches([*held, batch]).combine_chunks(), False).to_batches()
         if held:
-            yield out(groups(pa.Table.from_batches(held), True))
+            yield from groups(pa.Table.from_batches(held).combine_chunks(), True).to_batches()
         give_back()
 
-    return check
+    return run
+
+
+_MEMBER = pa.schema([("tile", pa.int64()), ("t0", pa.int32()), ("t1", pa.int32()), ("key", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("own", pa.bool_()), ("side", pa.int32()), ("same", pa.bool_()), ("codes", pa.list_(pa.int64()))])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _hopeful(t100: int):
+    """The members of each block that have a candidate in it."""
+
+    def select(rows: pa.Table) -> pa.Table:
+        block, hit = Block(rows, t100, False), np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            j = block.candidates(i)
+            hit[j] = True
+            hit[i] |= len(j) > 0
+        return rows.filter(pa.array(hit[np.argsort(block.order)]))
+
+    return _by_block(select, _MEMBER)
+
+
+def _spanning(t100: int):
+    """The links of each block."""
+
+    def link(rows: pa.Table) -> pa.Table:
+        a, b = Block(rows, t100, True).links()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK)
+
+    return _by_block(link, _LINK)
 
 
 def _of_classes(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """The text of one document of each wanted class, with wanted's columns: (text, key, ...)."""
+    """The text of one document of each wanted class (a row each), with wanted's columns: (text, key, ...)."""
     ids = cut(wanted.join(classes.select("key", F.col("any_id").alias("_id")), "key"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
     return docs.join(ids, "_id").select("text", *wanted.columns)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t100: int, shingle: int) -> DataFrame:
-    """The pairs (a, b), distinct, that reach the threshold, a being the one that is compared with many.
-
-    Texts are read once more where they lie, and each array moves once for each of its pairs; a pivot of very many pairs
-    is repeated for parts of them."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_parts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"))
-    roles = dealt.select(F.col("b").alias("key"), F.struct(F.col("a").alias("pivot"), "part", F.lit(1).alias("role")).alias("r"))
-    roles = roles.union(dealt.select("a", "part").distinct().select(F.col("a").alias("key"), F.struct(F.col("a").alias("pivot"), "part", F.lit(0).alias("role")).alias("r")))
-    roles = roles.groupBy("key").agg(F.collect_list("r").alias("roles"))
-    arrays = _of_classes(docs, roles, classes).mapInArrow(_arrays(shingle), "pivot long, part int, role int, key long, hashes binary")
-    return arrays.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").mapInArrow(_intersect(t100), "a long, b long").distinct()
+    """The pairs (a, b) that reach the threshold; each b has one pair, a being its pivot.
+
+    Texts are read once more where they lie.  The array of a member moves once, that of a pivot once for each GROUP of its
+    members, so no group grows with the pivot."""
+    pivots = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("own")))
+    many = pivots.where("own > 1")  # at most one for each GROUP pairs
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    dealt = pairs.join(many, "a", "left").select(F.col("b").alias("key"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.coalesce("own", F.lit(1))).cast("int").alias("part"))
+    wanted = dealt.join(pivots.withColumnRenamed("a", "key"), "key", "full").select("key", "pivot", "part", "own")
+    arrays = _of_classes(docs, wanted, classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "key long, pivot long, part int, own int, data binary")
+    role = lambda pivot, part, k: F.struct(pivot.alias("pivot"), part.cast("int").alias("part"), F.lit(k).alias("role"))
+    none = F.array().cast("array<struct<pivot:long,part:int,role:int>>")
+    member = F.when(F.col("pivot").isNotNull(), F.array(role(F.col("pivot"), F.col("part"), 1))).otherwise(none)
+    leads = F.when(F.col("own").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: role(F.col("key"), i, 0))).otherwise(none)
+    rows = arrays.select("key", "data", F.explode(F.concat(member, leads)).alias("r")).select("r.pivot", "r.part", "r.role", "key", "data")
+    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").mapInArrow(_intersect(t100), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -443,7 +506,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     often = counted.mapInArrow(_frequent(FREQUENT), "hash long, n long").orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).select("hash").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often["hash"]).astype(np.int64).view(np.uint64)))
     posted = texts.mapInArrow(_postings(shingle, t100, tasks, frequent), "task int, hashes binary, keys binary, sizes binary, counts binary")
-    members = cut(posted.repartitionById(2 * tasks, "task").mapInArrow(_tiles(t100, tasks), "tile long, key long, own boolean").distinct())
+    members = cut(posted.repartitionById(2 * tasks, "task").mapInArrow(_tiles(t100, tasks), "tile long, key long, n int, own boolean").distinct())
 
     # a text that others were made from has no rare hashes of its own, so its prefix lies in the most tiles: a good pivot
     members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("tiles")), "key"))
@@ -462,17 +525,20 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links).select(F.col("id").alias("key"), F.col("component").alias("comp"))
     labelled = cut(members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
-    mixed = labelled.groupBy("tile").agg(F.count("*").alias("_n"), F.max("own").alias("_own"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_own and _low < _high")
-    mixed = mixed.select("tile", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    mixed = labelled.groupBy("tile").agg(F.count("*").alias("_count"), F.sum("n").alias("_size"), F.max("own").alias("_own"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_own and _low < _high")
+    mixed = mixed.select("tile", F.ceil(F.greatest(F.col("_count") / BLOCK, F.col("_size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     rows = cut(labelled.join(mixed, "tile"))
-    maps = _of_classes(docs, rows.select("key").distinct(), classes).mapInArrow(_bitmaps(shingle), "key long, n int, bits binary").dropDuplicates(["key"])
-    rows = rows.join(maps, "key")
+    # a member's tiles: as many as its own prefix has
+    code = F.shiftleft("tile", 1).bitwiseOR(F.col("own").cast("long"))
+    tiles = rows.groupBy("key").agg(F.sort_array(F.collect_list(code)).alias("codes"))
+    maps = _of_classes(docs, rows.select("key").distinct(), classes).mapInArrow(_fetched(shingle, bitmap), "key long, data binary").dropDuplicates(["key"])
+    rows = rows.join(maps.join(tiles, "key"), "key")
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("tile", F.least("_block", "_other").alias("t0"), F.greatest("_block", "_other").alias("t1"), "key", "comp", "n", "own", (F.col("_block") > F.col("_other")).cast("int").alias("side"), (F.col("_block") == F.col("_other")).alias("same"), "bits")
-    rows = rows.repartition("tile", "t0", "t1").sortWithinPartitions("tile", "t0", "t1")
-    pairs = rows.mapInArrow(_across(t100), "a long, b long").distinct()
-    pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(_verified(docs, cut(pairs), classes, t100, shingle))
+    rows = rows.select("tile", F.least("_block", "_other").alias("t0"), F.greatest("_block", "_other").alias("t1"), "key", "comp", "n", "own", (F.col("_block") > F.col("_other")).cast("int").alias("side"), (F.col("_block") == F.col("_other")).alias("same"), "codes", "data")
+    ordered = lambda rows: rows.repartition("tile", "t0", "t1").sortWithinPartitions("tile", "t0", "t1")
+    hopeful = cut(ordered(rows).mapInArrow(_hopeful(t100), "tile long, t0 int, t1 int, key long, comp long, n int, own boolean, side int, same boolean, codes array<long>"))
+    arrays = _of_classes(docs, hopeful.select("key").distinct(), classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "key long, data binary").dropDuplicates(["key"])
+    links = links.union(ordered(hopeful.join(arrays, "key")).mapInArrow(_spanning(t100), "a long, b long"))
     joined = components(links)
     lows = joined.join(classes, joined["id"] == classes["key"]).groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = classes.join(joined.withColumnRenamed("id", "key"), "key", "left").join(lows, "component", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
