@@ -1,9 +1,9 @@
 """Corpus pipeline: documents to packed training sequences, one stage after the other.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
-columns of documents.  Stages make no assumption on unique ids: rows are filtered by their own text, a repeated id stays
-or goes as one, rows without an id are never dropped as copies, and null texts count as empty (the quality rules reject
-them).  An empty table passes through every stage.
+columns of documents.  Stages make no assumption on unique ids: rows are filtered by their own text, rows that repeat an id
+or have none are told apart when copies are dropped (the mix repeats rows of one id alike), and null texts count as empty
+(the quality rules reject them).  An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -36,12 +36,20 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group that shares its word shingles."""
-    docs = _texts(spark, docs)
-    found = ngram_join.jaccard_components(docs)
-    dropped = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("merge")
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of rows that share word shingles the one of least id (null last), of equal ids the first row."""
+    # a written table, so that rows keep their numbers however often they are read
+    docs = write_table(_texts(spark, docs).withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    found = ngram_join.jaccard_components(docs, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    found = cut(found.join(docs.select("_row", "doc_id"), "_row"))
+    first = found.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"), F.count("*").alias("_n"))
+    first = cut(first.where("_n > 1").select("_group", F.col("_first._row").alias("_kept")))
+    dropped = cut(found.join(_small(first), "_group").where("_row <> _kept").select("_row"))
+    return docs.join(_small(dropped), "_row", "left_anti").select(*COLUMNS)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """rows to be broadcast if they are few, else shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
