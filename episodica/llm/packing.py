@@ -18,6 +18,8 @@ from episodica.llm.textbytes import runs
 CAPACITY = 4096
 #: Pieces that one differencing run takes; groups are formed by hash and packed independently.
 GROUP_ROWS = 2048
+#: Groups that one task packs at most: its rows are held at once (about 10 MB).
+GROUPS = 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -95,7 +97,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer, end_id, capacity), PIECE)
 
 
-def _group(capacity: int):
+def _place(capacity: int, schema: pa.Schema):
+    """sequence_id and offset of the pieces of a task's groups, each group packed for itself."""
+
     def place(group: pa.Table) -> pa.Table:
         sizes = np.asarray(group["length"]).astype(np.int64)
         windows = pack_sizes(sizes, capacity)
@@ -108,7 +112,16 @@ def _group(capacity: int):
         sequence = (np.asarray(group["_group"]).astype(np.int64) << 20 | windows) << 1 | 1
         return group.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return place
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema)  # a bounded number of narrow rows: see GROUPS
+        group = np.asarray(rows["_group"])
+        order = np.argsort(group, kind="stable")
+        rows, group = rows.take(pa.array(order)), group[order]
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=False):
+            yield from place(rows.slice(a, b - a).combine_chunks()).to_batches()
+
+    return run
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -122,6 +135,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     full = rows.where(F.col("length") == capacity).withColumn("sequence_id", F.col("_row") * 2).withColumn("offset", F.lit(0).cast("long")).drop("_row")
     rest = rows.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_rows))
-    rest = rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).drop("_row")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rest.drop("_group").dtypes) + ", sequence_id long, offset long"
-    return full.unionByName(rest.groupBy("_group").applyInArrow(_group(capacity), schema))
+    rest = rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int")).drop("_row")
+    # the work is CPU, which sizes in bytes don't show: groups are dealt evenly to a set number of tasks
+    tasks = max(min(groups, 2 * rows.sparkSession.sparkContext.defaultParallelism), -(-groups // GROUPS))
+    kinds = {"int": pa.int32(), "bigint": pa.int64()}
+    schema = pa.schema([(n, kinds[t]) for n, t in rest.dtypes])
+    out = ", ".join(f"`{n}` {t}" for n, t in rest.drop("_group").dtypes) + ", sequence_id long, offset long"
+    dealt = rest.repartitionById(tasks, F.pmod(F.col("_group"), F.lit(tasks)))
+    return full.unionByName(dealt.mapInArrow(_place(capacity, schema), out))
