@@ -52,6 +52,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_BATCH_ROWS))
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """name, with as many _ before it as make it none of taken (in any case of letters)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def bucket_of(key: Column, splitters: list) -> Column:
     """The number of splitters (ascending) that are <= key, by a two-level search; null keys count as least."""
     if not splitters:
@@ -88,4 +95,4 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "id long, component long")
 
 
-__all__ = ["BROADCAST_ROWS", "TEXT_BATCH_ROWS", "bound_batches", "bucket_of", "components", "cut", "new_path", "shared_dir", "write_table"]
+__all__ = ["BROADCAST_ROWS", "TEXT_BATCH_ROWS", "bound_batches", "bucket_of", "components", "cut", "new_path", "shared_dir", "unused", "write_table"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import cut
+from episodica.llm.common import cut, unused
 
 #: White space of the word pattern, as a Java character class.
 SPACES = r"\x20\x09-\x0D"
@@ -90,13 +90,15 @@ def apply_plan(docs: DataFrame, plan: DataFrame, source: str = "source", key: st
     """Adds source_size, target and copies (times that the mix takes the whole row) to docs; columns of these names are replaced.
 
     A join with the catalogue of sources: broadcast while that is short, else shuffled."""
-    plan = plan.withColumnRenamed("source", "_source")
+    own = {c: unused(f"_{c}", docs.columns) for c in ("source", "source_size", "target", "whole", "last")}
+    plan = plan.select(*[F.col(c).alias(name) for c, name in own.items()])
     if plan.count() <= 10_000:
         plan = F.broadcast(plan)
     docs = docs.drop("source_size", "target", "copies")
-    out = docs.join(plan, docs[source].eqNullSafe(plan["_source"]), "left")
-    copies = F.col("whole") + F.when(_order(key, seed) < F.col("last"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).drop("_source", "whole", "last")
+    out = docs.join(plan, docs[source].eqNullSafe(plan[own["source"]]), "left")
+    copies = F.col(own["whole"]) + F.when(_order(key, seed) < F.col(own["last"]), 1).otherwise(0)
+    out = out.withColumns({"source_size": F.col(own["source_size"]), "target": F.col(own["target"]), "copies": copies.cast("long")})
+    return out.drop(*own.values())
 
 
 def mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id", weights: DataFrame | None = None, max_epochs: float = 3, seed: int = 0, budget: int | None = None) -> DataFrame:
@@ -115,4 +117,6 @@ def mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id",
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """Each row as often as its copies say, without the columns that mix added."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies", "target", "source_size", "taken")
+    copy = unused("_copy", mixed.columns)
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mixed.where("copies > 0").withColumn(copy, times).drop(copy, "copies", "target", "source_size", "taken")

@@ -89,6 +89,41 @@ def test_join_random_near_copies(spark):
         ngram_join.FREQUENT, ngram_join.BLOCK = frequent, block
 
 
+def test_join_one_large_group(spark):
+    """2000 near copies, many of them too far from any pivot, among unlike texts that share a passage."""
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(3000)])
+    base, shared = rng.choice(words, 60), list(rng.choice(words, 12))
+    data = []
+    for i in range(2000):
+        copy = base.copy()
+        at = rng.choice(60, rng.integers(0, 5), replace=False)
+        copy[at] = rng.choice(words, len(at))
+        data.append(list(copy))
+    data += [list(rng.choice(words, 45)) + shared for _ in range(300)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in data]
+    place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(data), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    shared_n, n = m @ m.T, m.sum(1)
+    near = 100 * shared_n >= 75 * (n[:, None] + n[None] - shared_n)
+    label = np.arange(len(data))
+    while True:
+        low = np.where(near, label[None], len(data)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(data)], "doc_id long, text string")
+    block, ngram_join.BLOCK = ngram_join.BLOCK, 256
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    finally:
+        ngram_join.BLOCK = block
+    assert [got[i] for i in range(len(data))] == label.tolist()
+    assert 50 < len(set(label[:2000].tolist())) < 2000
+
+
 def test_mixing(docs, empty):
     data = docs.withColumn("size", mixing.word_count(F.col("text")))
     assert {(r["text"], r["size"]) for r in data.collect()} == {(r[1], len(WORD.findall(r[1] or ""))) for r in rows()}
@@ -104,6 +139,18 @@ def test_mixing(docs, empty):
     assert mixing.repeat_rows(mixing.mix(data, "size")).count() == sum(r["copies"] for r in got)
 
 
+def test_mixing_clashing_names(spark, docs):
+    odd = ["last", "whole", "_source", "_LAST", "_copy", "source", "_target", "_size", "_key", "_hash"]
+    df = docs.select("doc_id", "text", *[F.col("source").alias(c) for c in odd], F.lit(5).alias("taken"), F.lit(9).alias("target")).withColumn("size", mixing.word_count(F.col("text")))
+    plain = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "size")
+    got = mixing.mix(df, "size")
+    assert set(odd) <= set(got.columns)
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["target"], r["taken"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
+    assert all(r["_source"] == r["source"] and r["last"] == r["source"] for r in got.collect())
+    assert set(odd) <= set(mixing.repeat_rows(got).columns)
+
+
 def test_fill_clamps(spark):
     sizes = spark.createDataFrame([("a", 1.0, 10), ("b", 8.0, 10), ("c", 1.0, 100)], "source string, weight double, source_size long")
     got = {r["source"]: r["target"] for r in mixing.fill(sizes, 3).collect()}
@@ -167,7 +214,13 @@ def test_shards(spark, docs, empty):
 
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
     got = packing.pack(packing.pieces(docs, path, capacity=512), 512).collect()
+    want = []  # every piece by the plain library: cuts at multiples of the capacity
+    for r in rows():
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        want += [(r[0], at, len(ids[at : at + 512]), zlib.crc32(np.array(ids[at : at + 512], "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 512)]
+    assert sorted(((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got), key=str) == sorted(want, key=str)
     assert sum(r["length"] for r in got) == sum(len(Tokenizer.from_file(path).encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows())
     for seq in {r["sequence_id"] for r in got}:
         at = 0
@@ -469,6 +522,22 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.score(empty, weights).count() == 0
 
 
+def test_pipeline_copies_by_row(spark):
+    """Copies that share an id or have none go, and a unique text that shares an id with a copy stays."""
+    import corpus_pipeline
+
+    other = "Seven wise owls watch a calm river at dusk while nobody reads any of the old books there"
+    data = [(5, BASE), (5, BASE), (2, BASE + " now"), (2, other), (None, BASE), (None, BASE.replace("fox", "cat") + " for a while longer than before"), (None, other), (9, "x"), (9, "x"), (None, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", None) for k, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, DATA)
+    sets = [(i, shingles(t)) for i, (_, t) in enumerate(data)]
+    groups = {}
+    for i, g in zip(range(len(data)), brute_components(sets), strict=True):
+        groups.setdefault(g, []).append(i)
+    want = sorted((data[i] for i in (min(g, key=lambda i: (data[i][0] is None, data[i][0] or 0, i)) for g in groups.values())), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == want
+
+
 def test_pipeline(spark, docs, empty):
     import corpus_pipeline
 
