@@ -82,3 +82,77 @@ def sinusoid(t: Column, size: int, low: float = 4e-3, high: float = 4.0) -> Colu
     half = size // 2
     angles = [t * F.lit(2 * math.pi / (low * (high / low) ** (i / max(half - 1, 1)))) for i in range(half)]
     return F.array(*[F.sin(a) for a in angles], *[F.cos(a) for a in angles])
+
+
+def normalise(mode: str, x: Column, stats: dict[str, Column], undo: bool = False) -> Column:
+    """By mode (MEAN_STD, MIN_MAX, QUANTILE, IDENTITY); statistics that are null or infinite raise."""
+    if mode == "IDENTITY":
+        return x
+    forward, back, a, b = MODES[mode]
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    missing = F.raise_error(F.lit(f"no statistics for {mode}")).cast("double")
+    return F.when(finite(stats[a]) & finite(stats[b]), (back if undo else forward)(x, stats[a], stats[b])).otherwise(missing)
+
+
+def mode_of(role: str, action_mode: str = "MEAN_STD") -> str:
+    """States are always normalised by quantiles, actions by their mode, all else not at all."""
+    return {"STATE": "QUANTILE", "ACTION": action_mode}.get(role, "IDENTITY")
+
+
+def concat_vectors(*vectors: Column) -> Column:
+    """Vectors one after the other, in the order of their keys."""
+    return F.concat(*vectors)
+
+
+def relative_keys(actions: dict[str, tuple[Column, int]], states: list[Column], mask: list[bool], sign: int = -1) -> dict[str, Column]:
+    """relative over several keys (each with its size): each takes the next slice of the mask and of the joined states; those past
+    the mask stay, and without states all do."""
+    if not states:
+        return {k: v for k, (v, _) in actions.items()}
+    joined, at, out = F.concat(*states), 0, {}
+    for key, (v, size) in actions.items():
+        part = mask[at : at + size]
+        out[key] = relative(v, F.slice(joined, at + 1, size), part, sign) if len(part) == size else v
+        at += size
+    return out
+
+
+def coefficient_text(q: Column, least: int) -> Column:
+    """Coefficients as characters: each less the least one (0 at least) is a code point."""
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    return F.array_join(F.transform(q, lambda x: letter(F.greatest(x - F.lit(least), F.lit(0)).cast("long"))), "")
+
+
+def text_coefficients(text: Column, size: int, least: int) -> Column:
+    """The coefficients of coefficient_text; zeros where the text isn't size characters long."""
+    letters = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.ascii(F.substring(text, i, F.lit(1))) + F.lit(least))
+    return F.when(F.char_length(text) == size, letters).otherwise(F.array_repeat(F.lit(0), size))
+
+
+def wave(t: Column, size: int, base: float = 10000.0) -> Column:
+    """Sines, then cosines, of t times size/2 frequencies that fall from 1 towards 1/base."""
+    half = size // 2
+    angles = [t * F.lit(math.exp(-i * math.log(base) / half)) for i in range(half)]
+    return F.array(*[F.sin(a) for a in angles], *[F.cos(a) for a in angles])
+
+
+def noisy(action: Column, noise: Column, t: Column) -> Column:
+    """The point between noise (t 0) and action (t 1)."""
+    return (F.lit(1.0) - t) * noise + t * action
+
+
+def velocity(action: Column, noise: Column) -> Column:
+    return action - noise
+
+
+def flow_time(sample: Column, most: float = 0.999) -> Column:
+    """Time from a sample of the unit interval, which is cut at most."""
+    return (F.lit(most) - F.least(sample, F.lit(most))) / F.lit(most)
+
+
+def euler(start: Column, speed, steps: int) -> Column:
+    """start moved on by speed(x, t) in equal steps from time 0 to 1."""
+    x = start
+    for k in range(steps):
+        x = x + speed(x, k / steps) * F.lit(1.0 / steps)
+    return x

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.operators.rows import numbered, shuffled
+from episodica.sources.shared import cut, small
+
 
 def _next_fit(lengths: list[int], capacity: int) -> list[int]:
     out, bin_, load = [], -1, None
@@ -55,23 +58,124 @@ def megabatches(df: DataFrame, key: str, rows: int = 100_000, seed: int = 42) ->
 
 
 def fixed_batches(df: DataFrame, order: list[str], rows: int) -> DataFrame:
-    """Adds batch: 0-based, of so many rows each in order (the last may have fewer), however many there are.
-
-    Rows are range partitioned and sorted once and numbered from the partitions' counts; no task sees more than its range."""
-    by = [F.col(c).asc_nulls_first() for c in order]
-    at = F.monotonically_increasing_id()
-    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", at)
-    context, where = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if where and not context.getCheckpointDir():
-        context.setCheckpointDir(where)
-    placed = placed.checkpoint(eager=True) if context.getCheckpointDir() else placed.localCheckpoint(eager=True)
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    index = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return out.withColumn("batch", F.floor(index / F.lit(rows)).cast("long")).drop("_part", "_start", "_at")
+    """Adds batch: 0-based, of so many rows each in order (the last may have fewer), however many there are."""
+    out = numbered(df, [F.col(c).asc_nulls_first() for c in order], "_place")
+    return out.withColumn("batch", F.floor(F.col("_place") / F.lit(rows)).cast("long")).drop("_place")
+
+
+def _jumps(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """For each row the row that begins the next bin, if a bin begins at it."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    n = np.arange(len(lengths))
+    return np.maximum(np.searchsorted(ends, ends[:-1] + capacity, "right") - 1, n + 1)
+
+
+def _first_break(lengths: np.ndarray, load: int, capacity: int) -> int:
+    """The row at which a bin that holds load so far is closed (their number, if it isn't)."""
+    return int(np.searchsorted(np.cumsum(lengths), capacity - load, "right"))
+
+
+#: Less than any load: marks the entry of a block's table for a bin that isn't closed in the block.
+NEVER = -(1 << 62)
+
+
+def _block_table(capacity: int, length: str):
+    """For a block (rows in order) what next fit does for every load that it may begin with.
+
+    A row for each row at which the open bin may be closed: closed for loads above least, then bins more bins are begun and the
+    last is left with load.  Row 0 is closed for loads above the capacity less its length; the entry with least NEVER stands for a bin
+    that takes the whole block and adds its sum.  As many entries as rows fit into one bin."""
+
+    def table(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_place")
+        n = np.asarray(rows[length]).astype(np.int64)
+        jump, bins, load = _jumps(n, capacity), np.zeros(len(n) + 1, np.int64), np.zeros(len(n) + 1, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for i in range(len(n) - 1, -1, -1):
+            j = int(jump[i])
+            bins[i], load[i] = 1 + bins[j], load[j] if j < len(n) else ends[-1] - ends[i]
+        last = _first_break(n, 0, capacity)  # later rows can't be the first at which a bin is closed, but for an oversize bin
+        at = np.arange(min(last, len(n) - 1) + 1)
+        least = capacity - ends[at + 1]
+        out = {"least": np.append(least, NEVER), "bins": np.append(bins[at], 0), "load": np.append(load[at], ends[-1])}
+        keys = {f"k{i}": pa.array([k.as_py()] * (len(at) + 1), k.type) for i, k in enumerate(key)}
+        return pa.table(keys | {c: pa.array(v) for c, v in out.items()})
+
+    return table
+
+
+def _fold(capacity: int):
+    """The bin and load with which each block of a group begins; blocks in order, from their tables."""
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("block", "ascending"), ("least", "descending")])
+        block, least, bins, load = (np.asarray(rows[c]).astype(np.int64) for c in ("block", "least", "bins", "load"))
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        bin_, have, out = -1, capacity + 1, []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+            out.append((int(block[a]), bin_, have))
+            hit = np.flatnonzero(have > least[a : b - 1])  # least falls from row to row: the first that is exceeded closes the bin
+            if len(hit):
+                bin_, have = bin_ + int(bins[a + hit[0]]), int(load[a + hit[0]])
+            else:
+                have += int(load[b - 1])
+        columns = list(zip(*out, strict=True))
+        return pa.table({"block": pa.array(columns[0], pa.int64()), "_bin": pa.array(columns[1], pa.int64()), "_load": pa.array(columns[2], pa.int64())}).append_column("_g", pa.array([rows["_g"][0].as_py()] * len(out), rows["_g"].type))
+
+    return fold
+
+
+def next_fit(df: DataFrame, length: str, group: str, order: list[str], capacity: int, block_rows: int = 50_000) -> DataFrame:
+    """Adds bin (0-based in the group) by exact sequential next fit in order, however large a group is.
+
+    Rows are numbered in order and cut into blocks.  Each block tabulates where every load that it may begin with leads (next
+    fit forgets its past at the first bin that it closes); a fold over these small tables, one for each block, gives every
+    block its true beginning, and blocks are then packed side by side.  Null lengths count as 0."""
+    by = [F.col(group).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
+    rows = numbered(df.withColumn(length, F.coalesce(F.col(length).cast("long"), F.lit(0))), by, "_place")
+    low = rows.groupBy(group).agg(F.min("_place").alias("_low"))
+    rows = rows.join(small(low.withColumnRenamed(group, "_g")), F.col(group).eqNullSafe(F.col("_g"))).withColumn("block", F.floor((F.col("_place") - F.col("_low")) / block_rows)).drop("_low")
+    rows = cut(rows.drop("_g"))
+    kind = dict(rows.dtypes)[group]
+    tables = rows.select(F.col(group).alias("_g"), "block", "_place", length).groupBy("_g", "block").applyInArrow(_block_table(capacity, length), f"k0 {kind}, k1 long, least long, bins long, load long")
+    begins = tables.select(F.col("k0").alias("_g"), F.col("k1").alias("block"), "least", "bins", "load").groupBy("_g").applyInArrow(_fold(capacity), f"block long, _bin long, _load long, _g {kind}")
+
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_place")
+        n = np.asarray(rows[length]).astype(np.int64)
+        bin_, load = rows["_bin"][0].as_py(), rows["_load"][0].as_py()
+        i, jump, out = _first_break(n, load, capacity), _jumps(n, capacity), np.empty(len(n), np.int64)
+        if load > capacity:
+            i = 0
+        out[:i] = bin_
+        while i < len(n):
+            bin_, j = bin_ + 1, int(jump[i])
+            out[i:j], i = bin_, j
+        return rows.drop_columns(["_bin", "_load"]).append_column("bin", pa.array(out))
+
+    met = rows[group].eqNullSafe(begins["_g"]) & (rows["block"] == begins["block"])
+    joined = rows.join(small(cut(begins)), met).drop("_g").drop(begins["block"])
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", bin long"
+    return joined.select(*rows.columns, "_bin", "_load").groupBy(group, "block").applyInArrow(place, schema).drop("_place", "block")
+
+
+def shuffled_next_fit(df: DataFrame, length: str, key: str, capacity: int, seed: int = 42, rows: int = 100_000) -> DataFrame:
+    """Adds megabatch and bin: next fit in a seeded order of rows, in megabatches of about so many rows that are packed side by side."""
+    batched = megabatches(df.withColumn("_order", shuffled([key], seed)[0]), key, rows, seed)
+    return pack(batched, length, "megabatch", ["_order", key], capacity).drop("_order")
+
+
+def pack_by_size(df: DataFrame, length: str, key: str, capacity: int, mode: str | None = None, seed: int = 42) -> DataFrame:
+    """Adds megabatch and bin by mode: normal or streaming (shuffled next fit), ultra (worst fit decreasing).
+
+    Without a mode, tables of up to 10 million rows take next fit and larger ones worst fit."""
+    if mode is None:
+        mode = "normal" if df.count() <= 10_000_000 else "ultra"
+    if mode in ("normal", "streaming"):
+        return shuffled_next_fit(df, length, key, capacity, seed)
+    if mode != "ultra":
+        raise ValueError(f"{mode} is neither normal, streaming nor ultra")
+    return pack(megabatches(df, key, seed=seed), length, "megabatch", [key], capacity, "worst_fit")
 
 
 def loads(packed: DataFrame, group: str, length: str) -> DataFrame:
@@ -98,25 +202,11 @@ def cumulative_lengths(packed: DataFrame, group: str, order: list[str], length:
     return items.select(group, "bin", sums.alias("bounds"))
 
 
-def pad_batch(df: DataFrame, tokens: str | Column, batch: str, pad: int) -> DataFrame:
-    """Adds padded (tokens filled up to the batch's longest row) and mask (padded is not pad)."""
+def pad_batch(df: DataFrame, tokens: str | Column, batch: str, pad: int, left: bool = False) -> DataFrame:
+    """Adds padded (tokens filled up to the batch's longest row, on the right or the left) and mask (padded is not pad)."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     longest = F.max(F.size(t)).over(Window.partitionBy(batch))
-    df = df.withColumn("_n", longest).withColumn("padded", F.concat(t, F.array_repeat(F.lit(pad).cast("long"), F.col("_n") - F.size(t))))
+    df = df.withColumn("_n", longest)
+    fill = F.array_repeat(F.lit(pad).cast("long"), F.col("_n") - F.size(t))
+    df = df.withColumn("padded", F.concat(fill, t) if left else F.concat(t, fill))
     return df.withColumn("mask", F.transform("padded", lambda x: (x != pad).cast("int"))).drop("_n")
-
-
-def position_index(types: np.ndarray, grids: list[tuple[int, int, int]], merge: int = 2) -> np.ndarray:
-    """(3, L) positions of a token row: types 0 text, 1 image.  Text counts up alike in all three; an image block of grid
-    (t, h, w) runs over (t, h / merge, w / merge) from the position that text had reached; text goes on after its largest."""
-    out, base, i, k = np.zeros((3, len(types)), np.int64), 0, 0, 0
-    while i < len(types):
-        if types[i]:
-            t, h, w = grids[k][0], grids[k][1] // merge, grids[k][2] // merge
-            block = np.stack(np.meshgrid(np.arange(t), np.arange(h), np.arange(w), indexing="ij")).reshape(3, -1)
-            out[:, i : i + block.shape[1]] = base + block
-            base, i, k = base + max(t, h, w), i + block.shape[1], k + 1
-        else:
-            out[:, i] = base
-            base, i = base + 1, i + 1
-    return out

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.sources.shared import cut, small
+
 STRATEGY = re.compile(r"(first|end|random):(\d+)(%?)")
 
 
@@ -16,22 +19,44 @@ def length_filter(df: DataFrame, tokens: str, most: int) -> DataFrame:
     return df.where(F.coalesce(F.col(tokens), F.lit(0)) <= most)
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str = "index") -> DataFrame:
+    """Adds the 0-based place of each row in order, gapless over all rows.
+
+    Rows are range partitioned and sorted once and numbered from the partitions' counts; no task sees more than its range."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
+
+
 def sample(df: DataFrame, strategy: str, order: list[str], seed: int = 42) -> DataFrame:
     """Rows by strategy: all, first:N, end:N or random:N, N a number or a percentage (rounded up) of the rows.
 
-    end:0 keeps all rows, as do strategies of other forms.  N rows come from a distributed top-N, not from a global sort;
-    random order is by md5 of the seed and the order columns."""
+    end:0 keeps all rows, as do strategies of other forms, with a warning.  A number comes from a distributed top-N; a
+    percentage, which grows with the table, from the rows' places (see numbered), so neither is one task's work.  Random
+    order is by md5 of the seed and the order columns."""
     m = STRATEGY.fullmatch(strategy or "")
     if not m:
+        if strategy != "all":
+            warnings.warn(f"sampling strategy {strategy!r} is not known: all rows are kept", stacklevel=2)
         return df
     n = int(m[2])
-    if m[3]:
-        n = -(-n * df.count() // 100)
     if m[1] == "end" and n == 0:
         return df
+    by = [F.col(c).desc() if m[1] == "end" else F.col(c).asc() for c in order]
     if m[1] == "random":
-        return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in order])), *order).limit(n)
-    return df.orderBy(*[F.col(c).desc() if m[1] == "end" else F.col(c).asc() for c in order]).limit(n)
+        by = shuffled(order, seed) + by
+    if m[3]:
+        return numbered(df, by, "_place").where(F.col("_place") < -(-n * df.count() // 100)).drop("_place")
+    return df.orderBy(*by).limit(n)
+
+
+def shuffled(key: list[str], seed: int) -> list[Column]:
+    """A seeded order of rows, the same in every run and on every partitioning."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))]
 
 
 def weighted_subset(df: DataFrame, weight: str, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -51,12 +76,39 @@ def offsets(df: DataFrame, group: str) -> DataFrame:
     return counts.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
 
 
+def in_spans(df: DataFrame, index: str, spans: DataFrame, start: str = "start", end: str = "end", how: str = "inner") -> DataFrame:
+    """Rows of df with the columns of the span [start, end) that holds their index; spans must not overlap.
+
+    An equality join: the axis is cut into buckets of the spans' mean width, so that each span lies in about two of them on
+    average, whatever their number, and each bucket meets only its own spans."""
+    low, high, n = spans.agg(F.min(start), F.max(end), F.count("*")).first()
+    width = max(1, ((high or 1) - (low or 0)) // max(n, 1))
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    cells = small(spans.withColumn("_cell", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1)))).withColumnsRenamed({start: "_from", end: "_to"}))
+    rows = df.withColumn("_cell", bucket(F.col(index)))
+    met = (rows["_cell"] == cells["_cell"]) & (rows[index] >= cells["_from"]) & (rows[index] < cells["_to"])
+    return rows.join(cells, met, how).drop("_cell").withColumnsRenamed({"_from": start, "_to": end})
+
+
 def locate(df: DataFrame, index: str, starts: DataFrame, group: str) -> DataFrame:
-    """Adds the group of a global index and the index inside it; starts (a catalogue) becomes one sorted array, searched for each row."""
-    spans = starts.agg(F.sort_array(F.collect_list(F.struct("start", "end", group))).alias("_spans"))
-    found = F.element_at(F.filter("_spans", lambda s: s["end"] > F.col(index)), 1)
-    out = df.crossJoin(F.broadcast(spans)).withColumn("_s", found)  # one row on the right
-    return out.withColumn(group, F.col(f"_s.{group}")).withColumn("local_index", F.col(index) - F.col("_s.start")).drop("_s", "_spans")
+    """Adds the group of a global index and the index inside it."""
+    out = in_spans(df, index, starts.select(group, "start", "end"))
+    return out.withColumn("local_index", F.col(index) - F.col("start")).drop("start", "end")
+
+
+def lookup_lengths(df: DataFrame, index: str, dense: DataFrame, segments: DataFrame) -> DataFrame:
+    """Adds length: that of the index in dense (idx, len), else that of the closed segment (start, end, len) around it; a miss raises."""
+    found = in_spans(df, index, segments.select(F.col("start"), (F.col("end") + 1).alias("end"), F.col("len").alias("_run")), how="left").drop("start", "end")
+    found = found.join(dense.select(F.col("idx").alias(index), F.col("len").alias("_dense")), index, "left")
+    missing = F.raise_error(F.concat(F.lit("no length for index "), F.col(index).cast("string")))
+    return found.withColumn("length", F.coalesce("_dense", "_run", missing.cast("long"))).drop("_dense", "_run")
+
+
+def point_lookup(wanted: DataFrame, frames: DataFrame, keys: tuple[str, ...] = ("dataset", "episode_index", "frame_index")) -> DataFrame:
+    """The frames that wanted asks for by dataset, episode and frame; asking for one that isn't there raises."""
+    found = wanted.join(frames.withColumn("_found", F.lit(True)), list(keys), "left")
+    missing = F.raise_error(F.concat_ws("/", F.lit("no frame"), *[F.col(k).cast("string") for k in keys]))
+    return found.where(F.coalesce("_found", missing.cast("boolean"))).drop("_found")
 
 
 def expand_segments(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
@@ -69,15 +121,38 @@ def union_all(parts: dict[str, DataFrame], name: str = "dataset") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(name, F.lit(k)) for k, df in parts.items()])
 
 
-def nearest_in_time(df: DataFrame, other: DataFrame, by: str, ts: str, tolerance: float, value: str) -> DataFrame:
-    """Adds the value of the last row of other at most tolerance seconds before each row of df (as-of), null without one.
+def nearest_in_time(df: DataFrame, other: DataFrame, by: str, ts: str, tolerance: float, value: str, both_sides: bool = False) -> DataFrame:
+    """Adds near_value: the value of the last row of other at most tolerance seconds before each row of df (as-of), null without one.
 
-    Both sides are merged in one window by key; no pairs are made."""
+    both_sides: of the nearest row before or after; at equal distance the one before.  Both tables are merged in windows by
+    key; no pairs are made."""
     df, other = (x.withColumn(ts, F.col(ts).cast("timestamp")) for x in (df, other))
     both = df.withColumn("_v", F.lit(None).cast("struct<t:timestamp,v:double>")).withColumn("_q", F.lit(1))
     right = other.select(by, ts, F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v")).alias("_v")).withColumn("_q", F.lit(0))
     both = both.unionByName(right, allowMissingColumns=True)
-    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(by).orderBy(ts, "_q").rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("_l", last).where("_q = 1")
-    near = F.unix_micros(ts) - F.unix_micros("_l.t") <= int(tolerance * 1e6)
-    return both.withColumn("near_value", F.when(near, F.col("_l.v"))).drop("_l", "_v", "_q")
+    window = Window.partitionBy(by).orderBy(ts, "_q")
+    both = both.withColumn("_l", F.last("_v", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.first("_v", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)) if both_sides else F.lit(None).cast("struct<t:timestamp,v:double>")
+    both = both.withColumn("_r", after).where("_q = 1")
+    gap = lambda c: F.abs(F.unix_micros(ts) - F.unix_micros(f"{c}.t"))
+    nearest = F.when(F.col("_l").isNull() | (gap("_r") < gap("_l")), F.col("_r")).otherwise(F.col("_l"))
+    both = both.withColumn("_n", nearest)
+    return both.withColumn("near_value", F.when(gap("_n") <= int(tolerance * 1e6), F.col("_n.v"))).drop("_l", "_r", "_n", "_v", "_q")
+
+
+def short_rows(df: DataFrame, length: str, below: int) -> DataFrame:
+    """Rows shorter than below."""
+    return df.where(F.col(length) < below)
+
+
+def listed_episodes(df: DataFrame, episodes: list[int], episode: str = "episode_index") -> DataFrame:
+    """Rows of the listed episodes, with position: their place in the list."""
+    places = df.sparkSession.createDataFrame([(e, k) for k, e in enumerate(episodes)], f"`{episode}` long, position long")
+    return df.join(small(places), episode)
+
+
+def based_paths(df: DataFrame, bases: DataFrame, dataset: str, path: str) -> DataFrame:
+    """path with its dataset's base before it, unless it is a url or the dataset has no base; bases: dataset, base."""
+    out = df.join(small(bases.select(dataset, F.col("base").alias("_base"))), dataset, "left")
+    full = F.when(F.col(path).startswith("http") | F.col("_base").isNull(), F.col(path)).otherwise(F.concat_ws("/", "_base", path))
+    return out.withColumn(path, full).drop("_base")

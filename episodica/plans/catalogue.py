@@ -1,62 +1,16 @@
-"""All queries over the reference's kind of data, with their SQL.
-
-Events stand for frames (a user is an episode, an event type a task), embeddings and order lines for vectors, documents
-for rows with lengths and sources, conversations for instruction records.
-"""
+"""All queries with their SQL: those over frames, vectors, sampling, packing and metrics here, the others in the modules below."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.functions import text as T
 from episodica.functions import vectors as V
 from episodica.operators import bins, chunks, metrics, rows, stats, subtasks
+from episodica.plans.registry import CAPACITY, EMB, FRAMES, HORIZON, LINES, ORACLE_SQL, QUERIES, events_as_frames, line_vector, lines, long, query, rounded, vectors
+from episodica.sources.shared import small
 from episodica.sources.tables import table
 
-HORIZON, CAPACITY = 16, 8192
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FRAMES = "WITH f AS (SELECT user_id AS episode_index, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
-LINES = "WITH x AS (SELECT l_returnflag AS dataset, unnest([0, 1, 2, 3]) AS dim, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem)"
-def line_vector():
-    return F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-
-
-EMB = "WITH x AS (SELECT vec_id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def events_as_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The events of a user are an episode, ordered by time."""
-    events = table(spark, d, "events").select(F.col("user_id").alias("episode_index"), "event_id", "ts", "event_type", "value", "props")
-    return chunks.frames(events, "episode_index", ["ts", "event_id"])
-
-
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    return stats.dims(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "dataset"), line_vector(), ["dataset"])
-
-
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return stats.dims(table(spark, d, "embeddings"), "embedding", ["vec_id", "label"])
-
-
-def long(*names: str) -> list:
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
-def rounded(*names: str, places: int = 6) -> list:
-    return [F.round(F.col(n), places).alias(n) for n in names]
-
 
 @query(FRAMES + " SELECT a.episode_index, a.frame_index, a.n - 1 - a.frame_index AS steps_to_go, d.delta, b.value, a.frame_index + d.delta >= a.n AS is_pad FROM f a CROSS JOIN (SELECT unnest(range(16)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1)")
 def action_chunk_pad(spark, d):
@@ -111,7 +65,7 @@ def _normalised(mode: str, places: int = 5):
         x = vectors(spark, d)
         f, _, a, b = V.MODES[mode]
         s = stats.exact_stats(x, ["label"]).select("label", "dim", a, b)
-        return x.join(F.broadcast(s), ["label", "dim"]).select("vec_id", "dim", F.round(f(F.col("x"), F.col(a), F.col(b)), places).alias("y"))
+        return x.join(small(s), ["label", "dim"]).select("vec_id", "dim", F.round(f(F.col("x"), F.col(a), F.col(b)), places).alias("y"))
 
     return run
 
@@ -126,8 +80,8 @@ for _name, _mode, _sql in (("normalize_meanstd", "MEAN_STD", "(x - mean) / (std
 @query("WITH s AS (SELECT event_type, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY event_type) SELECT event_id, round(greatest(-50, least(50, 2.0 * (value - lo) / (hi - lo + 1e-6) - 1.0)), 6) AS y FROM events JOIN s USING (event_type)")
 def quantile_clipped(spark, d):
     e = table(spark, d, "events")
-    s = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return e.join(F.broadcast(s), "event_type").select("event_id", F.round(V.quantile_clipped(F.col("value"), F.col("q")[0], F.col("q")[1]), 6).alias("y"))
+    s = stats.exact_stats(e.select("event_type", F.lit(0).cast("long").alias("dim"), F.col("value").alias("x")), ["event_type"]).select("event_type", "q01", "q99")
+    return e.join(small(s), "event_type").select("event_id", F.round(V.quantile_clipped(F.col("value"), F.col("q01"), F.col("q99")), 6).alias("y"))
 
 
 @query(NORM + " SELECT label, count(*) AS n, max(abs(x - (((2.0 * (x - lo) / (hi - lo + 1e-8) - 1.0) + 1.0) / 2.0 * (hi - lo) + lo))) < 1e-6 AS close FROM x JOIN s USING (label, dim) GROUP BY label")
@@ -136,7 +90,7 @@ def normalize_roundtrip(spark, d):
     s = stats.exact_stats(x, ["label"]).select("label", "dim", "min", "max")
     there = V.min_max(F.col("x"), F.col("min"), F.col("max"))
     back = V.undo_min_max(there, F.col("min"), F.col("max"))
-    return x.join(F.broadcast(s), ["label", "dim"]).groupBy("label").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("x") - back)) < 1e-6).alias("close"))
+    return x.join(small(s), ["label", "dim"]).groupBy("label").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("x") - back)) < 1e-6).alias("close"))
 
 
 @query("SELECT event_id, greatest(-1, least(1000, trunc((value / 250.0 - 1.0 + 1.0) / 2.0 * 1000.0)::BIGINT)) AS bin FROM events")
@@ -161,18 +115,20 @@ def state_relative_chunk(spark, d):
     return df.withColumn("r", rel).select("event_id", F.col("delta").cast("long").alias("delta"), F.round(F.col("r")[0], 6).alias("rel"), F.col("r")[1].alias("absolute"))
 
 
-@query("SELECT vec_id, count(*) AS n, true AS same FROM (SELECT vec_id, unnest(embedding) FROM embeddings) GROUP BY vec_id")
+@query("WITH x AS (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS a, unnest(list_reverse(embedding))::DOUBLE AS s FROM embeddings) SELECT vec_id, count(*) AS n, round(sum(CASE WHEN d < 32 THEN a - s ELSE a END), 5) AS relative, round(sum(a), 5) AS back, round(max(a), 5) AS largest FROM x GROUP BY vec_id")
 def state_relative_inverse(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     state, mask = F.reverse("a"), [True] * 32 + [False] * 32
-    back = V.relative(V.relative(F.col("a"), state, mask), state, mask, sign=1)
-    return e.select("vec_id", F.size("a").cast("long").alias("n"), F.forall(F.zip_with("a", back, lambda x, y: F.abs(x - y) < 1e-9), lambda x: x).alias("same"))
+    there = V.relative(F.col("a"), state, mask)
+    add = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5)
+    x = e.withColumn("r", there).withColumn("b", V.relative(F.col("r"), state, mask, sign=1))
+    return x.select("vec_id", F.size("a").cast("long").alias("n"), add("r").alias("relative"), add("b").alias("back"), F.round(F.array_max("b"), 5).alias("largest"))
 
 
 @query("SELECT c_custkey, coalesce(nullif(CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END, ''), nullif(c_mktsegment, ''), 'Do the task.') AS task FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def task_text_fallback(spark, d):
     tasks = table(spark, d, "nation").select(F.col("n_nationkey").alias("task_index"), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.col("n_name")).alias("task"))
-    return subtasks.task_text(table(spark, d, "customer"), F.broadcast(tasks), "c_nationkey", "c_mktsegment").select("c_custkey", "task")
+    return subtasks.task_text(table(spark, d, "customer"), small(tasks), "c_nationkey", "c_mktsegment").select("c_custkey", "task")
 
 
 @query(r"SELECT s_suppkey, upper(substr(b, 1, 1)) || substr(b, 2) || '.' AS text FROM (SELECT s_suppkey, regexp_replace(trim(lower('  Pick UP ' || s_name || '.. ')), '\.+$', '') AS b FROM supplier)")
@@ -296,7 +252,7 @@ def task_hash(spark, d):
 @query("WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), p AS (SELECT source, doc_id, n_chars, r, 0 AS bin, n_chars AS load FROM o WHERE r = 1 UNION ALL SELECT o.source, o.doc_id, o.n_chars, o.r, CASE WHEN p.load + o.n_chars > 8192 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.load + o.n_chars > 8192 THEN o.n_chars ELSE p.load + o.n_chars END FROM p JOIN o ON o.source = p.source AND o.r = p.r + 1) SELECT source, doc_id, bin::BIGINT AS bin, (load - n_chars)::BIGINT AS \"offset\" FROM p")
 def pack_next_fit(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return bins.offsets(bins.pack(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", ["doc_id"], "n_chars").select("source", "doc_id", "bin", "offset")
+    return bins.offsets(bins.next_fit(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", ["doc_id"], "n_chars").select("source", "doc_id", "bin", "offset")
 
 
 @query()
@@ -311,14 +267,14 @@ PACKED = ORACLE_SQL["pack_next_fit"].split(" SELECT source, doc_id, bin::BIGINT"
 @query(PACKED + ", l AS (SELECT source, bin, sum(n_chars) AS load FROM p GROUP BY source, bin), q AS (SELECT count(*) AS bins, sum(load)::BIGINT AS total, avg(100.0 * load / 8192) AS u, min(load)::BIGINT AS min_load, max(load)::BIGINT AS max_load, round(stddev_pop(load), 4) AS std_load, sum((load > 8192)::INT)::BIGINT AS overflow, sum((100.0 * load / 8192 >= 95)::INT)::BIGINT AS excellent, sum((100.0 * load / 8192 >= 85 AND 100.0 * load / 8192 < 95)::INT)::BIGINT AS good FROM l) SELECT bins, total, round(u, 4) AS utilisation, min_load, max_load, std_load, overflow, excellent, good, CASE WHEN overflow > 0 THEN 'fail' WHEN u >= 90 THEN 'excellent' WHEN u >= 80 THEN 'good' ELSE 'poor' END AS rating FROM q")
 def pack_quality(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    out = bins.quality(bins.loads(bins.pack(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", "n_chars"), CAPACITY)
+    out = bins.quality(bins.loads(bins.next_fit(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", "n_chars"), CAPACITY)
     return out.withColumns({"utilisation": F.round("utilisation", 4), "std_load": F.round("std_load", 4)})
 
 
 @query(PACKED + ", b AS (SELECT source, bin, n_chars, doc_id, sum(n_chars) OVER (PARTITION BY source, bin ORDER BY doc_id) AS c FROM p) SELECT source, bin::BIGINT AS bin, '0,' || string_agg(c::BIGINT::VARCHAR, ',' ORDER BY doc_id) AS bounds FROM b GROUP BY source, bin")
 def cu_seqlens(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    out = bins.cumulative_lengths(bins.pack(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", ["doc_id"], "n_chars")
+    out = bins.cumulative_lengths(bins.next_fit(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", ["doc_id"], "n_chars")
     return out.select("source", "bin", F.array_join(F.transform("bounds", lambda x: x.cast("string")), ",").alias("bounds"))
 
 
@@ -381,11 +337,12 @@ def dct_quantize(spark, d):
     return df.select("event_id", F.posexplode(V.dct(F.col("chunk"), 8)).alias("k", "q")).select("event_id", *long("k", "q"))
 
 
-@query(FRAMES + " SELECT count(*) AS frames, true AS close FROM f")
+@query(ORACLE_SQL["dct_quantize"].replace(" SELECT event_id, k, round_even", ", q AS (SELECT event_id, c, k, round_even") + ") SELECT event_id, round(sum((CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END) * q * cos(pi() * k / 16)) / 10, 4) AS first, abs(sum((CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END) * q * cos(pi() * k / 16)) / 10 - any_value(c[1])) < 0.15 AS close FROM q GROUP BY event_id")
 def dct_roundtrip(spark, d):
+    """The first value of each chunk back from its coefficients, off by their rounding at most."""
     df = chunks.chunk(events_as_frames(spark, d), "value", 8)
-    error = F.aggregate(F.zip_with("chunk", V.inverse_dct(V.dct(F.col("chunk"), 8), 8), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: F.greatest(s, x))
-    return df.agg(F.count("*").alias("frames"), (F.max(error) < 0.05 * 8).alias("close"))
+    back = V.inverse_dct(V.dct(F.col("chunk"), 8), 8)[0]
+    return df.select("event_id", F.round(back, 4).alias("first"), (F.abs(back - F.col("chunk")[0]) < 0.15).alias("close"))
 
 
 def part_tokens():
@@ -403,24 +360,6 @@ def subsequence_search(spark, d):
     return table(spark, d, "part").select("p_partkey", part_tokens().alias("ids")).select("p_partkey", T.find(F.col("ids"), [3, 4]).cast("long").alias("place"))
 
 
-@query()
-def position_index(spark, d):
-    """Rope positions of a text, image, text row for grids by region; the state is sequential, so it runs in Arrow batches."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for key in b.column(0).to_pylist():
-                h = 4 + 2 * (key % 3)
-                p = bins.position_index(np.array([0, 0, 0] + [1] * (h * h // 4) + [0, 0]), [(1, h, h)])
-                out += [(key, i, *map(int, x)) for i, x in enumerate(p.T)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 5, names=["r_regionkey", "i", "t", "h", "w"])
-
-    return table(spark, d, "region").select(F.col("r_regionkey").cast("long")).mapInArrow(run, "r_regionkey long, i long, t long, h long, w long")
-
-
 @query(FRAMES + " SELECT a.event_id, d.delta AS step, b.value FROM f a CROSS JOIN (SELECT unnest(range(10)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1) WHERE a.frame_index % 10 = 0")
 def replan_replay(spark, d):
     df = chunks.chunk(events_as_frames(spark, d), "value", HORIZON).where("frame_index % 10 = 0")
@@ -452,3 +391,7 @@ def nearest_timestamp(spark, d):
 def flow_matching(spark, d):
     t = (F.col("event_id") % 10) / F.lit(10.0)
     return table(spark, d, "events").select("event_id", F.round((F.lit(1.0) - t) * 0.5 + t * F.col("value"), 6).alias("x_t"), F.round(F.col("value") - 0.5, 6).alias("v"))
+
+
+# the modules below register their queries as they are imported
+from episodica.plans import files, packed, samples  # noqa: E402, F401

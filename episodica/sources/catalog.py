@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 @dataclass
 class InstructionDataset:
@@ -54,8 +57,10 @@ def _make(kind, values: dict):
     return kind(**values)
 
 
-def read_catalog(path: str) -> Catalog:
-    """The catalogue of a YAML file; any other path is one trajectory dataset.  Missing lists are empty, unknown keys raise."""
+def read_catalog(path: str, trajectory_only: bool = False, instruction_only: bool = False) -> Catalog:
+    """The catalogue of a YAML file; any other path is one trajectory dataset.  Missing lists are empty, unknown keys raise.
+
+    Either list may be left out; if both flags are set, trajectories win."""
     if not path.endswith((".yaml", ".yml")):
         return Catalog([], [TrajectoryDataset(repo_id=path)])
     import yaml
@@ -63,9 +68,27 @@ def read_catalog(path: str) -> Catalog:
     with open(path) as f:
         found = yaml.safe_load(f) or {}
     _make(Catalog, found)
-    return Catalog([_make(InstructionDataset, x) for x in found.get("mm_datasets") or []], [_make(TrajectoryDataset, x) for x in found.get("lerobot_datasets") or []])
+    out = Catalog([_make(InstructionDataset, x) for x in found.get("mm_datasets") or []], [_make(TrajectoryDataset, x) for x in found.get("lerobot_datasets") or []])
+    if trajectory_only:
+        out.mm_datasets = []
+    elif instruction_only:
+        out.lerobot_datasets = []
+    return out
 
 
 def mask(tag: str, dims: int) -> list[bool]:
     """The embodiment's mask, cut or filled up with absolute dims; unknown tags raise."""
     return (MASKS[tag] + [False] * dims)[:dims]
+
+
+def masks(spark: SparkSession) -> DataFrame:
+    """tag and mask of every embodiment."""
+    return spark.createDataFrame(list(MASKS.items()), "tag string, mask array<boolean>")
+
+
+def with_mask(df: DataFrame, tags: DataFrame, dims: int, tag: str = "tag") -> DataFrame:
+    """Adds mask: that of the row's tag, cut or filled up to dims; unknown tags raise."""
+    out = df.join(F.broadcast(tags.select(F.col("tag").alias(tag), F.col("mask").alias("_m"))), tag, "left")  # a row for each embodiment
+    missing = F.raise_error(F.concat(F.lit("no embodiment "), F.col(tag))).cast("array<boolean>")
+    filled = F.slice(F.concat(F.coalesce("_m", missing), F.array_repeat(F.lit(False), dims)), 1, dims)
+    return out.withColumn("mask", filled).drop("_m")
