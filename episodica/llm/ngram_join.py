@@ -485,6 +485,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t100: int,
     return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").mapInArrow(_intersect(t100), "a long, b long")
 
 
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tile", "t0", "t1").sortWithinPartitions("tile", "t0", "t1")
+
+
+def _hopeful_members(members: DataFrame, maps: DataFrame, t100: int) -> DataFrame:
+    """The members of blocks that have a candidate in their block, by their bitmaps and (if they have any) their codes."""
+    rows = members.join(maps, "key").select(*_MEMBER.names, "data")
+    return cut(_by_blocks(rows).mapInArrow(_hopeful(t100), "tile long, t0 int, t1 int, key long, comp long, n int, own boolean, side int, same boolean, codes array<long>"))
+
+
 def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every text: links join texts whose shingle sets reach the threshold (in per cent).
 
@@ -528,17 +538,16 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     mixed = labelled.groupBy("tile").agg(F.count("*").alias("_count"), F.sum("n").alias("_size"), F.max("own").alias("_own"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_own and _low < _high")
     mixed = mixed.select("tile", F.ceil(F.greatest(F.col("_count") / BLOCK, F.col("_size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     rows = cut(labelled.join(mixed, "tile"))
-    # a member's tiles: as many as its own prefix has
+    maps = cut(_of_classes(docs, rows.select("key").distinct(), classes).mapInArrow(_fetched(shingle, bitmap), "key long, data binary").dropDuplicates(["key"]))
+    wide = rows.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    member = ["tile", F.least("_block", "_other").alias("t0"), F.greatest("_block", "_other").alias("t1"), "key", "comp", "n", "own", (F.col("_block") > F.col("_other")).cast("int").alias("side"), (F.col("_block") == F.col("_other")).alias("same")]
+    hopeful = _hopeful_members(wide.select(*member, F.array().cast("array<long>").alias("codes")), maps, t100)
+    # those that an earlier tile compares as well are left out: a hopeful member's tiles are as many as its own prefix has
     code = F.shiftleft("tile", 1).bitwiseOR(F.col("own").cast("long"))
-    tiles = rows.groupBy("key").agg(F.sort_array(F.collect_list(code)).alias("codes"))
-    maps = _of_classes(docs, rows.select("key").distinct(), classes).mapInArrow(_fetched(shingle, bitmap), "key long, data binary").dropDuplicates(["key"])
-    rows = rows.join(maps.join(tiles, "key"), "key")
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("tile", F.least("_block", "_other").alias("t0"), F.greatest("_block", "_other").alias("t1"), "key", "comp", "n", "own", (F.col("_block") > F.col("_other")).cast("int").alias("side"), (F.col("_block") == F.col("_other")).alias("same"), "codes", "data")
-    ordered = lambda rows: rows.repartition("tile", "t0", "t1").sortWithinPartitions("tile", "t0", "t1")
-    hopeful = cut(ordered(rows).mapInArrow(_hopeful(t100), "tile long, t0 int, t1 int, key long, comp long, n int, own boolean, side int, same boolean, codes array<long>"))
+    tiles = rows.join(hopeful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(code)).alias("codes"))
+    hopeful = _hopeful_members(hopeful.drop("codes").join(tiles, "key"), maps, t100)
     arrays = _of_classes(docs, hopeful.select("key").distinct(), classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "key long, data binary").dropDuplicates(["key"])
-    links = links.union(ordered(hopeful.join(arrays, "key")).mapInArrow(_spanning(t100), "a long, b long"))
+    links = links.union(_by_blocks(hopeful.join(arrays, "key")).mapInArrow(_spanning(t100), "a long, b long"))
     joined = components(links)
     lows = joined.join(classes, joined["id"] == classes["key"]).groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = classes.join(joined.withColumnRenamed("id", "key"), "key", "left").join(lows, "component", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
