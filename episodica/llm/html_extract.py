@@ -278,13 +278,13 @@ def template_nodes(root: Node, known) -> set[int]:
     found = [(k, n >= len(s.literal)) for n, (k, hit) in enumerate(zip(keys, hits, strict=True)) if hit]
     if not found:
         return set()
-    whole = len(main_text(root)) or s.chars
-    out = set()
+    whole, out = None, set()
     for k, by_shape in found:
         if by_shape:
             keep = s.share[s.shapes[k]] and 2 * s.share[s.shapes[k]] >= s.prose
-        else:
-            keep = s.nodes[k].name in _LEAF | _INLINE and 2 * _length(s.nodes[k]) >= whole
+        elif keep := s.nodes[k].name in _LEAF | _INLINE:
+            whole = (len(main_text(root)) or s.chars) if whole is None else whole
+            keep = 2 * _length(s.nodes[k]) >= whole
         if not keep:
             out.add(k)
     return out
