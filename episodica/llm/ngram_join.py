@@ -306,29 +306,51 @@ def _fetched(shingle: int, form):
     return fetch
 
 
-def _intersect(t100: int):
-    """Pairs of pivot and member whose arrays share enough; rows come ordered by pivot, part and role."""
+def _with_pivot(reaches):
+    """Pairs of pivot and member for which reaches(pivot's n and data, member's n and data); rows come ordered by pivot, part and role."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held = None, np.zeros(0, np.uint64)
+        pivot, n, held = None, 0, b""
         for batch in batches:
             a, b = [], []
-            for group, role, key, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "role", "key", "data")), strict=True):
+            for group, role, key, size, data in zip(*(batch.column(c).to_pylist() for c in ("pivot", "role", "key", "n", "data")), strict=True):
                 if role == 0:
-                    pivot, held = group, np.frombuffer(data, np.uint64)
-                elif pivot == group:
-                    other = np.frombuffer(data, np.uint64)
-                    both = np.concatenate([held, other])
-                    both.sort(kind="stable")  # two ascending runs
-                    if _reaches(int((both[1:] == both[:-1]).sum()), len(held), len(other), t100):
-                        a.append(group)
-                        b.append(key)
+                    pivot, n, held = group, size, data
+                elif pivot == group and reaches(n, held, size, data):
+                    a.append(group)
+                    b.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         give_back()
 
     return check
 
 
+def _may_reach(t100: int):
+    """Whether the bitmaps of two sets allow the threshold."""
+
+    def reaches(n: int, one: bytes, m: int, two: bytes) -> bool:
+        if n > m:
+            n, one, m, two = m, two, n, one
+        if m * t100 > n * 100:
+            return False
+        small, large = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+        differ = int(np.bitwise_count(small ^ np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0)).sum())
+        return bool(_reaches(_overlap_bound(n, m, differ), n, m, t100))
+
+    return reaches
+
+
+def _do_reach(t100: int):
+    """Whether two sorted arrays reach the threshold."""
+
+    def reaches(n: int, one: bytes, m: int, two: bytes) -> bool:
+        both = np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)])
+        both.sort(kind="stable")  # two ascending runs
+        return bool(_reaches(int((both[1:] == both[:-1]).sum()), n, m, t100))
+
+    return reaches
+
+
 class Block:
     """Members of two blocks of a tile, or of one, by size; candidates(i) are the later ones that i is to be compared with."""
 
@@ -460,29 +482,38 @@ def _spanning(t100: int):
 
 
 def _of_classes(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """The text of one document of each wanted class (a row each), with wanted's columns: (text, key, ...)."""
-    ids = cut(wanted.join(classes.select("key", F.col("any_id").alias("_id")), "key"))
+    """The text of one document of each wanted class (a row each), with its size and wanted's columns: (text, n, key, ...)."""
+    ids = cut(wanted.join(classes.select("key", "n", F.col("any_id").alias("_id")), "key"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
-    return docs.join(ids, "_id").select("text", *wanted.columns)
-
+    return docs.join(ids, "_id").select("text", "n", *wanted.columns)
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, t100: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold; each b has one pair, a being its pivot.
 
-    Texts are read once more where they lie.  The array of a member moves once, that of a pivot once for each GROUP of its
-    members, so no group grows with the pivot."""
+def _roles(pairs: DataFrame) -> DataFrame:
+    """key, pivot, part and own: a row for each text of pairs (a, b).  Each b has one pair, a being its pivot, and is in one part of the
+    pivot's members; own is the number of parts that a pivot itself has, so that none holds more than about GROUP members."""
     pivots = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("own")))
     many = pivots.where("own > 1")  # at most one for each GROUP pairs
     many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
     dealt = pairs.join(many, "a", "left").select(F.col("b").alias("key"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.coalesce("own", F.lit(1))).cast("int").alias("part"))
-    wanted = dealt.join(pivots.withColumnRenamed("a", "key"), "key", "full").select("key", "pivot", "part", "own")
-    arrays = _of_classes(docs, wanted, classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "key long, pivot long, part int, own int, data binary")
+    return dealt.join(pivots.withColumnRenamed("a", "key"), "key", "full").select("key", "pivot", "part", "own")
+
+
+def _met(rows: DataFrame, reaches) -> DataFrame:
+    """The pairs (a, b) for which reaches holds; rows: those of _roles with n and data.  The data of a member move once, those of a
+    pivot once for each of its parts."""
     role = lambda pivot, part, k: F.struct(pivot.alias("pivot"), part.cast("int").alias("part"), F.lit(k).alias("role"))
     none = F.array().cast("array<struct<pivot:long,part:int,role:int>>")
     member = F.when(F.col("pivot").isNotNull(), F.array(role(F.col("pivot"), F.col("part"), 1))).otherwise(none)
     leads = F.when(F.col("own").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: role(F.col("key"), i, 0))).otherwise(none)
-    rows = arrays.select("key", "data", F.explode(F.concat(member, leads)).alias("r")).select("r.pivot", "r.part", "r.role", "key", "data")
-    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").mapInArrow(_intersect(t100), "a long, b long")
+    rows = rows.select("key", "n", "data", F.explode(F.concat(member, leads)).alias("r")).select("r.pivot", "r.part", "r.role", "key", "n", "data")
+    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role").mapInArrow(_with_pivot(reaches), "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, maps: DataFrame, classes: DataFrame, t100: int, shingle: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: first by bitmaps; of those that may, texts are read once more and arrays decide."""
+    hopeful = cut(_met(_roles(pairs).join(maps, "key"), _may_reach(t100)))
+    arrays = _of_classes(docs, _roles(hopeful), classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "n int, key long, pivot long, part int, own int, data binary")
+    return _met(arrays, _do_reach(t100))
 
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
@@ -509,7 +540,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     each = cut(docs.mapInArrow(_documents(shingle), "doc_id long, n_shingles long, key long"))
     null_id = F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
     filled = each.where("n_shingles > 0")
-    classes = cut(filled.groupBy("key").agg(F.min("doc_id").alias("any_id"), F.min(null_id).alias("low")))
+    classes = cut(filled.groupBy("key").agg(F.min("doc_id").alias("any_id"), F.min(null_id).alias("low"), F.max("n_shingles").cast("int").alias("n")))
     total = filled.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, int(total * (100 - t100) / 100) // TASK_POSTINGS)
     counted = texts.mapInArrow(_counts(shingle, t100, tasks), "task int, hashes binary, counts binary").repartitionById(tasks, "task")
@@ -520,6 +551,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
 
     # a text that others were made from has no rare hashes of its own, so its prefix lies in the most tiles: a good pivot
     members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("tiles")), "key"))
+    maps = cut(_of_classes(docs, members.select("key").distinct(), classes).mapInArrow(_fetched(shingle, bitmap), "n int, key long, data binary").dropDuplicates(["key"]))
     best = lambda rows: rows.groupBy("tile").agg(F.max(F.struct("tiles", "key", "comp")).alias("p"))
     links, tested, labels = None, None, None
     for again in (False, True):  # each member against one pivot of its tiles
@@ -530,7 +562,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         pairs = cut(met.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("p")).select("p.a", "b"))
-        found = cut(_verified(docs, pairs, classes, t100, shingle))
+        found = cut(_verified(docs, pairs, maps, classes, t100, shingle))
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links).select(F.col("id").alias("key"), F.col("component").alias("comp"))
@@ -538,7 +570,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     mixed = labelled.groupBy("tile").agg(F.count("*").alias("_count"), F.sum("n").alias("_size"), F.max("own").alias("_own"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_own and _low < _high")
     mixed = mixed.select("tile", F.ceil(F.greatest(F.col("_count") / BLOCK, F.col("_size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     rows = cut(labelled.join(mixed, "tile"))
-    maps = cut(_of_classes(docs, rows.select("key").distinct(), classes).mapInArrow(_fetched(shingle, bitmap), "key long, data binary").dropDuplicates(["key"]))
+    maps = maps.drop("n")
     wide = rows.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     member = ["tile", F.least("_block", "_other").alias("t0"), F.greatest("_block", "_other").alias("t1"), "key", "comp", "n", "own", (F.col("_block") > F.col("_other")).cast("int").alias("side"), (F.col("_block") == F.col("_other")).alias("same")]
     hopeful = _hopeful_members(wide.select(*member, F.array().cast("array<long>").alias("codes")), maps, t100)
@@ -546,7 +578,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, shingle: int = 5, k
     code = F.shiftleft("tile", 1).bitwiseOR(F.col("own").cast("long"))
     tiles = rows.join(hopeful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(code)).alias("codes"))
     hopeful = _hopeful_members(hopeful.drop("codes").join(tiles, "key"), maps, t100)
-    arrays = _of_classes(docs, hopeful.select("key").distinct(), classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "key long, data binary").dropDuplicates(["key"])
+    arrays = _of_classes(docs, hopeful.select("key").distinct(), classes).mapInArrow(_fetched(shingle, np.ndarray.tobytes), "n int, key long, data binary").drop("n").dropDuplicates(["key"])
     links = links.union(_by_blocks(hopeful.join(arrays, "key")).mapInArrow(_spanning(t100), "a long, b long"))
     joined = components(links)
     lows = joined.join(classes, joined["id"] == classes["key"]).groupBy("component").agg(F.min("low").alias("component_id"))
