@@ -16,9 +16,11 @@ def frames(df: DataFrame, episode: str, order: list[str]) -> DataFrame:
     return df.withColumn("frame_index", index.cast("long")).withColumn("episode_length", n).withColumn("steps_to_go", F.col("episode_length") - 1 - F.col("frame_index"))
 
 
-def chunk(df: DataFrame, value: str | Column, horizon: int, episode: str = "episode_index", frame: str = "frame_index", name: str = "chunk") -> DataFrame:
-    """Adds the values of the horizon frames from each frame on; the episode's last value fills the rest, and {name}_is_pad marks it."""
-    ahead = Window.partitionBy(episode).orderBy(frame).rowsBetween(0, horizon - 1)
+def chunk(df: DataFrame, value: str | Column, horizon: int, episode: str = "episode_index", frame: str | list[str] = "frame_index", name: str = "chunk") -> DataFrame:
+    """Adds the values of the horizon frames from each frame on; the episode's last value fills the rest, and {name}_is_pad marks it.
+
+    frame: what orders an episode; the columns that frames() was given spare a second sort."""
+    ahead = Window.partitionBy(episode).orderBy(*([frame] if isinstance(frame, str) else frame)).rowsBetween(0, horizon - 1)
     found = F.collect_list(F.struct((F.col(value) if isinstance(value, str) else value).alias("v"))).over(ahead)
     df = df.withColumn("_c", found)
     real = F.size("_c")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from episodica.functions import vectors as V
 from episodica.operators import metrics, rows, stats, subtasks
 from episodica.plans.registry import LINES, lines, long, query, rounded
-from episodica.sources import catalog, episodes, stats_files
+from episodica.sources import catalog, episodes, instructions, stats_files
 from episodica.sources.shared import new_path, small, write_text
 from episodica.sources.tables import table
 
@@ -190,3 +190,18 @@ def unnormalize_modes(spark, d):
     both = lambda mode: V.normalise(mode, V.normalise(mode, x, cols), cols, undo=True)
     joined = e.join(small(s.select("event_type", *[F.col(c).alias(f"s_{c}") for c in cols])), "event_type")
     return joined.select("event_id", F.round(both("MEAN_STD"), 5).alias("mean_std"), F.round(both("MIN_MAX"), 5).alias("min_max"), F.round(both("QUANTILE"), 5).alias("quantile"), both("IDENTITY").alias("same"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'user' WHEN turn % 3 = 1 THEN 'assistant' ELSE role END AS role, 'see' || CASE WHEN conv_id % 3 = 1 THEN '  <image>' || chr(10) || 'or<|vision_start|><|image_pad|><|vision_end|> ' ELSE '<|vision_start|><|image_pad|><|vision_end|>or  <video>' || chr(10) || ' ' END || 'then<|action_pad|>' || text AS content, CASE conv_id % 3 WHEN 0 THEN '/base/' || conv_id || '.png' WHEN 1 THEN 'http://v/' || conv_id || '.mp4' END AS media FROM conversations")
+def instruction_records(spark, d):
+    """JSON-lines records with images, videos or neither: roles, tags and media paths."""
+    path = f"{new_path(spark, 'records')}.jsonl"
+    c = table(spark, d, "conversations")
+    name = F.when(F.col("turn") % 3 == 0, "human").when(F.col("turn") % 3 == 1, "gpt").otherwise(F.col("role"))
+    value = F.concat(F.lit("see  <image>\nor  <video>\n then <action>\n"), "text")
+    kind, key = F.col("conv_id") % 3, F.col("conv_id").cast("string")
+    record = F.struct(F.array(F.struct(name.alias("from"), value.alias("value"))).alias("conversations"), F.when(kind == 0, F.concat(key, F.lit(".png"))).alias("image"), F.when(kind == 1, F.array(F.concat(F.lit("http://v/"), key, F.lit(".mp4")))).alias("video"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("num_tokens"))
+    c.select(F.to_json(record)).write.text(path)
+    out = instructions.media_paths(instructions.turns(instructions.read_instructions(spark, path)), "/base")
+    out = out.select(F.floor(F.col("num_tokens") / 1000).alias("conv_id"), (F.col("num_tokens") % 1000).cast("long").alias("turn"), F.explode("turns").alias("t"), F.get("media", F.lit(0)).alias("media"))
+    return out.select("conv_id", "turn", "t.role", "t.content", "media")

@@ -135,3 +135,11 @@ def mixture_steps(spark, d):
     """A mixture of subtask and task with their steps; the weight comes from the mode's text."""
     s = subtasks.mixture_steps(F.col("event_id"), F.col("event_type"), F.lit(1), F.lit("view"), F.lit(2), subtasks.mixture_weight("mixture:0.3"))
     return table(spark, d, "events").select("event_id", s.alias("s")).select("event_id", "s.text", F.col("s.steps").cast("long").alias("steps"))
+
+
+@query(PACKED + ", l AS (SELECT 100.0 * size / 8192 AS u, size FROM k ORDER BY md5('42:' || source || ':' || bin), source, bin LIMIT 10) SELECT count(*) AS bins, round(avg(u), 4) AS utilisation, sum((size > 8192)::INT)::BIGINT AS overflow FROM l")
+def pack_quality_sample(spark, d):
+    """The quality report of ten packs drawn at random (a report of fixed size)."""
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    loads = bins.loads(bins.next_fit(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", "n_chars")
+    return bins.quality(rows.sample(loads, "random:10", ["source", "bin"]), CAPACITY).select("bins", F.round("utilisation", 4).alias("utilisation"), "overflow")

@@ -34,10 +34,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: What orders the events of an episode.
+ORDER = ["ts", "event_id"]
+
+
 def events_as_frames(spark: SparkSession, d: str) -> DataFrame:
     """The events of a user are an episode, ordered by time."""
     events = table(spark, d, "events").select(F.col("user_id").alias("episode_index"), "event_id", "ts", "event_type", "value", "props")
-    return chunks.frames(events, "episode_index", ["ts", "event_id"])
+    return chunks.frames(events, "episode_index", ORDER)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
