@@ -180,7 +180,7 @@ def test_token_file(spark, docs, empty):
     ids = [r["doc_id"] for r in got]
     assert ids == sorted(ids, key=lambda k: -1 if k is None else k)
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
-    assert sorted(r["ids_crc32"] for r in got) == sorted(crc(r[1]) for r in rows())
+    assert sorted(((r["doc_id"], r["ids_crc32"]) for r in got), key=str) == sorted(((r[0], crc(r[1])) for r in rows()), key=str)
     assert token_file.token_documents(empty, path).count() == 0
 
 
@@ -212,6 +212,22 @@ def test_shards(spark, docs, empty):
     assert make(empty).count() == 0
 
 
+def test_op4_against_the_texts(spark):
+    """Every row of op4_shard: size and checksum from the text, equal texts together, near-equal bytes, gapless slots."""
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    got = queries.op4_shard(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    of, loads, slots = {}, [0] * 16, [[] for _ in range(16)]
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        assert of.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert max(loads) - min(loads) < 0.05 * sum(loads) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
@@ -506,7 +522,7 @@ def test_verdict_is_not_all_must_pass(spark):
     assert np.mean([r["kept"] == (r["label"] == 1) for r in got]) > 0.97
 
     def bad_votes(text):
-        m = quality_rules.measure(next(iter(quality_rules.runs(pa.array([text])))))
+        m = quality_rules.measure(next(iter(quality_rules.runs(pa.array([text], pa.string())))))
         return int((quality_rules.votes(m) == -1).sum())
 
     texts = {r["doc_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.01", "documents").collect()}
@@ -522,6 +538,41 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.score(empty, weights).count() == 0
 
 
+def test_classifier_by_hand(spark, docs):
+    """Training and scores against the update rule, row by row, in plain Python."""
+    labels = spark.createDataFrame([(0, 1), (3, 0), (4, 1), (9, 0), (11, 1)], "doc_id long, quality int")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    order = spark.createDataFrame([(r[0], r[1]) for r in rows() if r[0] in known], "k long, text string").orderBy(F.xxhash64("k", F.lit(12)), F.xxhash64("text")).collect()
+    alpha, beta, l2 = 0.1, 1.0, 1.0
+    z, n = {}, {}
+
+    def weight(i):
+        return -z.get(i, 0.0) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    def vector(text):
+        run = next(iter(quality_rules.runs(pa.array([text], pa.string()))))
+        ids, _ = quality_classifier.features(run)
+        x = {}
+        for i in ids.tolist():
+            x[i] = x.get(i, 0) + 1 / max(len(ids), 1) ** 0.5
+        return x | {1 << quality_classifier.FEATURE_BITS: 1.0}
+
+    train = [(vector(r["text"]), known[r["k"]]) for r in order]
+    for _ in range(3):
+        for x, y in train:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    weights = quality_classifier.fit(docs, labels)
+    got = sorted(((str(r["doc_id"]), r["score"]) for r in quality_classifier.score(docs, weights).collect()))
+    want = sorted((str(r[0]), float(1 / (1 + np.exp(-sum(weight(i) * v for i, v in vector(r[1]).items()))))) for r in rows())
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert np.abs(np.array([s for _, s in got]) - np.array([s for _, s in want])).max() < 1e-5
+
+
 def test_pipeline_copies_by_row(spark):
     """Copies that share an id or have none go, and a unique text that shares an id with a copy stays."""
     import corpus_pipeline
