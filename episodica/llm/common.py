@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.sources.shared import cut, new_path, shared_dir
+
 #: Rows up to which a narrow table of ids may be broadcast (about 16 bytes each); beyond, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 #: Rows of whole texts in an Arrow batch: what a worker and its executor hold of them at once.
 TEXT_BATCH_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (in local tests) one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder: later steps don't repeat it, and lost executors lose none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """As cut, but as compressed Parquet: for wide rows."""
     path = new_path(df.sparkSession, name)
