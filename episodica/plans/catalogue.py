@@ -278,24 +278,24 @@ def cu_seqlens(spark, d):
     return out.select("source", "bin", F.array_join(F.transform("bounds", lambda x: x.cast("string")), ",").alias("bounds"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, conv_id % 50 AS batch, range(1, least(length(text), 40) + 1) AS ids FROM conversations), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS n FROM t) SELECT conv_id, turn, n::BIGINT AS padded_size, list_sum(ids)::BIGINT AS total, len(ids)::BIGINT AS real FROM m")
+@query("SELECT conv_id, turn, (max(length(text)) OVER (PARTITION BY conv_id))::BIGINT AS padded_size, (length(text)::BIGINT * (length(text) + 1) // 2)::BIGINT AS total, length(text)::BIGINT AS real FROM conversations")
 def padded_batch(spark, d):
-    ids = F.sequence(F.lit(1).cast("long"), F.least(F.char_length("text"), F.lit(40)).cast("long"))
-    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") % 50).alias("batch"), ids.alias("ids"))
-    out = bins.pad_batch(c, "ids", "batch", 0)
-    add = lambda s, x: s + x
+    """Whole texts, the turns of each conversation padded to its longest."""
+    return _padded(table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("conv_id").alias("batch")))
+
+
+def _padded(rows_):
+    """Texts as the numbers of their characters, padded in their batches: size, sum and real tokens."""
+    n, none, add = F.char_length("text"), F.array().cast("array<long>"), lambda s, x: s + x
+    ids = F.when(n > 0, F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long"))).when(n == 0, none)
+    out = bins.pad_batch(rows_.select("conv_id", "turn", "batch", ids.alias("ids")), "ids", "batch", 0)
     return out.select("conv_id", "turn", F.size("padded").cast("long").alias("padded_size"), F.aggregate("padded", F.lit(0).cast("long"), add).alias("total"), F.aggregate("mask", F.lit(0), add).cast("long").alias("real"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, text NULLS FIRST) - 1) // 64 AS batch, length(text) AS real FROM conversations) SELECT conv_id, turn, (max(real) OVER (PARTITION BY batch))::BIGINT AS padded_size, (real::BIGINT * (real + 1) // 2)::BIGINT AS total, real::BIGINT AS real FROM t")
 def padded_batch_whole(spark, d):
-    """padded_batch over whole texts, in batches of 64 rows."""
-    n = F.char_length("text")
-    ids = F.when(n > 0, F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long"))).when(n == 0, F.array().cast("array<long>"))
-    c = bins.fixed_batches(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn", "text"], 64)
-    out = bins.pad_batch(c.select("conv_id", "turn", "batch", ids.alias("ids")), "ids", "batch", 0)
-    add = lambda s, x: s + x
-    return out.select("conv_id", "turn", F.size("padded").cast("long").alias("padded_size"), F.aggregate("padded", F.lit(0).cast("long"), add).alias("total"), F.aggregate("mask", F.lit(0), add).cast("long").alias("real"))
+    """Whole texts in batches of 64 rows."""
+    return _padded(bins.fixed_batches(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn", "text"], 64))
 
 
 @query("SELECT l_linestatus AS dataset, round(sum(l_discount) / sum(l_linenumber), 4) AS loss, sum(l_linenumber)::BIGINT AS loss_count FROM lineitem GROUP BY l_linestatus")
