@@ -344,6 +344,16 @@ def test_shard_many_small_rows(spark, monkeypatch):
         assert slots == list(range(len(slots)))
 
 
+def test_components_of_chains(spark, monkeypatch):
+    """Chains in order of ids, stars and loops; a chain of 12 takes four rounds."""
+    cuts, plain = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or plain(df))
+    edges = [(i, i + 1) for i in range(12)] + [(50, i) for i in range(40, 46)] + [(90, 90), (91, 93), (93, 92), (93, None)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(13), 0), **dict.fromkeys([*range(40, 46), 50], 40), **dict.fromkeys((91, 92, 93), 91)}
+    assert len(cuts) < 25
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 16))
