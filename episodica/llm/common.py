@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,33 +50,60 @@ def bucket_of(key: Column, splitters: list) -> Column:
     return F.coalesce(first + below(F.slice(constant(splitters), first + 1, F.lit(step))), F.lit(0))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which one task finishes the components (16 bytes each); more are contracted by rounds of joins first.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, least id that edges reach) of all nodes of the edges (a, b) of one task."""
+    pairs = [np.stack([np.asarray(x.column(0)), np.asarray(x.column(1))]) for x in batches if x.num_rows]
+    if not pairs:
+        return
+    ids, ends = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(ids))
+    while (left := root[a] != root[b]).any():
+        a, b = a[left], b[left]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "to"])
+
+
+def components(edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
     """Connected components of edges (a long, b long): (id, component), component being the least id that links reach.
 
     Every round each node hooks to its least neighbour and the edges are contracted.  In round r hooks are first followed
     r times by doubling, so that a chain of falling ids, along which a single hook gets one step on, shrinks by 2^r.  Edges
-    stay distributed and each round is cut.  A node with very many edges meets them in partial minima, and its relabelling
+    stay distributed and each round is written, so that the next one is planned by true sizes (a checkpoint keeps the
+    plan's estimate, which joins multiply round by round).  Once at most one_task_edges (ONE_TASK_EDGES) are left, one task
+    finishes them; the result is the same.  A node with very many edges meets them in partial minima, and its relabelling
     is a join that adaptive execution can split.  Nulls and loops are ignored; without edges the result is empty."""
-    spark = edges.sparkSession
-    e = cut(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    bound = ONE_TASK_EDGES if one_task_edges is None else one_task_edges
+    e = write_table(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels: DataFrame | None = None
     doublings = 0
-    while e.limit(1).count():
-        hooks = cut(e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")))
-        for _ in range(doublings):
-            further = hooks.select(F.col("id").alias("to"), F.col("to").alias("_next"))
-            hooks = cut(hooks.join(further, "to", "left").select("id", F.coalesce("_next", "to").alias("to")))
-        doublings += 1
+    while left := e.count():
+        if left <= bound:
+            hooks = write_table(e.coalesce(1).mapInArrow(_least_reachable, "id long, to long"), "hooks")
+        else:
+            hooks = write_table(e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), "hooks")
+            for _ in range(doublings):
+                further = hooks.select(F.col("id").alias("to"), F.col("to").alias("_next"))
+                hooks = write_table(hooks.join(further, "to", "left").select("id", F.coalesce("_next", "to").alias("to")), "hooks")
+            doublings += 1
         if labels is None:
             nodes = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
-            labels = nodes.join(hooks, "id", "left").select("id", F.coalesce("to", "id").alias("component"))
+            labels = hooks.withColumnRenamed("to", "component") if left <= bound else nodes.join(hooks, "id", "left").select("id", F.coalesce("to", "id").alias("component"))
         else:
             labels = labels.join(hooks.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
+        labels = write_table(labels, "labels")
+        if left <= bound:
+            return labels
         for side in ("a", "b"):
             e = e.join(hooks.withColumnRenamed("id", side), side, "left").select(*[F.coalesce("to", side).alias(side) if c == side else F.col(c) for c in ("a", "b")])
-        e = cut(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels if labels is not None else spark.createDataFrame([], "id long, component long")
+        e = write_table(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    return labels if labels is not None else edges.sparkSession.createDataFrame([], "id long, component long")
 
 
 __all__ = ["BROADCAST_ROWS", "TEXT_BATCH_ROWS", "bound_batches", "bucket_of", "components", "cut", "new_path", "shared_dir", "unused", "write_table"]
