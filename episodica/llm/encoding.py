@@ -44,7 +44,8 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_SIGNS = _byte_signs()
+#: The printable sign of each byte.
+BYTE_SIGNS = _SIGNS = _byte_signs()
 
 
 class Encoder:
@@ -102,6 +103,11 @@ class Encoder:
             text = raw.decode("latin-1").translate(_SIGNS)
         return [x.id for x in self.model.tokenize(text)]
 
+    def _encode_spans(self, data: bytes, starts: list[int], ends: list[int], odds: list[bool]) -> tuple[list[int], list[int]]:
+        """All ids of some pieces, and each one's number of ids."""
+        found = [self._encode_piece(data[a:b], odd) for a, b, odd in zip(starts, ends, odds, strict=True)]
+        return [x for ids in found for x in ids], [len(ids) for ids in found]
+
     def _lookup(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray | None) -> np.ndarray:
         """The index of each span's ids."""
         hashes = span_hashes(buf, starts, ends)
@@ -128,13 +134,8 @@ class Encoder:
         new[met] = self.piece[at[met]]
         fresh = np.flatnonzero(~met)
         if len(fresh):
-            spans, data, encode = missed[first[fresh]], buf.tobytes(), self._encode_piece
-            odds = odd[spans].tolist() if odd is not None else [False] * len(spans)
-            flat, lengths = [], []
-            for start, end, is_odd in zip(starts[spans].tolist(), ends[spans].tolist(), odds, strict=True):
-                ids = encode(data[start:end], is_odd)
-                flat.extend(ids)
-                lengths.append(len(ids))
+            spans = missed[first[fresh]]
+            flat, lengths = self._encode_spans(buf.tobytes(), starts[spans].tolist(), ends[spans].tolist(), odd[spans].tolist() if odd is not None else [False] * len(spans))
             new[fresh] = np.arange(self.n, self.n + len(fresh))
             self.known = np.insert(self.known, at[fresh], values[fresh])
             self.piece = np.insert(self.piece, at[fresh], new[fresh])
@@ -167,7 +168,7 @@ class Encoder:
         for i in range(run.n):
             buf = run.buf[run.offs[i] : run.offs[i + 1]]
             if wide[i]:
-                ids = self.tok.encode(buf[:-1].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+                ids = self._whole(buf[:-1].tobytes().decode("utf-8", "replace"))
                 parts.append(np.array([*ids, self.end_id], np.int32))
             else:
                 parts.append(self._pieces(buf, 1)[0])
@@ -175,6 +176,9 @@ class Encoder:
         np.cumsum([len(x) for x in parts], out=offs[1:])
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), offs
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
     def _pieces(self, buf: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "bare":
             buf = LOWER[buf]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import embed_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, token_file
+from episodica.llm import bpe_automaton, embed_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, token_file
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,13 +71,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = bpe_automaton.decode(bpe_automaton.encode(table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", bpe_automaton.token_count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_token_file, op4_shard, op5_pack, op6_token_counts, op7_embedding_near_dedup, op8_html_extract, op9_quality_rules, op10_quality_classifier, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_token_file, op4_shard, op5_pack, op6_token_counts, op7_embedding_near_dedup, op8_html_extract, op9_quality_rules, op10_quality_classifier, op11_bpe, pipeline)}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
