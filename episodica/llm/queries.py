@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm import bpe_automaton, embed_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, token_file
+from episodica.llm import bpe_automaton, delta_lloyd, embed_dedup, fill_middle, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, token_file
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,13 +77,48 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", bpe_automaton.token_count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = delta_lloyd.lloyd(table(spark, sf_dir, "embeddings"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
+    return delta_lloyd.report(found)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_token_file, op4_shard, op5_pack, op6_token_counts, op7_embedding_near_dedup, op8_html_extract, op9_quality_rules, op10_quality_classifier, op11_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard, op3_token_file, op4_shard, op5_pack, op6_token_counts, op7_embedding_near_dedup, op8_html_extract, op9_quality_rules, op10_quality_classifier, op11_bpe, op12_centroid_clusters, op13_fill_in_middle, pipeline)}
+
+
+def _lloyd_sql(rounds: int = 3, k: int = 16, dim: int = 64) -> str:
+    """Plain Lloyd's rounds: a step compares all vectors with all centroids."""
+    distance = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    mean = lambda d: f"((SUM(v.q[{d}])::BIGINT - ((SUM(v.q[{d}])::BIGINT % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*))::BIGINT"  # noqa: E731  floor, also below zero
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT v.row, MIN(({distance}, c.cluster)) AS best FROM v CROSS JOIN c{r} c GROUP BY v.row)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT a.best[2] AS cluster, [{', '.join(mean(d) for d in range(1, dim + 1))}] AS q FROM v JOIN a{r} a ON v.row = a.row GROUP BY a.best[2])")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, COALESCE(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster)")
+    chain = ",\n".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h NULLS LAST, q) - 1)::INT AS cluster, q FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k})),
+{chain},
+s AS (SELECT best[2] AS cluster, SUM(best[1])::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY best[2])
+SELECT v.vec_id, a.best[2] AS cluster, a.best[1] AS distance, s.cluster_inertia, (SELECT SUM(cluster_inertia)::BIGINT FROM s) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a ON v.row = a.row JOIN s ON s.cluster = a.best[2] JOIN c{rounds} c ON c.cluster = a.best[2]"""
+
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
@@ -122,4 +157,15 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 c AS (SELECT a, MIN(b) AS low FROM r GROUP BY a), n AS (SELECT a, COUNT(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, COALESCE(n.n, 0)::BIGINT AS n_links, LEAST(v.vec_id, COALESCE(c.low, v.vec_id)) AS component_id, v.vec_id <= COALESCE(c.low, v.vec_id) AS kept
 FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN c ON v.vec_id = c.a""",
+    "op12_centroid_clusters": _lloyd_sql(),
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+        ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(lines) AS n, LEAST(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, GREATEST(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n::BIGINT AS n, form, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""",
 }
