@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 from episodica.sources.shared import cut, small
 
 STRATEGY = re.compile(r"(first|end|random):(\d+)(%?)")
+#: Rows of a key up to which a window over the key is one task's work; the rows of keys with more are worked on in blocks.
+HOT_ROWS = 1_000_000
+BLOCK_ROWS = 100_000
+#: Rows up to which the least rows of an order come from a top-n, which ends in one task.
+TOP_ROWS = 100_000
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame | None:
+    """The values (_key) of key that more than hot_rows (HOT_ROWS) rows of df have; None if there are none."""
+    found = cut(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows)).select("_key"))
+    return found if found.limit(1).count() else None
+
+
+def apart(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df without, and those with, a key of hot (null is a key like others)."""
+    hot = small(hot)
+    met = df[key].eqNullSafe(hot["_key"])
+    return df.join(hot, met, "left_anti"), df.join(hot, met, "left_semi")
 
 
 def length_filter(df: DataFrame, tokens: str, most: int) -> DataFrame:
@@ -47,11 +65,32 @@ def sample(df: DataFrame, strategy: str, order: list[str], seed: int = 42) -> Da
     if m[1] == "end" and n == 0:
         return df
     by = [F.col(c).desc() if m[1] == "end" else F.col(c).asc() for c in order]
-    if m[1] == "random":
-        by = shuffled(order, seed) + by
     if m[3]:
-        return numbered(df, by, "_place").where(F.col("_place") < -(-n * df.count() // 100)).drop("_place")
-    return df.orderBy(*by).limit(n)
+        n = -(-n * df.count() // 100)
+    if m[1] != "random":
+        return df.orderBy(*by).limit(n) if n <= TOP_ROWS else numbered(df, by, "_place").where(F.col("_place") < n).drop("_place")
+    digest = shuffled(order, seed)[0]
+    return least(df, n, F.conv(F.substring(digest, 1, 4), 16, 10).cast("long"), [digest, *by])
+
+
+def least(df: DataFrame, n: int, score: Column, by: list[Column]) -> DataFrame:
+    """The first n rows in the order of by.
+
+    score: a long of at most some 100,000 values that never falls in that order, so that most rows are in or out by it alone.  Rows
+    are counted by score; all rows below the score of the n-th are taken as they are, and only those at that score are put in
+    order, by range partitions if they are many."""
+    if n <= TOP_ROWS:
+        return df.orderBy(*by).limit(n)
+    rows = df.withColumn("_score", score)
+    before, at = 0, None
+    for at, count in sorted(tuple(r) for r in rows.groupBy("_score").agg(F.count("*")).collect()):
+        if before + count >= n:
+            break
+        before += count
+    else:
+        return df
+    whole, edge = rows.where(F.col("_score") < at).drop("_score"), rows.where(F.col("_score") == at).drop("_score")
+    return whole.unionByName(numbered(edge, by, "_place").where(F.col("_place") < n - before).drop("_place"))
 
 
 def shuffled(key: list[str], seed: int) -> list[Column]:
@@ -61,7 +100,8 @@ def shuffled(key: list[str], seed: int) -> list[Column]:
 
 def weighted_subset(df: DataFrame, weight: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows without replacement, likelier with more weight: the smallest -ln(u)/weight, u from md5 of seed and key."""
-    return df.where(F.col(weight) > 0).withColumn("_r", -F.log(uniform(F.col(key), seed)) / F.col(weight)).orderBy("_r", key).limit(n).drop("_r")
+    rows = df.where(F.col(weight) > 0).withColumn("_r", -F.log(uniform(F.col(key), seed)) / F.col(weight))
+    return least(rows, n, F.floor(F.log2("_r") * 256), [F.col("_r"), F.col(key)]).drop("_r")
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -79,15 +119,21 @@ def offsets(df: DataFrame, group: str) -> DataFrame:
 def in_spans(df: DataFrame, index: str, spans: DataFrame, start: str = "start", end: str = "end", how: str = "inner") -> DataFrame:
     """Rows of df with the columns of the span [start, end) that holds their index; spans must not overlap.
 
-    An equality join: the axis is cut into buckets of the spans' mean width, so that each span lies in about two of them on
-    average, whatever their number, and each bucket meets only its own spans."""
-    low, high, n = spans.agg(F.min(start), F.max(end), F.count("*")).first()
-    width = max(1, ((high or 1) - (low or 0)) // max(n, 1))
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    cells = small(spans.withColumn("_cell", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1)))).withColumnsRenamed({start: "_from", end: "_to"}))
-    rows = df.withColumn("_cell", bucket(F.col(index)))
-    met = (rows["_cell"] == cells["_cell"]) & (rows[index] >= cells["_from"]) & (rows[index] < cells["_to"])
-    return rows.join(cells, met, how).drop("_cell").withColumnsRenamed({"_from": start, "_to": end})
+    An equality join: a span of up to 2^k places, but more than half of that, is put into the one or two cells of width 2^k that
+    it touches, so a cell meets three spans at most, however unlike the lengths of spans are.  An index is looked up once for
+    each k that occurs (64 at most).  Empty spans and null indices meet nothing; how="left" keeps their rows."""
+    shift = lambda c, k: F.call_function("shiftright", c.cast("long"), k)
+    bits = F.length(F.bin(F.col(end) - F.col(start) - 1))
+    cells = spans.where(F.col(end) > F.col(start)).withColumn("_k", F.when(F.col(end) - F.col(start) == 1, 0).otherwise(bits).cast("int"))
+    levels = sorted(r[0] for r in cells.select("_k").distinct().collect())
+    cells = cells.withColumn("_cell", F.explode(F.array_distinct(F.array(shift(F.col(start), F.col("_k")), shift(F.col(end) - 1, F.col("_k"))))))
+    cells = small(cells.withColumnsRenamed({start: "_from", end: "_to"}))
+    wanted = df if how == "inner" else df.select(index).distinct()
+    every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+    rows = wanted.withColumn("_level", F.explode(every))
+    met = (rows["_level"] == cells["_k"]) & (shift(rows[index], rows["_level"]) == cells["_cell"]) & (rows[index] >= cells["_from"]) & (rows[index] < cells["_to"])
+    found = rows.join(cells, met).drop("_cell", "_k", "_level").withColumnsRenamed({"_from": start, "_to": end})
+    return found if how == "inner" else df.join(found, index, how)
 
 
 def locate(df: DataFrame, index: str, starts: DataFrame, group: str) -> DataFrame:
@@ -121,23 +167,43 @@ def union_all(parts: dict[str, DataFrame], name: str = "dataset") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(name, F.lit(k)) for k, df in parts.items()])
 
 
-def nearest_in_time(df: DataFrame, other: DataFrame, by: str, ts: str, tolerance: float, value: str, both_sides: bool = False) -> DataFrame:
+def nearest_in_time(df: DataFrame, other: DataFrame, by: str, ts: str, tolerance: float, value: str, both_sides: bool = False, hot_rows: int | None = None) -> DataFrame:
     """Adds near_value: the value of the last row of other at most tolerance seconds before each row of df (as-of), null without one.
 
     both_sides: of the nearest row before or after; at equal distance the one before.  Both tables are merged in windows by
-    key; no pairs are made."""
+    key; no pairs are made.  Keys of more than hot_rows (HOT_ROWS) rows are cut into blocks in time, and what a block has last
+    (and first) is carried over to its neighbours."""
     df, other = (x.withColumn(ts, F.col(ts).cast("timestamp")) for x in (df, other))
     both = df.withColumn("_v", F.lit(None).cast("struct<t:timestamp,v:double>")).withColumn("_q", F.lit(1))
     right = other.select(by, ts, F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v")).alias("_v")).withColumn("_q", F.lit(0))
     both = both.unionByName(right, allowMissingColumns=True)
+    hot = hot_keys(both.select(by), by, hot_rows)
+    rest, crowded = (both, None) if hot is None else apart(both, by, hot)
     window = Window.partitionBy(by).orderBy(ts, "_q")
-    both = both.withColumn("_l", F.last("_v", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    after = F.first("_v", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)) if both_sides else F.lit(None).cast("struct<t:timestamp,v:double>")
-    both = both.withColumn("_r", after).where("_q = 1")
+    none = F.lit(None).cast("struct<t:timestamp,v:double>")
+    found = rest.withColumn("_l", F.last("_v", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.withColumn("_r", F.first("_v", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)) if both_sides else none)
+    if crowded is not None:
+        found = found.unionByName(_carried(crowded, by, ts).withColumn("_r", F.col("_r") if both_sides else none))
     gap = lambda c: F.abs(F.unix_micros(ts) - F.unix_micros(f"{c}.t"))
     nearest = F.when(F.col("_l").isNull() | (gap("_r") < gap("_l")), F.col("_r")).otherwise(F.col("_l"))
-    both = both.withColumn("_n", nearest)
-    return both.withColumn("near_value", F.when(gap("_n") <= int(tolerance * 1e6), F.col("_n.v"))).drop("_l", "_r", "_n", "_v", "_q")
+    found = found.where("_q = 1").withColumn("_n", nearest)
+    return found.withColumn("near_value", F.when(gap("_n") <= int(tolerance * 1e6), F.col("_n.v"))).drop("_l", "_r", "_n", "_v", "_q")
+
+
+def _carried(both: DataFrame, by: str, ts: str) -> DataFrame:
+    """Adds _l and _r, the last _v before and the first one after each row of the same key, block by block."""
+    placed = numbered(both, [F.col(by).asc_nulls_first(), F.col(ts), F.col("_q")], "_place").withColumn("_block", F.floor(F.col("_place") / F.lit(BLOCK_ROWS)))
+    placed = placed.withColumn("_o", F.when(F.col("_v").isNotNull(), F.struct(F.col(by).alias("k"), F.col("_v").alias("v"))))
+    edges = placed.groupBy("_block").agg(F.max_by("_o", F.when(F.col("_o").isNotNull(), F.col("_place"))).alias("_last"), F.min_by("_o", F.when(F.col("_o").isNotNull(), F.col("_place"))).alias("_first"))
+    order = Window.orderBy("_block")  # one row a block
+    edges = edges.select("_block", F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_cl"), F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_cr"))
+    inside = Window.partitionBy("_block").orderBy("_place")
+    placed = placed.withColumn("_l", F.last("_o", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("_r", F.first("_o", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    placed = placed.join(small(edges), "_block")
+    own = lambda x: F.when(x["k"].eqNullSafe(F.col(by)), x["v"])
+    return placed.withColumns({"_l": own(F.coalesce("_l", "_cl")), "_r": own(F.coalesce("_r", "_cr"))}).drop("_place", "_block", "_o", "_cl", "_cr")
 
 
 def short_rows(df: DataFrame, length: str, below: int) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from episodica.functions import text as T
 from episodica.functions import vectors as V
 from episodica.operators import bins, chunks, metrics, rows, stats, subtasks
-from episodica.plans.registry import CAPACITY, EMB, FRAMES, HORIZON, LINES, ORACLE_SQL, ORDER, QUERIES, events_as_frames, line_vector, lines, long, query, rounded, vectors
+from episodica.plans.registry import CAPACITY, EMB, FRAMES, HORIZON, LINES, ORACLE_SQL, ORDER, QUERIES, event_chunks, events_as_frames, line_vector, lines, long, query, rounded, vectors
 from episodica.sources.shared import small
 from episodica.sources.tables import table
 
 
 @query(FRAMES + " SELECT a.episode_index, a.frame_index, a.n - 1 - a.frame_index AS steps_to_go, d.delta, b.value, a.frame_index + d.delta >= a.n AS is_pad FROM f a CROSS JOIN (SELECT unnest(range(16)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1)")
 def action_chunk_pad(spark, d):
-    df = chunks.chunk(events_as_frames(spark, d), "value", HORIZON, frame=ORDER)
+    df = event_chunks(spark, d, "value", HORIZON)
     return chunks.chunk_rows(df.select("episode_index", "frame_index", "steps_to_go", "chunk", "chunk_is_pad")).withColumn("delta", F.col("delta").cast("long"))
 
 
@@ -110,7 +110,7 @@ MASK = [True, False]
 @query(FRAMES + " SELECT a.event_id, d.delta, round(b.value - a.value, 6) AS rel, b.value * 2 AS absolute FROM f a CROSS JOIN (SELECT unnest(range(8)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1)")
 def state_relative_chunk(spark, d):
     both = F.array(F.col("value"), F.col("value") * 2)
-    df = chunks.chunk(events_as_frames(spark, d), both, 8, frame=ORDER).select("event_id", "value", F.posexplode("chunk").alias("delta", "a"))
+    df = event_chunks(spark, d, both, 8).select("event_id", "value", F.posexplode("chunk").alias("delta", "a"))
     rel = V.relative(F.col("a"), F.array(F.col("value"), F.col("value") * 2), MASK)
     return df.withColumn("r", rel).select("event_id", F.col("delta").cast("long").alias("delta"), F.round(F.col("r")[0], 6).alias("rel"), F.col("r")[1].alias("absolute"))
 
@@ -255,10 +255,19 @@ def pack_next_fit(spark, d):
     return bins.offsets(bins.next_fit(docs, "n_chars", "source", ["doc_id"], CAPACITY), "source", ["doc_id"], "n_chars").select("source", "doc_id", "bin", "offset")
 
 
-@query()
+WFD = "WITH RECURSIVE o AS (SELECT doc_id, coalesce(n_chars, 0)::BIGINT AS n, row_number() OVER (ORDER BY coalesce(n_chars, 0) DESC, doc_id NULLS FIRST) AS r FROM documents), p(r, doc_id, n, loads, bin) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, []::BIGINT[], 0::BIGINT UNION ALL SELECT o.r, o.doc_id, o.n, CASE WHEN list_min(p.loads) + o.n <= 8192 THEN p.loads[1:list_position(p.loads, list_min(p.loads)) - 1] || [list_min(p.loads) + o.n] || p.loads[list_position(p.loads, list_min(p.loads)) + 1:] ELSE p.loads || [o.n] END, CASE WHEN list_min(p.loads) + o.n <= 8192 THEN list_position(p.loads, list_min(p.loads)) ELSE len(p.loads) + 1 END FROM p JOIN o ON o.r = p.r + 1)"
+
+
+@query(WFD + " SELECT (bin - 1)::BIGINT AS bin, sum(n)::BIGINT AS load, count(*) AS items FROM p WHERE r > 0 GROUP BY bin")
 def pack_wfd_loads(spark, d):
-    docs = bins.megabatches(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return bins.loads(bins.pack(docs, "n_chars", "megabatch", ["doc_id"], CAPACITY, "worst_fit"), "megabatch", "n_chars")
+    packed = bins.pack_by_size(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", CAPACITY, "ultra")
+    return bins.loads(packed, "megabatch", "n_chars").select("bin", *long("load", "items"))
+
+
+@query(WFD + " SELECT doc_id, (bin - 1)::BIGINT AS bin FROM p WHERE r > 0")
+def pack_wfd(spark, d):
+    """The bin of every row."""
+    return bins.worst_fit(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"], CAPACITY).select("doc_id", "bin")
 
 
 PACKED = ORACLE_SQL["pack_next_fit"].split(" SELECT source, doc_id, bin::BIGINT")[0]
@@ -305,7 +314,7 @@ def channel_loss(spark, d):
 
 @query(FRAMES + " SELECT a.episode_index, round(coalesce(avg(CASE WHEN a.frame_index + d.delta < a.n THEN (b.value - 1) * (b.value - 1) END), 0), 4) AS loss FROM f a CROSS JOIN (SELECT unnest(range(8)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1) GROUP BY a.episode_index")
 def masked_loss(spark, d):
-    x = chunks.chunk_rows(chunks.chunk(events_as_frames(spark, d), "value", 8, frame=ORDER).select("episode_index", "chunk", "chunk_is_pad"))
+    x = chunks.chunk_rows(event_chunks(spark, d, "value", 8).select("episode_index", "chunk", "chunk_is_pad"))
     return x.groupBy("episode_index").agg(F.round(metrics.masked_mean((F.col("value") - 1) * (F.col("value") - 1), ~F.col("is_pad")), 4).alias("loss"))
 
 
@@ -333,14 +342,14 @@ def length_estimate(spark, d):
 
 @query(FRAMES + ", g AS (SELECT a.event_id, list(b.value ORDER BY d.delta) AS c FROM f a CROSS JOIN (SELECT unnest(range(8)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1) GROUP BY a.event_id), k AS (SELECT event_id, c, unnest(range(8)) AS k FROM g) SELECT event_id, k, round_even((CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END) * list_sum(list_transform(range(8), lambda n: c[n + 1] * cos(pi() * (2 * n + 1) * k / 16))) * 10, 0)::BIGINT AS q FROM k")
 def dct_quantize(spark, d):
-    df = chunks.chunk(events_as_frames(spark, d), "value", 8, frame=ORDER)
+    df = event_chunks(spark, d, "value", 8)
     return df.select("event_id", F.posexplode(V.dct(F.col("chunk"), 8)).alias("k", "q")).select("event_id", *long("k", "q"))
 
 
 @query(ORACLE_SQL["dct_quantize"].replace(" SELECT event_id, k, round_even", ", q AS (SELECT event_id, c, k, round_even") + ") SELECT event_id, round(sum((CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END) * q * cos(pi() * k / 16)) / 10, 4) AS first, abs(sum((CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END) * q * cos(pi() * k / 16)) / 10 - any_value(c[1])) < 0.15 AS close FROM q GROUP BY event_id")
 def dct_roundtrip(spark, d):
     """The first value of each chunk back from its coefficients, off by their rounding at most."""
-    df = chunks.chunk(events_as_frames(spark, d), "value", 8, frame=ORDER)
+    df = event_chunks(spark, d, "value", 8)
     back = V.inverse_dct(V.dct(F.col("chunk"), 8), 8)[0]
     return df.select("event_id", F.round(back, 4).alias("first"), (F.abs(back - F.col("chunk")[0]) < 0.15).alias("close"))
 
@@ -362,7 +371,7 @@ def subsequence_search(spark, d):
 
 @query(FRAMES + " SELECT a.event_id, d.delta AS step, b.value FROM f a CROSS JOIN (SELECT unnest(range(10)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = least(a.frame_index + d.delta, a.n - 1) WHERE a.frame_index % 10 = 0")
 def replan_replay(spark, d):
-    df = chunks.chunk(events_as_frames(spark, d), "value", HORIZON, frame=ORDER).where("frame_index % 10 = 0")
+    df = event_chunks(spark, d, "value", HORIZON).where("frame_index % 10 = 0")
     return df.select("event_id", F.posexplode(F.slice("chunk", 1, 10)).alias("step", "value")).select("event_id", *long("step"), "value")
 
 

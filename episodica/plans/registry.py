@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.operators import chunks, stats
+from episodica.operators.rows import hot_keys
 from episodica.sources.tables import table
 
 HORIZON, CAPACITY = 16, 8192
@@ -38,10 +39,21 @@ def query(sql: str | None = None):
 ORDER = ["ts", "event_id"]
 
 
-def events_as_frames(spark: SparkSession, d: str) -> DataFrame:
+def hot_episodes(spark: SparkSession, d: str) -> DataFrame | None:
+    """Users with too many events for one task."""
+    return hot_keys(table(spark, d, "events").select("user_id"), "user_id")
+
+
+def events_as_frames(spark: SparkSession, d: str, hot: DataFrame | str | None = chunks.LOOK) -> DataFrame:
     """The events of a user are an episode, ordered by time."""
     events = table(spark, d, "events").select(F.col("user_id").alias("episode_index"), "event_id", "ts", "event_type", "value", "props")
-    return chunks.frames(events, "episode_index", ORDER)
+    return chunks.frames(events, "episode_index", ORDER, hot)
+
+
+def event_chunks(spark: SparkSession, d: str, value, horizon: int) -> DataFrame:
+    """Frames with the chunk of values from each on; hot episodes are looked up once."""
+    hot = hot_episodes(spark, d)
+    return chunks.chunk(events_as_frames(spark, d, hot), value, horizon, frame=ORDER, hot=hot)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

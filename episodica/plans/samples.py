@@ -10,7 +10,7 @@ from episodica.functions import tokens as K
 from episodica.functions import vectors as V
 from episodica.operators import batches, bins, chunks, metrics, packs
 from episodica.plans.packed import PACKED, _packs
-from episodica.plans.registry import FRAMES, ORDER, events_as_frames, long, query
+from episodica.plans.registry import FRAMES, ORDER, event_chunks, long, query
 from episodica.sources.tables import table
 
 PART = "t AS (SELECT p_partkey, p_size, list_transform(range(0, p_size + 1), lambda i: (i * p_partkey + i) % 13) AS ids FROM part)"
@@ -187,7 +187,7 @@ def frame_tokens(spark, d):
 @query(FRAMES + ", s AS (SELECT b.value AS v FROM f a CROSS JOIN (SELECT unnest(range(4)) AS delta) d JOIN f b ON a.episode_index = b.episode_index AND b.frame_index = a.frame_index + d.delta) SELECT round(sum((v - 1) * (v - 1) + (2 * v - 1) * (2 * v - 1)) / (count(*) * 2), 4) AS loss, count(*) AS steps FROM s")
 def flow_loss(spark, d):
     """Loss over chunks of three dims of which the mask counts two."""
-    df = chunks.chunk(events_as_frames(spark, d), "value", 4, frame=ORDER)
+    df = event_chunks(spark, d, "value", 4)
     three = lambda f: F.transform("chunk", f)
     df = df.select(F.col("event_id").alias("_order"), three(lambda v: F.array(v, v * 2, v * 3)).alias("p"), three(lambda v: F.array(F.lit(1.0), F.lit(1.0), F.lit(9.0))).alias("t"), "chunk_is_pad", three(lambda v: F.array(F.lit(1), F.lit(1), F.lit(0))).alias("m"))
     return metrics.flow_loss(df, "p", "t", "chunk_is_pad", "m").select(F.round("loss", 4).alias("loss"), "steps")
@@ -225,7 +225,7 @@ def relative_keys(spark, d):
 @query(FRAMES + " SELECT event_id, 8::BIGINT AS actions, sum(value) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) > 0 AS positive FROM f")
 def length_agreement(spark, d):
     """As many actions as pad flags and masks in every chunk, else it raises."""
-    df = chunks.chunk(events_as_frames(spark, d), "value", 8, frame=ORDER)
+    df = event_chunks(spark, d, "value", 8)
     same = (F.size("chunk") == F.size("chunk_is_pad")) & (F.size("chunk") == F.size(V.pad_mask(F.col("chunk"), 8)))
     checked = F.when(same, F.size("chunk")).otherwise(F.raise_error(F.lit("actions, pad flags and masks differ in number")).cast("int"))
     real = F.filter(F.arrays_zip("chunk", "chunk_is_pad"), lambda s: ~s["chunk_is_pad"])
@@ -236,7 +236,7 @@ DCT = FRAMES + ", g AS (SELECT a.event_id, list(b.value ORDER BY d.delta) AS c F
 
 
 def _coefficients(spark, d):
-    return chunks.chunk(events_as_frames(spark, d), "value", 8, frame=ORDER).select("event_id", "chunk", V.dct(F.col("chunk"), 8).alias("q"))
+    return event_chunks(spark, d, "value", 8).select("event_id", "chunk", V.dct(F.col("chunk"), 8).alias("q"))
 
 
 def _span(x):

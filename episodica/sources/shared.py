@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """As cut, but a Parquet table in the shared folder: for wide rows, and for loops that join their own cuts, as it is planned
+    by its true size while a checkpoint keeps the estimate of its plan."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df (narrow, and cheap to count), to be broadcast if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
