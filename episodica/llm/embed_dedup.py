@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.common import components, cut
 
 #: Signs of random projections that make a sort key.
 BITS = 62
-#: Rows of one side of a tile in which links are counted, and in which rows still open are compared.
-BLOCK, OPEN_BLOCK = 512, 4096
+#: Numbers of one side of a tile (rows by components), so that a task holds few megabytes and large groups are copied seldom.
+TILE = 1 << 20
+#: Rows of a side that are compared with the other side at once.
+BLOCK = 512
 #: Chance of having missed a partner just at the threshold up to which a row is done.
 OPEN = 0.05
 #: Comparisons that cost about as much as one row's part in one pass (projection, shuffle, sort, window).
@@ -176,6 +178,12 @@ def _links(threshold: float):
     return link
 
 
+def _in_blocks(rows: DataFrame, n: Column) -> DataFrame:
+    """rows (with dim) with their block and the number of _blocks, for groups of n rows: blocks of TILE numbers."""
+    blocks = F.greatest(F.lit(1), F.ceil(n * F.col("dim") / TILE)).cast("int")
+    return rows.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+
+
 def _tiles(rows: DataFrame, *columns: str) -> DataFrame:
     """rows (with block and _blocks) dealt to all pairs t0, t1 of blocks; side tells the two apart, same an equal pair."""
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -211,9 +219,7 @@ def _edges(groups: DataFrame, n: int, threshold: float, window: int, passes: int
     rest = cut(open_.join(components(edges), "id", "left").select("id", "dim", "v", F.coalesce("component", "id").alias("component")))
     if rest.select("component").distinct().limit(2).count() < 2:
         return edges
-    blocks = max(1, math.ceil(left / OPEN_BLOCK))
-    rest = rest.withColumns({"_blocks": F.lit(blocks), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
-    tiles = _tiles(rest, "dim", "component", "id", "v")
+    tiles = _tiles(_in_blocks(rest, F.lit(left)), "dim", "component", "id", "v")
     return edges.union(cut(tiles.groupBy("dim", "t0", "t1").applyInArrow(_links(threshold), "a long, b long")))
 
 
@@ -226,13 +232,17 @@ def _count(threshold: float):
         x, same = _matrix(tile["v"].chunk(0) if isinstance(tile["v"], pa.ChunkedArray) else tile["v"]), bool(tile["same"][0].as_py())
         left = side == 0
         right = left if same else side == 1
-        near = x[left] @ x[right].T >= threshold
-        if same:
-            np.fill_diagonal(near, False)
-            out_ids, links = ids[left], near @ copies[left]
-        else:
-            out_ids = np.concatenate([ids[left], ids[right]])
-            links = np.concatenate([near @ copies[right], near.T @ copies[left]])
+        a, b, weight, out_ids = x[left], x[right], copies[right], ids[left]
+        links, back = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for k in range(0, len(a), BLOCK):
+            near = a[k : k + BLOCK] @ b.T >= threshold
+            if same:
+                near[np.arange(len(near)), k + np.arange(len(near))] = False
+            links[k : k + BLOCK] = near @ weight
+            if not same:
+                back += copies[left][k : k + BLOCK] @ near
+        if not same:
+            out_ids, links = np.concatenate([out_ids, ids[right]]), np.concatenate([links, back])
         return pa.table({"id": pa.array(out_ids, pa.int64()), "links": pa.array(links, pa.int64())})
 
     return count
@@ -265,8 +275,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     joined = components(_edges(groups, n, threshold, window, passes, seed))
     # count links inside each component: members are dealt to blocks, pairs of blocks are tiles
     members = groups.join(joined, "id")
-    sizes = joined.groupBy("component").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    sizes = joined.groupBy("component").agg(F.count("*").alias("_n"))
+    members = _in_blocks(members.join(sizes, "component"), F.col("_n")).drop("_n")
     tiles = _tiles(members, "component", "id", "v", "copies")
     links = tiles.groupBy("component", "t0", "t1").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
     lows = members.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -1,11 +1,13 @@
 """Main text of web pages by site template removal.
 
 Pages are read into element trees.  Subtrees are hashed and counted in Spark over the pages of each host, and those that
-recur under many different main texts of a host are the site's template: they are deleted.  Boxes outside a page's main
-passage are hashed by structure (tags, attribute names, classes, ids, the shapes of their children, no words), as a menu or
-an advert differs in words from page to page; everything is also hashed by tags and words, for boxes and lines that
-recur literally.  What is left and marks itself as no article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) goes as well: that is all there is to go by on hosts of few pages.
+recur under many different main texts of a host are the site's template: they are deleted, and what is left is the text.
+Boxes outside a page's main passage are hashed by structure (tags, attribute names, classes, ids, the shapes of their
+children, no words), as a menu or an advert differs in words from page to page; everything is also hashed by tags and
+words, for boxes and lines that recur literally.
+
+Hosts of few pages have no template: there the article and what elements say of themselves (tags, and words of class, id and
+role outside articles) are all there is to go by.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ _CLOSES = {"p": ({"p"}, {"body", "div", "article", "section", "td", "li", "block
 #: Elements and marks (whole words of class or id, or joined of such alone) of what is no article.
 _NO_ARTICLE = frozenset("nav footer aside form button select option dialog menu head".split())
 _MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe widget".split())
+#: Of these marks the only ones that count inside an article: readers' comments.
+_COMMENTS = frozenset("comment comments disqus replies reply".split())
+#: Controls and what isn't shown; header counts as no article where it stands outside of one.
+_UNSEEN = frozenset("head button select option".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Elements whose recurrence makes them template, unless they are a page's main passage; inline ones where their parent has no text beside them.
 _TEMPLATE = frozenset("aside blockquote center details dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header menu nav ol p pre section table ul".split())
@@ -50,6 +56,8 @@ _DIGITS = re.compile(r"\d+")
 #: Different main texts of a host under which a template's subtree stands: LEAST_PAGES at least, and LEAST_SHARE of all or, on
 #: large hosts, LOG_PAGES times the binary logarithm of all.
 LEAST_PAGES, LEAST_SHARE, LOG_PAGES = 5, 0.25, 4
+#: Stands for a host's having a template.
+SITE = 1
 #: Recurring subtrees up to which every worker holds all of them (8 bytes each).
 BROADCAST_SUBTREES = 4_000_000
 
@@ -144,8 +152,9 @@ def _marks(node: Node) -> tuple[dict[str, str], set[str]]:
     return found, marks
 
 
-def _no_article(node: Node, inside: bool, guarded: set[int] = frozenset()) -> bool:
-    """Whether the element says itself that it is no part of an article; inside: it stands in one; guarded: see there."""
+def _no_article(node: Node, inside: bool, guarded: set[int] = frozenset(), in_article: bool = False) -> bool:
+    """Whether the element says itself that it is no part of an article; inside: it stands in an article or main element;
+    in_article: in an article, where of class, id and role only readers' comments count; guarded: see there."""
     if node.name in _NO_ARTICLE and not (node.name in ("form", "dialog") and id(node) in guarded) or node.name == "header" and not inside:
         return True
     if not node.attributes or node.name in ("main", "body", "html"):
@@ -157,11 +166,23 @@ def _no_article(node: Node, inside: bool, guarded: set[int] = frozenset()) -> bo
         return True
     if id(node) in guarded:
         return False
+    if in_article:
+        return not _COMMENTS.isdisjoint(marks)
     if not _ROLES.isdisjoint(found.get("role", "").split()):
         return True
     return not _MARKS.isdisjoint(marks)
 
 
+def _unseen(node: Node) -> bool:
+    """Whether the element is a control or isn't shown."""
+    if node.name in _UNSEEN:
+        return True
+    if not node.attributes or node.name in ("main", "body", "html", "article"):
+        return False
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes)}
+    return "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
 def guarded(root: Node) -> set[int]:
     """Elements (by id()) that no mark, role or form tag drops: those around all articles and main elements of the page, or
     around one of them and most of the page's text; on pages without such, those around most of the text."""
@@ -199,7 +220,8 @@ class Subtrees:
     """Hashes of a page's template-like elements: literal (by id(), of tags and words) and shapes (by id(), of structure).
 
     Elements around an article have none.  Shapes are given to boxes outside the main passage: all articles and main
-    elements, and the innermost element with at least half of the page's prose.  share: prose of all boxes of each shape."""
+    elements (articles: whether these hold any text), else the innermost element with at least half of the page's prose.
+    share: prose of all boxes of each shape."""
 
     def __init__(self, root: Node):
         order = list(_walk(root))
@@ -242,12 +264,16 @@ class Subtrees:
             passage.add(id(top))
             top = inner
         passage.add(id(top))
-        inside = set()
+        for node in order:
+            if node.name in ("article", "main") or id(node.parent) in within:
+                within.add(id(node))
+        self.articles = any(chars[k] for k in within)
+        if self.articles:
+            passage, top = set(), None
+        inside = set(within)
         for node in order:
             key, up = id(node), id(node.parent)
-            if node.name in ("article", "main") or up in within:
-                within.add(key)
-            if key in within or node is top or up in inside:
+            if node is top or up in inside:
                 inside.add(key)
             if node.name in _INLINE and (up in mixed or node.parent.name in _INLINE or node.parent.name == "p"):
                 self.literal.pop(key, None)  # a part of a sentence
@@ -260,31 +286,30 @@ class Subtrees:
             self.share[shape] += prose[k]
         #: Text of the main passage, by which copies of a page are told.
         texts = [c for n in order if id(n) in inside for c in n.children if isinstance(c, str)] or [c for n in order for c in n.children if isinstance(c, str)]
-        self.main = xxhash.xxh64_intdigest(" ".join("".join(texts).split())) - (1 << 63)
+        passage_text = " ".join("".join(texts).split())
+        self.main, self.passage_chars = xxhash.xxh64_intdigest(passage_text) - (1 << 63), len(passage_text)
 
     def counted(self) -> dict[int, int]:
-        """The page's distinct hashes with their prose; literal ones count without."""
-        return dict.fromkeys(self.literal.values(), 0) | {h: n for h, n in self.share.items() if 2 * n < self.prose or not n}
+        """The page's distinct hashes with their prose; literal ones, and boxes that stand outside of articles, count without."""
+        return dict.fromkeys(self.literal.values(), 0) | {h: 0 if self.articles else n for h, n in self.share.items() if self.articles or 2 * n < self.prose or not n}
 
 
 def template_nodes(root: Node, known) -> set[int]:
-    """The elements (by id()) whose hashes known(array) finds in the template, without a page's main passage: boxes of one
-    shape with half of the prose, or a paragraph, heading, quotation or inline element with half of the text."""
+    """The elements (by id()) whose hashes known(array) finds in the template, without a page's main passage: on pages without
+    articles boxes of one shape with half of the prose, and a paragraph, heading, quotation or inline element with half of the text."""
     s = Subtrees(root)
     keys = [*s.literal, *s.shapes]
     if not keys:
         return set()
     hits = known(np.fromiter([*s.literal.values(), *s.shapes.values()], np.int64))
-    found = [(k, n >= len(s.literal)) for n, (k, hit) in enumerate(zip(keys, hits, strict=True)) if hit]
-    if not found:
-        return set()
-    whole, out = None, set()
-    for k, by_shape in found:
-        if by_shape:
-            keep = s.share[s.shapes[k]] and 2 * s.share[s.shapes[k]] >= s.prose
-        elif keep := s.nodes[k].name in _LEAF | _INLINE:
-            whole = (len(main_text(root)) or s.chars) if whole is None else whole
-            keep = 2 * _length(s.nodes[k]) >= whole
+    out = set()
+    for n, (k, hit) in enumerate(zip(keys, hits, strict=True)):
+        if not hit:
+            continue
+        if n >= len(s.literal):
+            keep = not s.articles and s.share[s.shapes[k]] and 2 * s.share[s.shapes[k]] >= s.prose
+        else:
+            keep = s.nodes[k].name in _LEAF | _INLINE and 2 * _length(s.nodes[k]) >= (s.passage_chars or s.chars)
         if not keep:
             out.add(k)
     return out
@@ -294,41 +319,52 @@ def _length(node: Node) -> int:
     return sum(len(" ".join(c.split())) for x in _walk(node) for c in x.children if isinstance(c, str))
 
 
-def main_text(root: Node, deleted: set[int] = frozenset(), names: bool = True) -> str:
-    """The text of all main elements and articles (else of the body), without what is deleted (by id()) or no article.
+def main_text(root: Node, deleted: set[int] = frozenset(), names: bool = True, site: bool = False) -> str:
+    """The text of a page without what is deleted (by id()), controls and what isn't shown.
+
+    site: the page's host has a template, which is deleted; all that is left is text, but for elements outside articles whose
+    very tag says that they are none (nav, footer, aside, form, header and so on).  Otherwise the text of all main elements and
+    articles (else of the body), without elements that say that they are no article; inside an article their tag says so, or
+    the words of class and id for readers' comments.  names=False: nothing is told by names, neither tags nor words."""
+    guard = guarded(root) if names else frozenset()
+
+    def drops(node: Node, inside: bool, in_article: bool) -> bool:
+        if id(node) in deleted:
+            return True
+        if not names:
+            return node.name == "head"
+        if site:
+            outside = node.name in _NO_ARTICLE or node.name == "header"
+            return _unseen(node) or outside and not in_article and id(node) not in guard
+        return _no_article(node, inside, guard, in_article)
 
-    names=False goes by what is deleted alone: no element counts for its name, class or role."""
-    if not names:
-        _drops, guard = (lambda node, inside, guard: node.name == "head"), frozenset()
-    else:
-        _drops, guard = _no_article, guarded(root)
     kept, todo = [], [root]
-    while todo:  # outermost articles and main elements that aren't part of something dropped
+    while todo and names and not site:  # outermost articles and main elements that aren't part of something dropped
         node = todo.pop()
-        if _drops(node, False, guard) or id(node) in deleted:
+        if drops(node, False, False):
             continue
-        if names and node.name in ("article", "main"):
+        if node.name in ("article", "main"):
             kept.append(node)
             continue
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     inside = bool(kept)
-    kept = kept or [root]
     parts: list[str] = []
-    for top in kept:
-        stack: list[Node | str] = [top]
+    for top in kept or [root]:
+        stack: list[tuple[Node | str, bool]] = [(top, False)]
         while stack:
-            node = stack.pop()
+            node, in_article = stack.pop()
             if isinstance(node, str):
                 parts.append(node)
                 continue
-            if node is not top and (id(node) in deleted or _drops(node, inside, guard)):
+            if node is not top and drops(node, inside, in_article):
                 if node.name in _BLOCK:
                     parts.append(" ")
                 continue
             if node.name in _BLOCK or node.name == "br":
                 parts.append(" ")
-                stack.append(" ")
-            stack += reversed(node.children)
+                stack.append((" ", False))
+            here = in_article or node.name == "article"
+            stack += [(c, here) for c in reversed(node.children)]
         parts.append(" ")
     return " ".join("".join(parts).split())
 
@@ -359,20 +395,27 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["host", "subtree", "main", "prose", "whole"])
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtree long): subtrees under at least least_pages different main texts of the host and, of all its n main texts,
-    least_share or LOG_PAGES * log2(n), whichever is less; structures hold less than MOST_SHARE of these pages' prose.
-
-    Copies of a page count once, as they have one main text.  Pages without a host have no template."""
+def site_rules(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, subtree long): the templates of all hosts of at least least_pages different main texts, with a row of subtree SITE
+    for each such host; see templates."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("host is not null and html is not null")
     seen = rows.mapInArrow(_subtrees, "host string, subtree long, main long, prose long, whole long")
     seen = seen.groupBy("host", "subtree", "main").agg(F.max("prose").alias("prose"), F.max("whole").alias("whole"))
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.sum("prose").alias("prose"), F.sum("whole").alias("whole"))
-    counts = cut(counts.where((F.col("n") >= least_pages) | F.col("subtree").isNull()))
+    counts = cut(counts.where((F.col("n") >= least_pages)))
     hosts = counts.where("subtree is null").select("host", F.col("n").alias("all"))
     bar = F.least(F.col("all") * least_share, LOG_PAGES * F.log2("all"))
     found = counts.where("subtree is not null").where((F.col("prose") == 0) | (F.col("prose") < MOST_SHARE * F.col("whole")))
-    return found.join(hosts, "host").where(F.col("n") >= bar).select("host", "subtree")
+    found = found.join(hosts, "host").where(F.col("n") >= bar).select("host", "subtree")
+    return found.union(hosts.select("host", F.lit(SITE).alias("subtree")))
+
+
+def templates(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, subtree long): subtrees under at least least_pages different main texts of the host and, of all its n main texts,
+    least_share or LOG_PAGES * log2(n), whichever is less; structures hold less than MOST_SHARE of these pages' prose.
+
+    Copies of a page count once, as they have one main text.  Pages without a host have no template."""
+    return site_rules(pages, url, page, least_pages, least_share).where(F.col("subtree") != SITE)
 
 
 def _extract(shared, names: bool):
@@ -381,11 +424,14 @@ def _extract(shared, names: bool):
             texts = []
             for host, page, own in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 root = parse(page or "")
-                deleted = set()
+                known = None
                 if host is not None:
                     every = shared.value if shared is not None else np.array(own or [], np.int64)
-                    deleted = template_nodes(root, lambda x: np.isin(x, every) if shared is None else _found(every, _of_host(host, x)))  # noqa: B023
-                texts.append(main_text(root, deleted, names))
+                    known = lambda x: np.isin(x, every) if shared is None else _found(every, _of_host(host, x))  # noqa: E731, B023
+                if known is not None and known(np.array([SITE], np.int64))[0]:
+                    texts.append(main_text(root, template_nodes(root, known), names, site=True))
+                else:
+                    texts.append(main_text(root, names=names))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -405,12 +451,13 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", broadcast_subtrees: int = BROADCAST_SUBTREES, names: bool = True) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every page.
 
-    Each block's white space is one space, blocks follow in page order, joined by one space; character references are
-    decoded.  Null and empty pages, and those without main text, give the empty text.  Null urls have no host and so no
-    template.  Repeated rows stay.  Without rows the result is empty.  Pages aren't shuffled while at most
-    broadcast_subtrees subtrees recur; beyond, they are joined by host, where adaptive execution splits a hot one.  names=False
-leaves all to template removal (see main_text)."""
-    found = cut(templates(pages, url, page))
+    On hosts of at least LEAST_PAGES different main texts the site's template is removed, and what is left is the text; on
+    others, and where there is no url, the text is found by names (see main_text).  Each block's white space is one space,
+    blocks follow in page order, joined by one space; character references are decoded.  Null and empty pages, and those
+    without main text, give the empty text.  Repeated rows stay.  Without rows the result is empty.  Pages aren't shuffled while
+    at most broadcast_subtrees subtrees recur; beyond, they are joined by host, where adaptive execution splits a hot one.
+    names=False leaves all to template removal."""
+    found = cut(site_rules(pages, url, page))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
     if found.count() <= broadcast_subtrees:
         every = np.sort(np.asarray(found.mapInArrow(_mixed, "subtree long").toArrow()["subtree"].combine_chunks(), np.int64))
