@@ -1,8 +1,11 @@
-"""Positions of token rows in three axes, as column expressions."""
+"""Positions of token rows in three axes: as rows for each token (tables), or as column expressions (short rows).
+
+A column expression inside a lambda is evaluated anew for every element, so the functions for tables first put every array
+into a column of its own (see fixed), place blocks by prefix sums, and then make the tokens' rows block by block."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +62,52 @@ def delta(found: Column, length: Column) -> Column:
     return F.aggregate(found, F.lit(-1), lambda s, p: F.greatest(s, p["t"], p["h"], p["w"])) + 1 - length
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for each row, whatever expressions read them: no later step is merged with them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_blocks(df: DataFrame, ids: Column, grids: Column, image: int, video: int, start: int, merge: int = 2) -> DataFrame:
+    """Adds _blocks, those of blocks_of, for rows of any length."""
+    size = lambda g: g["t"] * F.floor(g["h"] / F.lit(merge)).cast("int") * F.floor(g["w"] / F.lit(merge)).cast("int")
+    df = fixed(df, _ids=ids, _grids=grids)
+    begins = F.filter(F.transform("_ids", lambda x, i: F.when((i > 0) & x.isin(image, video) & (F.get("_ids", i - 1) == start), i)), lambda i: i.isNotNull())
+    df = fixed(df, _begins=begins)
+    df = fixed(df, _media=F.zip_with("_begins", F.slice("_grids", F.lit(1), F.size("_begins")), lambda i, g: F.struct(i.alias("at"), g.alias("g"))))
+    df = fixed(df, _ends=F.concat(F.array(F.lit(0)), F.transform("_media", lambda m: m["at"] + size(m["g"]))))
+    found = F.zip_with("_media", F.slice("_ends", F.lit(1), F.size("_begins")), lambda m, end: block(m["at"] - end, m["g"]["t"], m["g"]["h"], m["g"]["w"], m["g"]["step"]))
+    rest = F.size("_ids") - F.element_at("_ends", -1)
+    df = fixed(df, _blocks=F.concat(found, F.array(block(rest, F.lit(0), F.lit(0), F.lit(0)))))
+    return df.drop("_ids", "_grids", "_begins", "_media", "_ends")
+
+
+def position_rows(df: DataFrame, key: list[str], blocks: str = "_blocks", merge: int = 2) -> DataFrame:
+    """key (which must tell rows apart), n (0-based place of the token), t, h and w: a row for each token of an array of blocks, as
+    positions() has them.  Where blocks begin, and which token is their first, are prefix sums over the blocks of a row."""
+    parts = df.select(*key, F.posexplode(blocks).alias("_k", "_b")).select(*key, "_k", "_b.*")
+    high, wide = (F.floor(F.col(c) / F.lit(merge)).cast("int") for c in ("h", "w"))
+    parts = parts.withColumns({"h": F.when(F.col("t") > 0, high).otherwise(0), "w": F.when(F.col("t") > 0, wide).otherwise(0)})
+    parts = parts.withColumn("_media", F.col("t") * F.col("h") * F.col("w"))
+    extent = F.when(F.col("t") > 0, F.greatest(F.floor((F.col("t") - 1) * F.col("step")).cast("int") + 1, F.col("h"), F.col("w"))).otherwise(0)
+    before = Window.partitionBy(*key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({"_base": F.coalesce(F.sum(F.col("text") + extent).over(before), F.lit(0)), "_first": F.coalesce(F.sum(F.col("text") + F.col("_media")).over(before), F.lit(0))})
+    n = F.col("text") + F.col("_media")
+    tokens = placed.where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    is_text, j = F.col("_i") < F.col("text"), F.col("_i") - F.col("text")
+    text, at = F.col("_base") + F.col("_i"), F.col("_base") + F.col("text")
+    time = at + F.floor(F.floor(j / (F.col("h") * F.col("w"))) * F.col("step"))
+    axes = {"t": time, "h": at + F.floor(F.pmod(j, F.col("h") * F.col("w")) / F.col("w")), "w": at + F.pmod(j, F.col("w"))}
+    return tokens.select(*key, (F.col("_first") + F.col("_i")).alias("n"), *[F.when(is_text, text).otherwise(x).cast("long").alias(c) for c, x in axes.items()])
+
+
+def text_position_rows(df: DataFrame, key: list[str], mask: Column) -> DataFrame:
+    """key (which must tell rows apart), i and position: as text_positions(), a row for each token, by a prefix sum."""
+    tokens = df.select(*key, F.posexplode(mask).alias("i", "_m"))
+    before = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    real = F.coalesce(F.sum(F.col("_m").cast("long")).over(before), F.lit(0))
+    return tokens.select(*key, "i", F.when(F.col("_m") == 0, F.lit(1).cast("long")).otherwise(real).alias("position"))
+
+
 def text_positions(mask: Column) -> Column:
     """Positions of a row without media: the number of real tokens before each; 1 where the mask is 0."""
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("n"))

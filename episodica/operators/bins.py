@@ -343,9 +343,10 @@ def offsets(packed: DataFrame, group: str, order: list[str], length: str) -> Dat
 
 def cumulative_lengths(packed: DataFrame, group: str, order: list[str], length: str) -> DataFrame:
     """group, bin and bounds: 0 and the running sums of the bin's lengths in order."""
-    items = packed.groupBy(group, "bin").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(length).cast("long").alias("_n")))).alias("_i"))
-    sums = F.aggregate("_i", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["_n"])))
-    return items.select(group, "bin", sums.alias("bounds"))
+    upto = F.sum(F.col(length).cast("long")).over(Window.partitionBy(group, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    items = packed.select(group, "bin", F.struct(*order, upto.alias("_n")).alias("_i"))
+    sums = items.groupBy(group, "bin").agg(F.sort_array(F.collect_list("_i")).alias("_i"))
+    return sums.select(group, "bin", F.concat(F.array(F.lit(0).cast("long")), F.transform("_i", lambda x: x["_n"])).alias("bounds"))
 
 
 def pad_batch(df: DataFrame, tokens: str | Column, batch: str, pad: int, left: bool = False) -> DataFrame:

@@ -97,8 +97,8 @@ def sequence_extend(spark, d):
     return out.select("p_partkey", _text(F.col("s.ids")).alias("ids"), _text(F.col("s.positions")).alias("positions"), F.size(F.filter("s.labels", lambda v: v == K.IGNORE)).cast("long").alias("ignored"))
 
 
-def _exploded(df, found):
-    return df.select("p_partkey", F.posexplode(found).alias("n", "s")).select("p_partkey", *long("n"), F.col("s.t").cast("long").alias("t"), F.col("s.h").cast("long").alias("h"), F.col("s.w").cast("long").alias("w"))
+def _placed(df, *more):
+    return P.position_rows(df, ["p_partkey", *more]).select(*more, "p_partkey", *long("n", "t", "h", "w"))
 
 
 @query("WITH x AS (SELECT p_partkey, (p_size % 5 + 2)::BIGINT AS a, (p_partkey % 3 + 1)::BIGINT AS m FROM part), y AS (SELECT *, a + greatest(2, m) AS b FROM x), z AS (SELECT p_partkey, unnest(range(a)) AS n, n AS t, n AS h, n AS w FROM y UNION ALL SELECT p_partkey, a + j, a, a + j // m, a + j % m FROM (SELECT *, unnest(range(2 * m)) AS j FROM y) UNION ALL SELECT p_partkey, a + 2 * m + j, b + j, b + j, b + j FROM (SELECT *, unnest(range(2)) AS j FROM y) UNION ALL SELECT p_partkey, a + 2 * m + 2 + j, b + 2, b + 2 + j // 2, b + 2 + j % 2 FROM (SELECT *, unnest(range(4)) AS j FROM y) UNION ALL SELECT p_partkey, a + 2 * m + 6, b + 4, b + 4, b + 4 FROM y UNION ALL SELECT p_partkey, a + 2 * m + 7 + j, b + 5, b + 5 + j // 2, b + 5 + j % 2 FROM (SELECT *, unnest(range(4)) AS j FROM y) UNION ALL SELECT p_partkey, a + 2 * m + 11 + j, b + 7 + j, b + 7 + j, b + 7 + j FROM (SELECT *, unnest(range(3)) AS j FROM y)) SELECT p_partkey, n, t, h, w FROM z")
@@ -109,7 +109,7 @@ def position_index(spark, d):
     ids = F.concat(rep(1, a - 1), rep(5, 1), rep(6, 2 * m), rep(8, 1), rep(5, 1), rep(9, 4), rep(5, 1), rep(9, 4), rep(8, 3))
     image = F.struct(F.lit(1).alias("t"), F.lit(4).alias("h"), (2 * m).cast("int").alias("w"), F.lit(1.0).alias("step"))
     grids = F.concat(F.array(image), P.frames_of_video(F.struct(F.lit(2).alias("t"), F.lit(4).alias("h"), F.lit(4).alias("w"))))
-    return _exploded(table(spark, d, "part"), P.positions(P.blocks_of(ids, grids, 6, 9, 5)))
+    return _placed(P.with_blocks(table(spark, d, "part"), ids, grids, 6, 9, 5))
 
 
 def _time(version: str, step: str) -> str:
@@ -124,14 +124,14 @@ def position_index_time(spark, d):
     parts = []
     for version, step in (("timed", seconds * 2), ("plain", F.lit(1.0))):
         blocks = F.array(P.block(a, F.lit(3), F.lit(4), F.lit(4), step), P.block(F.lit(2), F.lit(0), F.lit(0), F.lit(0)))
-        parts.append(_exploded(part, P.positions(blocks)).select(F.lit(version).alias("version"), "p_partkey", "n", "t", "h", "w"))
-    return parts[0].union(parts[1])
+        parts.append(part.select("p_partkey", F.lit(version).alias("version"), blocks.alias("_blocks")))
+    return _placed(parts[0].union(parts[1]), "version")
 
 
 @query("WITH " + PART + ", x AS (SELECT p_partkey, unnest(range(len(ids))) AS i, ids FROM t), m AS (SELECT p_partkey, i, (ids[i + 1] % 4 > 0)::INT AS mask FROM x) SELECT p_partkey, i, CASE WHEN mask = 0 THEN 1 ELSE sum(mask) OVER (PARTITION BY p_partkey ORDER BY i) - 1 END::BIGINT AS position FROM m")
 def text_positions(spark, d):
     mask = F.transform("ids", lambda x: (x % 4 > 0).cast("int"))
-    return _part(spark, d).select("p_partkey", F.posexplode(P.text_positions(mask)).alias("i", "position")).select("p_partkey", *long("i", "position"))
+    return P.text_position_rows(_part(spark, d), ["p_partkey"], mask).select("p_partkey", *long("i", "position"))
 
 
 SAMPLES = "n AS (SELECT doc_id, (doc_id % 7 + 1)::BIGINT AS n, doc_id % 2 = 0 AS has FROM documents)"

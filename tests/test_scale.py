@@ -163,3 +163,22 @@ def test_packing_modes(spark):
     order = sorted(range(300), key=lambda i: __import__("hashlib").md5(f"42:{i}".encode()).hexdigest())
     got = {r["id"]: r["bin"] for r in bins.pack_by_size(df, "n", "id", 20).collect()}
     assert [got[i] for i in order] == sequential([i % 9 for i in order], 20)
+
+
+def test_position_rows_are_the_expression(spark):
+    """Tokens' rows by prefix sums are the arrays of the column expressions."""
+    from episodica.functions import positions as P
+
+    grid = "array<struct<t:int,h:int,w:int,step:double>>"
+    data = [(0, [], []), (1, [1, 1, 1], []), (2, [1, 5, 6, 6, 6, 6, 8, 1], [(1, 4, 4, 1.0)]), (3, [5, 6, 1, 5, 7, 7, 7, 7, 7, 7, 7, 7, 2], [(1, 2, 2, 1.0), (2, 4, 4, 2.5)]), (4, [5, 6], [(1, 1, 1, 1.0)]), (5, [5, 5, 7, 7, 9], [(2, 2, 2, 0.5)])]
+    df = spark.createDataFrame(data, f"k int, ids array<int>, grids {grid}")
+    arrays = {r["k"]: [tuple(p) for p in r["p"]] for r in df.select("k", P.positions(P.blocks_of(F.col("ids"), F.col("grids"), 6, 7, 5)).alias("p")).collect()}
+    got: dict = {k: [] for k in arrays}
+    for r in P.position_rows(P.with_blocks(df, F.col("ids"), F.col("grids"), 6, 7, 5), ["k"]).orderBy("k", "n").collect():
+        assert r["n"] == len(got[r["k"]])
+        got[r["k"]].append((r["t"], r["h"], r["w"]))
+    assert got == arrays
+    mask = F.transform("ids", lambda x: (x != 1).cast("int"))
+    want = {r["k"]: r["p"] for r in df.select("k", P.text_positions(mask).alias("p")).collect() if r["p"]}
+    found = P.text_position_rows(df, ["k"], mask).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "position"))).alias("p")).collect()
+    assert {r["k"]: [x["position"] for x in r["p"]] for r in found} == want
