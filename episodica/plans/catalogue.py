@@ -403,4 +403,4 @@ def flow_matching(spark, d):
 
 
 # the modules below register their queries as they are imported
-from episodica.plans import files, packed, samples  # noqa: E402, F401
+from episodica.plans import files, packed, samples, training  # noqa: E402, F401

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.sources.shared import read_text
+
 
 @dataclass
 class InstructionDataset:
@@ -57,16 +59,19 @@ def _make(kind, values: dict):
     return kind(**values)
 
 
-def read_catalog(path: str, trajectory_only: bool = False, instruction_only: bool = False) -> Catalog:
+def read_catalog(path: str, trajectory_only: bool = False, instruction_only: bool = False, spark: SparkSession | None = None) -> Catalog:
     """The catalogue of a YAML file; any other path is one trajectory dataset.  Missing lists are empty, unknown keys raise.
 
-    Either list may be left out; if both flags are set, trajectories win."""
+    Either list may be left out; if both flags are set, trajectories win.  spark: reads the file from any store that it reads."""
     if not path.endswith((".yaml", ".yml")):
         return Catalog([], [TrajectoryDataset(repo_id=path)])
     import yaml
 
-    with open(path) as f:
-        found = yaml.safe_load(f) or {}
+    if spark is not None:
+        found = yaml.safe_load(read_text(spark, path)) or {}
+    else:
+        with open(path) as f:
+            found = yaml.safe_load(f) or {}
     _make(Catalog, found)
     out = Catalog([_make(InstructionDataset, x) for x in found.get("mm_datasets") or []], [_make(TrajectoryDataset, x) for x in found.get("lerobot_datasets") or []])
     if trajectory_only:
