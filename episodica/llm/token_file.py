@@ -15,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import bucket_of, new_path
+from episodica.llm.common import new_path
 from episodica.llm.encoding import encoder
 from episodica.llm.textbytes import runs
+from episodica.sources.shared import small
 
 WIDTHS = (12, 4, 8, 8)
 #: Bits of a bitmap for each entry of its rank directory.
@@ -124,16 +125,12 @@ def _segments(tokenizer: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text (null: empty), each followed by end_id, to files at path, in ascending key order.
 
-    One shuffle brings the texts into key ranges of even row counts; each range is sorted, encoded and written by its task.
-    Null keys come first; rows with one key are ordered by a hash of their texts.  Without rows no segment is written."""
-    n = max(1, docs.rdd.getNumPartitions())
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if cuts:
-        rows = rows.repartitionById(n, bucket_of(F.col("doc_id"), sorted(set(cuts))))
-    else:
-        rows = rows.repartition(1) if n == 1 else rows.coalesce(1)  # no keys but null ones, or one partition
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    One shuffle brings the texts into ranges of key and hash of even row counts; each range is sorted, encoded and written by its
+    task, so that rows of one key, or of none, spread as well.  Null keys come first; rows with one key are ordered by a hash of
+    their texts.  Without rows no segment is written."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    rows = rows.repartitionByRange(max(1, docs.rdd.getNumPartitions()), *order).sortWithinPartitions(*order).drop("_hash")
     rows.mapInArrow(_segments(tokenizer, end_id), SEGMENT).write.option("compression", "none").parquet(path)
 
 
@@ -153,14 +150,11 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files at path, a row for each document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of its ids as little-endian 32-bit integers)."""
     files = spark.read.schema(SEGMENT).parquet(path)
-    sizes = files.groupBy("part").agg(F.sum(F.element_at("ends", -1)).alias("n")).collect()  # a row for each written part
-    offsets, at = [], 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        offsets.append((r["part"], at))
-        at += r["n"]
-    offsets = spark.createDataFrame(offsets or [(0, 0)], "part int, _offset long")
+    sizes = files.groupBy("part").agg(F.sum(F.element_at("ends", -1)).alias("n"))  # a row for each written part
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("_offset"))
     rows = files.mapInArrow(_documents, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("_offset")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(small(offsets), "part").select("doc_id", (F.col("start") + F.col("_offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
