@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import warnings
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-8
@@ -117,6 +118,23 @@ def relative_keys(actions: dict[str, tuple[Column, int]], states: list[Column],
     return out
 
 
+def coefficient_span(df: DataFrame, q: str) -> tuple[int, int]:
+    """The least and the largest coefficient of a table's arrays; (0, 0) without any."""
+    r = df.agg(F.min(F.array_min(q)), F.max(F.array_max(q))).first()
+    return r[0] or 0, r[1] or 0
+
+
+def alphabet_size(least: int, most: int, vocabulary: int = 1024) -> int:
+    """How many letters stand for the coefficients from least to most.
+
+    Raises if their range is wider than the vocabulary that is to begin with them; warns if it leaves less than 100 entries."""
+    if most - least > vocabulary:
+        raise ValueError(f"a vocabulary of {vocabulary} is too small for coefficients over a range of {most - least}")
+    if most - least + 100 > vocabulary:
+        warnings.warn(f"coefficients over a range of {most - least} nearly fill a vocabulary of {vocabulary}", stacklevel=2)
+    return most - least + 1
+
+
 def coefficient_text(q: Column, least: int) -> Column:
     """Coefficients as characters: each less the least one (0 at least) is a code point."""
     letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")

@@ -231,12 +231,15 @@ def turn_pairs(spark, d):
     return pairs.select("conv_id", *long("pair"), at(0).alias("question"), F.coalesce(at(1), F.lit("")).alias("answer"))
 
 
-CAMERAS = ("observation.images.image_0", "wrist_image", "cam_high", "top", "camera_left")
 
 
-@query("SELECT r_regionkey, unnest(['Camera top', 'Wrist camera', 'Camera high', 'Camera top', 'Cameraera left']) AS caption FROM region")
+#: Names of cameras made from a document's source and language.
+CAMERA_SQL = "CASE doc_id % 5 WHEN 0 THEN 'observation.images.image_' || (doc_id // 5) % 4 WHEN 1 THEN lang || '.wrist_image' WHEN 2 THEN 'observation.cam_' || source WHEN 3 THEN 'High_' || lang ELSE 'images.' || source || '_camera' END"
+
+
+@query(f"WITH n AS (SELECT doc_id, list_extract(string_split({CAMERA_SQL}, '.'), -1) AS s FROM documents), w AS (SELECT doc_id, lower(replace(CASE WHEN s = 'image_0' THEN 'camera_top' WHEN s = 'image_1' THEN 'camera_left_wrist' WHEN s = 'image_2' THEN 'camera_right_wrist' WHEN contains(s, 'image') THEN replace(s, 'image', 'camera') WHEN contains(s, 'cam') THEN replace(s, 'cam', 'camera') ELSE 'camera_' || s END, '_', ' ')) AS w FROM n) SELECT doc_id, upper(w[1:1]) || w[2:] AS caption FROM w")
 def camera_caption(spark, d):
-    return table(spark, d, "region").select("r_regionkey", F.explode(F.array(*[F.lit(c) for c in CAMERAS])).alias("c")).select("r_regionkey", T.camera_caption(F.col("c")).alias("caption"))
+    return table(spark, d, "documents").select("doc_id", T.camera_caption(F.expr(CAMERA_SQL.replace("//", "div"))).alias("caption"))
 
 
 @query("SELECT event_id, 'Camera top: <|vision_start|><|image_pad|><|vision_end|>' || chr(10) || 'State: ' || greatest(-1, least(1000, trunc((value / 250.0 - 1.0 + 1.0) / 2.0 * 1000.0)::BIGINT)) || chr(10) || 'Instruction: ' || upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || '.' || chr(10) || 'Predict the next actions.' AS prompt FROM events")

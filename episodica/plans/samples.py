@@ -239,19 +239,14 @@ def _coefficients(spark, d):
     return event_chunks(spark, d, "value", 8).select("event_id", "chunk", V.dct(F.col("chunk"), 8).alias("q"))
 
 
-def _span(x):
-    """The least and largest coefficient of a table: what fitting a tokenizer begins with."""
-    r = x.agg(F.min(F.array_min("q")), F.max(F.array_max("q"))).first()
-    return (r[0] or 0) - 32, r[1] or 0
-
-
 @query(DCT + " SELECT event_id, string_agg(chr((q - least)::INT), '' ORDER BY k) AS text, string_agg(q::VARCHAR, ',' ORDER BY k) AS back, '0,0,0' AS bad, any_value(most - least)::BIGINT AS alphabet FROM q, l GROUP BY event_id")
 def dct_text(spark, d):
     """Coefficients as characters and back; a text of another length gives zeros."""
     x = _coefficients(spark, d)
-    least, most = _span(x)
+    least, most = V.coefficient_span(x, "q")
+    least -= 32  # no control signs
     out = x.withColumn("text", V.coefficient_text(F.col("q"), least))
-    return out.select("event_id", "text", _text(V.text_coefficients(F.col("text"), 8, least)).alias("back"), _text(V.text_coefficients(F.col("text"), 3, least)).alias("bad"), F.lit(most - least).cast("long").alias("alphabet"))
+    return out.select("event_id", "text", _text(V.text_coefficients(F.col("text"), 8, least)).alias("back"), _text(V.text_coefficients(F.col("text"), 3, least)).alias("bad"), F.lit(V.alphabet_size(least, most, 1 << 16) - 1).cast("long").alias("alphabet"))
 
 
 @query("SELECT p_partkey, i::BIGINT AS i, round(CASE WHEN i < 4 THEN sin(x * 2 * pi() / (0.004 * pow(1000.0, i / 3.0))) ELSE cos(x * 2 * pi() / (0.004 * pow(1000.0, (i - 4) / 3.0))) END, 6) + 0.0 AS low, round(CASE WHEN i < 4 THEN sin(p_size * pow(10000.0, -i / 4.0)) ELSE cos(p_size * pow(10000.0, -(i - 4) / 4.0)) END, 6) + 0.0 AS high FROM (SELECT p_partkey, p_size, p_size / 64.0::DOUBLE AS x, unnest(range(8)) AS i FROM part)")

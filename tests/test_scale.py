@@ -182,3 +182,15 @@ def test_position_rows_are_the_expression(spark):
     want = {r["k"]: r["p"] for r in df.select("k", P.text_positions(mask).alias("p")).collect() if r["p"]}
     found = P.text_position_rows(df, ["k"], mask).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "position"))).alias("p")).collect()
     assert {r["k"]: [x["position"] for x in r["p"]] for r in found} == want
+
+
+def test_alphabet_of_coefficients(spark):
+    from episodica.functions import vectors as V
+
+    df = spark.createDataFrame([([3, -7],), ([12],), ([],), (None,)], "q array<int>")
+    assert V.coefficient_span(df, "q") == (-7, 12) and V.coefficient_span(df.limit(0), "q") == (0, 0)
+    assert V.alphabet_size(-7, 12) == 20 and V.alphabet_size(0, 900) == 901
+    with pytest.warns(UserWarning, match="nearly fill"):
+        assert V.alphabet_size(0, 1024) == 1025
+    with pytest.raises(ValueError, match="too small"):
+        V.alphabet_size(0, 1025)
