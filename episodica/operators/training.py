@@ -9,7 +9,7 @@ from episodica.functions import text as T
 from episodica.functions import vectors as V
 from episodica.operators import chunks, rows, stats, subtasks
 from episodica.sources import catalog, episodes, stats_files
-from episodica.sources.catalog import TrajectoryDataset
+from episodica.sources.catalog import Catalog, TrajectoryDataset
 from episodica.sources.shared import small
 
 KEYS = ["episode_index", "frame_index"]
@@ -74,7 +74,7 @@ def trajectory_rows(spark: SparkSession, dataset: TrajectoryDataset, horizon: in
     dataset's mode, and filled up with zeros; states are normalised by quantiles and binned."""
     root = dataset.root or dataset.repo_id
     meta = episodes.read_metadata(spark, root)
-    frames = episodes.read_episodes(spark, root, dataset.episodes) if dataset.episodes else episodes.read_frames(spark, root)
+    frames = episodes.read_dataset(spark, Catalog([], [dataset]), dataset.repo_id)
     state = episodes.columns_of(frames, "observation.state", dataset.select_state_keys)
     action = episodes.columns_of(frames, "action", dataset.select_action_keys)
     visual = [r["feature"] for r in episodes.with_roles(episodes.features(meta["info"])).where("role = 'VISUAL'").orderBy("feature").collect()]  # a row for each feature

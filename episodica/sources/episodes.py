@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.sources.catalog import Catalog
 from episodica.sources.shared import exists
 
 FRAMES = "data/*/*.parquet"
@@ -28,6 +29,19 @@ def read_episodes(spark: SparkSession, root: str, episodes: Iterable[int], patte
     return spark.read.option("basePath", root).parquet(*paths)
 
 
+def read_dataset(spark: SparkSession, found: Catalog, name: str) -> DataFrame:
+    """The frames of a catalogue's trajectory dataset: its listed episodes (else all), with the columns that tell frames apart and the
+    chosen states and actions (else those found by prefix).  Unlisted episodes' files and other columns aren't read."""
+    dataset = next((x for x in found.lerobot_datasets if x.repo_id == name), None)
+    if dataset is None:
+        raise KeyError(f"no trajectory dataset {name}")
+    root = dataset.root or dataset.repo_id
+    frames = read_episodes(spark, root, dataset.episodes) if dataset.episodes else read_frames(spark, root)
+    chosen = [c for c in ("episode_index", "frame_index", "timestamp", "task_index") if c in frames.columns]
+    chosen += columns_of(frames, "observation.state", dataset.select_state_keys) + columns_of(frames, "action", dataset.select_action_keys)
+    return frames.select(*[f"`{c}`" for c in chosen])
+
+
 def read_metadata(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """info (one row: fps, features), episodes and tasks.  action_config stays JSON, as it comes in two shapes."""
     return {

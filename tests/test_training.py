@@ -59,6 +59,20 @@ def test_only_listed_episodes_are_read(spark, tmp_path):
     assert "Relation" in scan
 
 
+def test_read_dataset(spark, tmp_path):
+    from episodica.sources import episodes
+
+    make_dataset(spark, tmp_path, episodes=(0, 1, 2))
+    found = catalog.Catalog([], [catalog.TrajectoryDataset("toy", str(tmp_path), episodes=[2], select_action_keys=["action.hand"])])
+    df = episodes.read_dataset(spark, found, "toy").where("frame_index > 3")
+    assert df.columns == ["episode_index", "frame_index", "task_index", "observation.state", "action.hand"] and df.count() == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "action.arm" not in plan and "PushedFilters: [IsNotNull(frame_index), GreaterThan(frame_index,3)]" in plan
+    assert {f.split("episode_")[1][:6] for f in df.inputFiles()} == {"000002"}
+    with pytest.raises(KeyError, match="other"):
+        episodes.read_dataset(spark, found, "other")
+
+
 def test_relative_actions_and_subtasks(spark, tmp_path):
     config = json.dumps([{"end_frame": 3, "action_text": "begin"}, {"end_frame": 7, "action_text": "end it"}])
     data = make_dataset(spark, tmp_path, config=config)
