@@ -16,12 +16,17 @@ def flat_batch(samples: DataFrame, batch: str, order: str) -> DataFrame:
     before = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = samples.withColumn("_at", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)).cast("long"))
     rows = rows.withColumn("spans", F.transform("spans", lambda s: shifted(s, F.col("_at"))))
-    item = F.struct(F.col(order).alias("_o"), "ids", "labels", "positions", "seq_lens", "spans")
+    # running sums: over the samples before by a window, inside a sample over its few sequences
+    total = F.aggregate("seq_lens", F.lit(0).cast("long"), lambda s, n: s + n)
+    rows = rows.withColumn("_sum", total).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long"))
+    upto = F.aggregate("seq_lens", F.array().cast("array<long>"), lambda s, n: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.col("_base")) + n)))
+    rows = rows.withColumn("_upto", upto)
+    item = F.struct(F.col(order).alias("_o"), "ids", "labels", "positions", "seq_lens", "spans", "_upto")
     out = rows.groupBy(batch).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_i"))
     flat = lambda c: F.flatten(F.transform("_i", lambda s: s[c]))
-    out = out.select(batch, *[flat(c).alias(c) for c in ("ids", "labels", "positions", "seq_lens", "spans")])
-    sums = F.aggregate("seq_lens", F.array(F.lit(0).cast("long")), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-    return out.withColumns({"bounds": sums, "max_seqlen": F.coalesce(F.array_max("seq_lens"), F.lit(0)).cast("long")}).drop("seq_lens")
+    out = out.select(batch, *[flat(c).alias(c) for c in ("ids", "labels", "positions", "seq_lens", "spans", "_upto")])
+    sums = F.concat(F.array(F.lit(0).cast("long")), "_upto")
+    return out.withColumns({"bounds": sums, "max_seqlen": F.coalesce(F.array_max("seq_lens"), F.lit(0)).cast("long")}).drop("seq_lens", "_upto")
 
 
 def padded_batch(samples: DataFrame, batch: str, pad: int) -> DataFrame:

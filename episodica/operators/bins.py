@@ -52,9 +52,9 @@ def pack(df: DataFrame, length: str, group: str, order: list[str], capacity: int
 
 
 def megabatches(df: DataFrame, key: str, rows: int = 100_000, seed: int = 42) -> DataFrame:
-    """Adds megabatch: rows are dealt in a seeded order to as many batches as hold about so many rows each."""
+    """Adds megabatch: rows are dealt by md5 of seed and key to as many batches as hold about so many rows each."""
     n = max(1, -(-df.count() // rows))
-    return df.withColumn("megabatch", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)))
+    return df.withColumn("megabatch", F.conv(F.substring(shuffled([key], seed)[0], 9, 8), 16, 10).cast("long") % n)
 
 
 def fixed_batches(df: DataFrame, order: list[str], rows: int) -> DataFrame:

@@ -111,6 +111,16 @@ def pack_shuffled(spark, d):
     return loads.agg(F.sum("items").cast("long").alias("items"), F.sum("load").cast("long").alias("total"), F.bool_and((F.col("load") <= CAPACITY) | (F.col("items") == 1)).alias("sound"))
 
 
+STREAMED = "WITH RECURSIVE n AS (SELECT greatest(1, (count(*) + 299) // 300) AS n FROM documents), g AS (SELECT doc_id, n_chars, md5('42:' || doc_id) AS h, ('0x' || substr(md5('42:' || doc_id), 9, 8))::BIGINT % n AS g FROM documents, n), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY h, doc_id) AS r FROM g), p AS (SELECT g, doc_id, n_chars, r, 0 AS bin, n_chars AS load FROM o WHERE r = 1 UNION ALL SELECT o.g, o.doc_id, o.n_chars, o.r, CASE WHEN p.load + o.n_chars > 8192 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.load + o.n_chars > 8192 THEN o.n_chars ELSE p.load + o.n_chars END FROM p JOIN o ON o.g = p.g AND o.r = p.r + 1)"
+
+
+@query(STREAMED + " SELECT g AS megabatch, doc_id, bin::BIGINT AS bin FROM p")
+def pack_streaming(spark, d):
+    """Next fit in a seeded order, in megabatches of about 300 rows that are packed side by side."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return bins.shuffled_next_fit(docs, "n_chars", "doc_id", CAPACITY, rows=300).select("megabatch", "doc_id", "bin")
+
+
 @query("WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents), p AS (SELECT doc_id, n_chars, r, 0 AS bin, n_chars AS load FROM o WHERE r = 1 UNION ALL SELECT o.doc_id, o.n_chars, o.r, CASE WHEN p.load + o.n_chars > 8192 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.load + o.n_chars > 8192 THEN o.n_chars ELSE p.load + o.n_chars END FROM p JOIN o ON o.r = p.r + 1) SELECT doc_id, bin::BIGINT AS bin FROM p")
 def pack_shuffled_whole(spark, d):
     """Exact next fit over all rows in a seeded order: one sequence of packs, block by block."""
