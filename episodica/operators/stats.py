@@ -20,14 +20,17 @@ def dims(df: DataFrame, vector: str | Column, keys: list[str]) -> DataFrame:
 
 
 def exact_stats(components: DataFrame, keys: list[str], bins: int = 4096) -> DataFrame:
-    """min, max, mean, population std and interpolated 1 % and 99 % quantiles of x by keys and dim: one aggregation for all dims."""
-    out = components.groupBy(*keys, "dim").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("_n"))
-    out = cut(out)
-    if (out.agg(F.max("_n")).first()[0] or 0) <= GROUP_VALUES:
-        q = components.groupBy(*keys, "dim").agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_q")).select(*keys, "dim", F.col("_q")[0].alias("q01"), F.col("_q")[1].alias("q99"))
-    else:
-        q = exact_quantiles(components, out.select(*keys, "dim", "min", "max", "_n"), [*keys, "dim"], {"q01": 0.01, "q99": 0.99}, bins)
-    return _matched(out, q, [*keys, "dim"]).drop("_n")
+    """min, max, mean, population std and interpolated 1 % and 99 % quantiles of x by keys and dim: one aggregation for all
+    dims, after a count of the largest group."""
+    by = [*keys, "dim"]
+    plain = [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
+    most = components.groupBy(*by).agg(F.count("x").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= GROUP_VALUES:
+        out = components.groupBy(*by).agg(*plain, F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_q"))
+        return out.withColumns({"q01": F.col("_q")[0], "q99": F.col("_q")[1]}).drop("_q")
+    out = cut(components.groupBy(*by).agg(*plain, F.count("x").alias("_n")))
+    q = exact_quantiles(components, out.select(*by, "min", "max", "_n"), by, {"q01": 0.01, "q99": 0.99}, bins)
+    return _matched(out, q, by).drop("_n")
 
 
 def _matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:

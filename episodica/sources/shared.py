@@ -41,7 +41,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     by its true size while a checkpoint keeps the estimate of its plan."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:
