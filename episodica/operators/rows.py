@@ -146,7 +146,7 @@ def lookup_lengths(df: DataFrame, index: str, dense: DataFrame, segments: DataFr
     """Adds length: that of the index in dense (idx, len), else that of the closed segment (start, end, len) around it; a miss raises."""
     found = in_spans(df, index, segments.select(F.col("start"), (F.col("end") + 1).alias("end"), F.col("len").alias("_run")), how="left").drop("start", "end")
     found = found.join(dense.select(F.col("idx").alias(index), F.col("len").alias("_dense")), index, "left")
-    missing = F.raise_error(F.concat(F.lit("no length for index "), F.col(index).cast("string")))
+    missing = F.raise_error(F.concat(F.lit("no length for index "), F.coalesce(F.col(index).cast("string"), F.lit("null"))))
     return found.withColumn("length", F.coalesce("_dense", "_run", missing.cast("long"))).drop("_dense", "_run")
 
 

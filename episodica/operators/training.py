@@ -93,7 +93,8 @@ def trajectory_rows(spark: SparkSession, dataset: TrajectoryDataset, horizon: in
         df = df.withColumn("actions", F.transform("actions", lambda a: V.relative(a, F.col("_state"), moved)))
     df = _instruction(df, meta, dataset, seed)
     mode = V.mode_of("ACTION", dataset.state_mode)
-    actions = F.transform("actions", lambda a: V.pad(_normalised(a, mode, actions_tree, action), action_dim))
+    # in two steps: pad reads its vector several times, and a lambda would compute it anew for each
+    actions = F.transform(F.transform("actions", lambda a: _normalised(a, mode, actions_tree, action)), lambda a: V.pad(a, action_dim))
     binned = F.transform(_normalised(F.col("_state"), V.mode_of("STATE"), states_tree, state), lambda s: V.state_bin(s, bins))
     names = F.array(*[F.lit(c) for c in cameras]).cast("array<string>")
     df = df.withColumns({"dataset": F.lit(dataset.repo_id), "cameras": names, "state_bins": binned, "actions": actions, "action_dof_mask": V.pad_mask(F.col("_action"), action_dim), "weight": T.discount(F.col("steps_to_go"), gamma)})

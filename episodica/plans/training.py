@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from episodica.operators import stats, training
 from episodica.plans.registry import FRAMES, ORACLE_SQL, events_as_frames, line_vector, long, query, rounded
 from episodica.sources import catalog, episodes, recorded, stats_files
-from episodica.sources.shared import exists, new_path, read_text, write_text
+from episodica.sources.shared import exists, new_path, read_text, write_table, write_text
 from episodica.sources.tables import table
 from episodica.streaming.running import RunningStatistics
 
@@ -17,9 +17,9 @@ INFO = {"fps": 10.0, "features": {"observation.images.top": {"dtype": "video", "
 TASKS = [(0, " Pick UP the cup.. "), (1, ""), (2, "open the drawer")]
 
 
-def _dataset(spark, d, root: str, odd: int) -> None:
+def _dataset(spark, frames, root: str, odd: int) -> None:
     """The events of users with even or odd ids as a dataset on disk: frames by chunk of episodes, metadata."""
-    frames = events_as_frames(spark, d).where(F.col("episode_index") % 2 == odd)
+    frames = frames.where(F.col("episode_index") % 2 == odd)
     value = F.col("value")
     made = frames.select("episode_index", "frame_index", (F.col("event_id") % 3).alias("task_index"), F.array(value, value / 2).alias("observation.state"), F.array(value * 2, -value).alias("action"), F.floor(F.col("episode_index") / 1000).alias("chunk"))
     made.write.partitionBy("chunk").parquet(f"{root}/data")
@@ -33,8 +33,9 @@ def _dataset(spark, d, root: str, odd: int) -> None:
 
 def _catalogue(spark, d) -> str:
     root = new_path(spark, "catalogue")
+    frames = write_table(events_as_frames(spark, d).select("event_id", "episode_index", "frame_index", "episode_length", "value"), "frames")
     for name, odd in (("even", 0), ("odd", 1)):
-        _dataset(spark, d, f"{root}/{name}", odd)
+        _dataset(spark, frames, f"{root}/{name}", odd)
     lines = ["lerobot_datasets:", f"- {{repo_id: even, root: '{root}/even', state_mode: MIN_MAX}}", f"- {{repo_id: gone, root: '{root}/gone'}}", f"- {{repo_id: odd, root: '{root}/odd', train_subtask: true}}", f"mm_datasets:\n- {{name: talks, json_path: '{root}/talks.jsonl', sampling_strategy: 'first:10'}}"]
     write_text(spark, "\n".join(lines), f"{root}/all.yaml")
     return f"{root}/all.yaml"
