@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 IGNORE = -100
 START, END = "<|im_start|>", "<|im_end|>"
@@ -50,16 +48,29 @@ def merged_times(frames: Column, fps: Column, merge: int = 2) -> Column:
     return F.transform(groups, lambda g: (second(g * merge + 1) + second(g * merge + merge)) / 2)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _tenths(times: pd.Series) -> pd.Series:
-    """Seconds with one place, ties to even as binary fractions have them, which no SQL function offers."""
-    return times.map(lambda xs: None if xs is None else [f"{x:.1f}" for x in xs])
+def tenths(seconds: Column) -> Column:
+    """A number with one decimal as text, rounded by the exact value of its binary fraction, ties to even; null for NaN and infinities.
+
+    20 x is held exactly as a sum of two doubles (s, and what was rounded away), so that ties are told from near ties, which
+    format_string and decimals, which go by the shortest digits, take for each other.  Below 2^52 / 20 in size."""
+    sixteen, four = seconds * 16, seconds * 4
+    s = sixteen + four
+    back = s - sixteen
+    lost = (sixteen - (s - back)) + (four - back)
+    whole = (F.floor(s) - F.when((s == F.floor(s)) & (lost < 0), 1).otherwise(0)).cast("long")  # floor(20 x)
+    exact = (s == F.floor(s)) & (lost == 0)
+    half = F.floor(whole / F.lit(2)).cast("long")
+    up = (F.pmod(whole, F.lit(2)) == 1) & (~exact | (F.pmod(half, F.lit(2)) == 1))
+    n = F.abs(half + up.cast("long"))
+    sign = F.when(seconds < 0, F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(n / F.lit(10)).cast("long").cast("string"), F.lit("."), (n % 10).cast("string"))
+    return F.when(~F.isnan(seconds) & (F.abs(seconds) < F.lit(float(2**52) / 20)), text)
 
 
 def video_text(times: Column, size: Column, token: str = "<|video_pad|>") -> Column:
     """A video's frames as text: its time and a vision block of size tokens for each."""
     block = F.concat(F.lit("<|vision_start|>"), F.repeat(F.lit(token), size.cast("int")), F.lit("<|vision_end|>"))
-    return F.array_join(F.transform(_tenths(times), lambda s: F.concat(F.lit("<"), s, F.lit(" seconds>"), block)), "")
+    return F.array_join(F.transform(times, lambda t: F.concat(F.lit("<"), tenths(t.cast("double")), F.lit(" seconds>"), block)), "")
 
 
 def action_text(ids: Column) -> Column:

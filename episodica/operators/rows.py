@@ -157,9 +157,19 @@ def point_lookup(wanted: DataFrame, frames: DataFrame, keys: tuple[str, ...] = (
     return found.where(F.coalesce("_found", missing.cast("boolean"))).drop("_found")
 
 
+#: Indices that one row makes at once when segments are expanded.
+RUN = 1 << 16
+
+
 def expand_segments(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """A row for each index of closed segments."""
-    return df.withColumn("idx", F.explode(F.sequence(start, end)))
+    """A row for each index of closed segments; empty ones (end before start, or null) give none.
+
+    A segment is cut into runs of RUN indices first, so a row never holds the indices of a whole segment; the runs of segments with
+    very many are dealt out, so that one long segment is many tasks' work."""
+    parts = df.where(F.col(start) <= F.col(end)).withColumn("_run", F.explode(F.sequence(F.col(start).cast("long"), F.col(end).cast("long"), F.lit(RUN).cast("long"))))
+    long = F.col(end) - F.col(start) >= 16 * RUN
+    parts = parts.where(~long).unionByName(parts.where(long).repartition(start, "_run"))
+    return parts.withColumn("idx", F.explode(F.sequence("_run", F.least(F.col("_run") + (RUN - 1), F.col(end).cast("long"))))).drop("_run")
 
 
 def union_all(parts: dict[str, DataFrame], name: str = "dataset") -> DataFrame:

@@ -73,10 +73,10 @@ def histogram_stats(components: DataFrame, keys: list[str], bins: int = 5000, qu
     span = components.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("_sq"))
     width = (F.col("hi") - F.col("lo")) / bins
     span = cut(span)
-    binned = components.join(small(span.select(*by, "lo", "hi")), by)
+    binned = _matched(components, small(span.select(*by, "lo", "hi")), by, "inner")
     bin_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     counts = binned.groupBy(*by, bin_of.alias("bin")).agg(F.count("*").alias("c"))
-    counts = counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))).join(span, by)
+    counts = _matched(counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))), span, by, "inner")
     edges = [F.min(F.when(F.col("cum") >= F.lit(q) * F.col("n"), F.col("lo") + F.col("bin") * width)).alias(f"q{round(q * 100):02d}") for q in quantiles]
     std = F.sqrt(F.greatest(F.first("_sq") - F.first("mean") * F.first("mean"), F.lit(0.0)))
     return counts.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), std.alias("std"), *edges)
@@ -86,16 +86,16 @@ def override(stats: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics of stats, replaced one by one where newer has a value."""
     values = [c for c in stats.columns if c not in keys]
     new = newer.select(*keys, *[F.col(c).alias(f"_{c}") for c in values])
-    return stats.join(new, keys, "left").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in values])
+    return _matched(stats, new, keys).select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in values])
 
 
 def histogram_states(components: DataFrame, keys: list[str], bins: int = 5000) -> DataFrame:
     """Mergeable states by keys and dim: n, mean, mean_sq, lo, hi and counts (array of struct(bin, c)) over equal bins of [lo, hi]."""
     by = [*keys, "dim"]
     span = cut(components.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("mean_sq")))
-    binned = components.join(small(span.select(*by, "lo", "hi")), by)
+    binned = _matched(components, small(span.select(*by, "lo", "hi")), by, "inner")
     counts = binned.groupBy(*by, _bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("c"))
-    return span.join(counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("counts")), by)
+    return _matched(span, counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("counts")), by, "inner")
 
 
 def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
@@ -108,8 +108,8 @@ def merge_states(states: DataFrame, by: list[str], bins: int = 5000) -> DataFram
     whole = states.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), weighted("mean"), weighted("mean_sq"), F.sum("n").alias("n"))
     edges = states.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode("counts").alias("_s"))
     edges = edges.select(*by, (F.col("_lo") + F.col("_s.bin") * ((F.col("_hi") - F.col("_lo")) / bins)).alias("_edge"), F.col("_s.c").alias("c"))
-    moved = edges.join(whole.select(*by, "lo", "hi"), by).groupBy(*by, _bin(F.col("_edge"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.sum("c").alias("c"))
-    return whole.join(moved.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("counts")), by)
+    moved = _matched(edges, whole.select(*by, "lo", "hi"), by, "inner").groupBy(*by, _bin(F.col("_edge"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.sum("c").alias("c"))
+    return _matched(whole, moved.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("counts")), by, "inner")
 
 
 def state_quantiles(states: DataFrame, by: list[str], quantiles: tuple[float, ...] = (0.01, 0.99), bins: int = 5000) -> DataFrame:

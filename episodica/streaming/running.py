@@ -24,7 +24,8 @@ class RunningStatistics:
     Every micro-batch is aggregated as a table of its own (with partial aggregation, so a hot key is no task's burden) and
     merged with the states before it: means by weight, counts moved to the common range.  The states after batch k are version k
     under path; a batch that is run again after a failure starts from version k - 1 and replaces what it had written, so
-    each row counts once.  A state holds at most bins counts."""
+    each row counts once.  A version counts once its writing was finished; a gap in the versions raises, as it would lose rows.  A state
+    holds at most bins counts."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], bins: int = 5000):
         self.spark, self.path, self.keys, self.by, self.bins = spark, path, keys, [*keys, "dim"], bins
@@ -32,11 +33,16 @@ class RunningStatistics:
     def _version(self, k: int) -> str:
         return f"{self.path}/states/version={k}"
 
+    def _finished(self, k: int) -> bool:
+        return exists(self.spark, f"{self._version(k)}/_SUCCESS")
+
     def fold(self, batch: DataFrame, k: int) -> None:
         """Merges a batch of components (keys, dim, x) into the states, as version k."""
         new = stats.histogram_states(batch, self.keys, self.bins)
-        if k and exists(batch.sparkSession, self._version(k - 1)):
-            old = batch.sparkSession.read.parquet(self._version(k - 1))
+        if k:
+            if not self._finished(k - 1):
+                raise FileNotFoundError(f"no states of batch {k - 1} under {self.path}")
+            old = batch.sparkSession.read.schema(new.schema).parquet(self._version(k - 1))
             new = stats.merge_states(old.unionByName(new), self.by, self.bins)
         new.write.mode("overwrite").parquet(self._version(k))
 
@@ -46,10 +52,12 @@ class RunningStatistics:
         query.awaitTermination()
 
     def states(self) -> DataFrame:
-        """The latest states: keys, dim, n, mean, mean_sq, lo, hi and counts."""
-        k = 0
-        while exists(self.spark, self._version(k + 1)):
+        """The latest finished states: keys, dim, n, mean, mean_sq, lo, hi and counts; raises before the first batch."""
+        k = -1
+        while self._finished(k + 1):
             k += 1
+        if k < 0:
+            raise FileNotFoundError(f"no states under {self.path}")
         return self.spark.read.parquet(self._version(k))
 
     def statistics(self) -> DataFrame:
