@@ -34,6 +34,27 @@ def ensured_stats(spark: SparkSession, root: str, frames: DataFrame, names: list
     return found
 
 
+def _chunked(frames: DataFrame, state: list[str], action: list[str], horizon: int, *more: str) -> DataFrame:
+    """Frames numbered in their episodes, with _state, _action and the actions (and actions_is_pad) of the next horizon frames."""
+    df = frames.select(*KEYS, *more, _joined(state).alias("_state"), _joined(action).alias("_action"))
+    hot = rows.hot_keys(df.select("episode_index"), "episode_index")
+    df = chunks.frames(df, "episode_index", ["frame_index"], hot)
+    return chunks.chunk(df, "_action", horizon, frame="frame_index", name="actions", hot=hot)
+
+
+def relative_stats(frames: DataFrame, state: list[str], action: dict[str, int], moved: list[bool], horizon: int) -> DataFrame:
+    """feature, dim and exact statistics of actions relative to the state: over every frame and every step of its chunk that is real.
+
+    Steps past an episode's end are left out, as they repeat its last action; dims that moved doesn't name count as they
+    are.  action: columns with their numbers of dims, in order.  Steps are rows only on their way into partial aggregates."""
+    df = _chunked(frames, state, list(action), horizon)
+    real = F.filter(F.arrays_zip(F.col("actions").alias("v"), F.col("actions_is_pad").alias("pad")), lambda x: ~x["pad"])
+    steps = df.select("_state", F.explode(real).alias("_s")).select(V.relative(F.col("_s.v"), F.col("_state"), moved).alias("v"))
+    places = F.array(*[F.struct(F.lit(name).alias("feature"), F.lit(k).cast("long").alias("dim")) for name, n in action.items() for k in range(n)])
+    found = stats.exact_stats(stats.dims(steps, "v", []), []).withColumn("_f", F.get(places, F.col("dim").cast("int")))
+    return found.select("_f.feature", "_f.dim", *stats_files.COLUMNS)
+
+
 def _normalised(v: Column, mode: str, tree: dict, names: list[str]) -> Column:
     """A vector of the joined columns names, normalised by their statistics (one value a dim, as literals)."""
     if mode == "IDENTITY":
@@ -83,10 +104,7 @@ def trajectory_rows(spark: SparkSession, dataset: TrajectoryDataset, horizon: in
     states_tree = actions_tree = stats_files.nested(found)
     if dataset.state_relative_action:
         actions_tree = stats_files.nested(stats_files.with_relative_actions(spark, root, horizon, found))
-    df = frames.select(*KEYS, "task_index", _joined(state).alias("_state"), _joined(action).alias("_action"))
-    hot = rows.hot_keys(df.select("episode_index"), "episode_index")
-    df = chunks.frames(df, "episode_index", ["frame_index"], hot)
-    df = chunks.chunk(df, "_action", horizon, frame="frame_index", name="actions", hot=hot)
+    df = _chunked(frames, state, action, horizon, "task_index")
     if dataset.state_relative_action:
         dims = sum(len(actions_tree[c]["mean"]) for c in action)
         moved = catalog.mask(dataset.embodiment_tag, dims)
@@ -111,3 +129,39 @@ def training_rows(spark: SparkSession, path: str, **options) -> tuple[DataFrame
     for part in found:
         whole = part if whole is None else whole.unionByName(part)
     return whole, skipped
+
+
+def dataset_statistics(spark: SparkSession, dataset: TrajectoryDataset, horizon: int = 16) -> DataFrame:
+    """kind (absolute, or relative for actions relative to the state), feature, dim and statistics of a dataset's chosen columns.
+
+    Its statistics file is made where there is none and read where there is one; so is the file of relative actions over this
+    horizon, if the dataset asks for them.  A file is never made anew, so delete it when the frames change."""
+    root = dataset.root or dataset.repo_id
+    frames = episodes.read_dataset(spark, Catalog([], [dataset]), dataset.repo_id)
+    state = episodes.columns_of(frames, "observation.state", dataset.select_state_keys)
+    action = episodes.columns_of(frames, "action", dataset.select_action_keys)
+    found = ensured_stats(spark, root, frames, [*state, *action])
+    out = found.select(F.lit("absolute").alias("kind"), *found.columns)
+    if not dataset.state_relative_action:
+        return out
+    path = f"{root}/{stats_files.RELATIVE.format(horizon=horizon)}"
+    made = stats_files.read_stats(spark, path)
+    if made is None:
+        tree = stats_files.nested(found)
+        widths = {c: len(tree[c]["mean"]) for c in action}
+        moved = catalog.mask(dataset.embodiment_tag, sum(widths.values()))
+        stats_files.write_stats(relative_stats(frames, state, widths, moved, horizon), path)
+        made = stats_files.read_stats(spark, path)
+    return out.unionByName(made.select(F.lit("relative").alias("kind"), *made.columns))
+
+
+def compute_statistics(spark: SparkSession, path: str, horizon: int = 16) -> tuple[DataFrame | None, list[tuple[object, str]]]:
+    """Makes the statistics files of all trajectory datasets of a catalogue file that lack them (see dataset_statistics).
+
+    Gives dataset and its statistics (None if no dataset could be read), and the datasets that could not with their errors."""
+    datasets = catalog.read_catalog(path, spark=spark).lerobot_datasets
+    found, skipped = episodes.load_all(datasets, lambda x: dataset_statistics(spark, x, horizon).withColumn("dataset", F.lit(x.repo_id)))
+    whole = None
+    for part in found:
+        whole = part if whole is None else whole.unionByName(part)
+    return whole, skipped

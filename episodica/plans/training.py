@@ -31,12 +31,12 @@ def _dataset(spark, frames, root: str, odd: int) -> None:
     spark.createDataFrame(TASKS, episodes.TASK_SCHEMA).write.json(f"{root}/{episodes.TASKS}")
 
 
-def _catalogue(spark, d) -> str:
+def _catalogue(spark, d, odd_options: str = "train_subtask: true") -> str:
     root = new_path(spark, "catalogue")
     frames = write_table(events_as_frames(spark, d).select("event_id", "episode_index", "frame_index", "episode_length", "value"), "frames")
     for name, odd in (("even", 0), ("odd", 1)):
         _dataset(spark, frames, f"{root}/{name}", odd)
-    lines = ["lerobot_datasets:", f"- {{repo_id: even, root: '{root}/even', state_mode: MIN_MAX}}", f"- {{repo_id: gone, root: '{root}/gone'}}", f"- {{repo_id: odd, root: '{root}/odd', train_subtask: true}}", f"mm_datasets:\n- {{name: talks, json_path: '{root}/talks.jsonl', sampling_strategy: 'first:10'}}"]
+    lines = ["lerobot_datasets:", f"- {{repo_id: even, root: '{root}/even', state_mode: MIN_MAX}}", f"- {{repo_id: gone, root: '{root}/gone'}}", f"- {{repo_id: odd, root: '{root}/odd', {odd_options}}}", f"mm_datasets:\n- {{name: talks, json_path: '{root}/talks.jsonl', sampling_strategy: 'first:10'}}"]
     write_text(spark, "\n".join(lines), f"{root}/all.yaml")
     return f"{root}/all.yaml"
 
@@ -58,6 +58,18 @@ def training_rows(spark, d):
     return out
 
 
+STEPS = FRAMES + ", g AS (SELECT *, CASE WHEN episode_index % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset FROM f), x AS (SELECT dataset, 'absolute' AS kind, unnest(['observation.state', 'observation.state', 'action', 'action']) AS feature, unnest([0, 1, 0, 1]) AS dim, unnest([value, value / 2, value * 2, -value]) AS x FROM g UNION ALL SELECT 'odd', 'relative', unnest(['action', 'action']), unnest([0, 1]), unnest([b.value * 2 - a.value, -b.value - a.value / 2]) FROM g a CROSS JOIN (SELECT unnest(range(16)) AS delta) d JOIN g b ON b.episode_index = a.episode_index AND b.frame_index = a.frame_index + d.delta WHERE a.dataset = 'odd')"
+
+
+@query(STEPS + " SELECT dataset, kind, feature, dim::BIGINT AS dim, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(quantile_cont(x, 0.01), 6) AS q01, round(quantile_cont(x, 0.99), 6) AS q99 FROM x GROUP BY ALL")
+def catalog_statistics(spark, d):
+    """Statistics files of a catalogue's datasets, one of them with actions relative to the state, made and read back."""
+    found, skipped = training.compute_statistics(spark, _catalogue(spark, d, "state_relative_action: true, embodiment_tag: libero_panda"))
+    if [x.repo_id for x, _ in skipped] != ["gone"]:
+        raise ValueError(f"skipped {skipped}")
+    return found.select("dataset", "kind", "feature", "dim", *rounded("mean", "std", places=4), *rounded("min", "max", "q01", "q99"))
+
+
 @query("SELECT * FROM (VALUES ('even', 'trajectory', 'MIN_MAX', false), ('gone', 'trajectory', 'MEAN_STD', false), ('odd', 'trajectory', 'MEAN_STD', true), ('talks', 'instruction', 'first:10', false)) t(name, kind, mode, subtask) CROSS JOIN (SELECT count(DISTINCT user_id % 2) AS parts FROM events)")
 def catalog_datasets(spark, d):
     """The datasets of a catalogue, with how many of its folders hold frames."""

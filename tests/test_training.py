@@ -92,6 +92,32 @@ def test_relative_actions_and_subtasks(spark, tmp_path):
     assert {r["task"] for r in training.trajectory_rows(spark, dataset, horizon=4).select("task").collect()} >= {"Begin.", "Pick it."}
 
 
+def test_relative_statistics(spark, tmp_path):
+    """Over every frame and every real step of its chunk; the file that they make is what training rows ask for."""
+    (tmp_path / "a").mkdir()
+    data = make_dataset(spark, tmp_path / "a")
+    (tmp_path / "c.yaml").write_text(f"lerobot_datasets:\n- {{repo_id: gone, root: {tmp_path}/gone}}\n- {{repo_id: a, root: {tmp_path}/a, state_relative_action: true, embodiment_tag: libero_panda, select_action_keys: [action.arm, action.hand]}}\n")
+    found, skipped = training.compute_statistics(spark, f"{tmp_path}/c.yaml", horizon=4)
+    assert [x.repo_id for x, _ in skipped] == ["gone"]
+    steps = np.array([np.array(data[e, k + j][4] + data[e, k + j][5]) - np.array(r[3]) for (e, k), r in data.items() for j in range(4) if k + j < 7])
+    got = {(r["kind"], r["feature"], r["dim"]): r for r in found.collect()}
+    assert len(got) == 6 + 3 and {r["dataset"] for r in got.values()} == {"a"}
+    for d, place in enumerate([("action.arm", 0), ("action.arm", 1), ("action.hand", 0)]):
+        r, x = got["relative", *place], steps[:, d]
+        assert [r[c] for c in stats_files.COLUMNS] == pytest.approx([x.min(), x.max(), x.mean(), x.std(), np.quantile(x, 0.01), np.quantile(x, 0.99)])
+        assert got["absolute", *place]["mean"] == pytest.approx(np.mean([(r[4] + r[5])[d] for r in data.values()]))
+    train, _ = training.training_rows(spark, f"{tmp_path}/c.yaml", horizon=4, action_dim=3)
+    r = train.where("episode_index = 1 and frame_index = 2").first()
+    moved = np.array([np.array(data[1, 2 + j][4] + data[1, 2 + j][5]) - np.array(data[1, 2][3]) for j in range(4)])
+    assert np.allclose(np.array(r["actions"]), (moved - steps.mean(0)) / (steps.std(0) + 1e-8))
+    # files are made once
+    path = tmp_path / "a" / stats_files.RELATIVE.format(horizon=4)
+    given = {"action.arm": {"mean": [9.0, 9.0], "std": [1.0, 1.0]}}
+    spark.createDataFrame([(json.dumps(given),)], "value string").coalesce(1).write.mode("overwrite").text(str(path))
+    again, _ = training.compute_statistics(spark, f"{tmp_path}/c.yaml", horizon=4)
+    assert [r["mean"] for r in again.where("kind = 'relative'").collect()] == [9.0, 9.0]
+
+
 def test_catalogue_with_a_missing_dataset(spark, tmp_path):
     (tmp_path / "a").mkdir()
     make_dataset(spark, tmp_path / "a")
