@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.functions import text as T
+from episodica.functions import tokens as K
 from episodica.functions import vectors as V
 from episodica.operators import chunks, rows, stats, subtasks
-from episodica.sources import catalog, episodes, stats_files
-from episodica.sources.catalog import Catalog, TrajectoryDataset
+from episodica.sources import catalog, episodes, instructions, stats_files
+from episodica.sources.catalog import Catalog, InstructionDataset, TrajectoryDataset
 from episodica.sources.shared import small
 
 KEYS = ["episode_index", "frame_index"]
@@ -131,6 +132,36 @@ def training_rows(spark: SparkSession, path: str, **options) -> tuple[DataFrame
     return whole, skipped
 
 
+def instruction_rows(spark: SparkSession, dataset: InstructionDataset, most_tokens: int = 5120, system: str = "", odd: str = "error", seed: int = 42) -> DataFrame:
+    """A training row for each chosen record of an instruction dataset: dataset, record (its 0-based place in the file), media (paths),
+    num_tokens, turns and pairs (prompt and answer; the system message stands before the first prompt).
+
+    Records of more than most_tokens go first, then the dataset's sampling strategy chooses among the others in the file's order,
+    or in a seeded one.  Numbers follow the records, not the tasks that read them.  odd: as in tokens.chat_pairs."""
+    df = rows.numbered(instructions.read_instructions(spark, dataset.json_path, place=True), ["place"], "record").drop("place")
+    df = rows.sample(rows.length_filter(df, "num_tokens", most_tokens), dataset.sampling_strategy, ["record"], seed)
+    df = instructions.media_paths(instructions.turns(df), dataset.vision_base_path)
+    df = df.withColumn("pairs", K.chat_pairs(F.col("turns"), odd))
+    if head := K.system_turn(system):
+        first = lambda p, i: F.struct(F.when(i == 0, F.concat(F.lit(head), p["prompt"])).otherwise(p["prompt"]).alias("prompt"), p["answer"].alias("answer"))
+        df = df.withColumn("pairs", F.transform("pairs", first))
+    return df.select(F.lit(dataset.name).alias("dataset"), F.col("record").cast("long").alias("record"), "media", "num_tokens", "turns", "pairs")
+
+
+def sample_rows(spark: SparkSession, path: str, most_tokens: int = 5120, system: str = "", odd: str = "error", **options) -> tuple[DataFrame | None, list[tuple[object, str]]]:
+    """All training rows of a catalogue file: kind (instruction or trajectory) and the columns of instruction_rows and trajectory_rows,
+    null where a kind has none; and the datasets that could not be read with their errors (None for rows if none could).
+
+    Instruction datasets come first, each kind in the catalogue's order.  options: those of trajectory_rows."""
+    found = catalog.read_catalog(path, spark=spark)
+    talks, lost = episodes.load_all(found.mm_datasets, lambda x: instruction_rows(spark, x, most_tokens, system, odd).withColumn("kind", F.lit("instruction")))
+    frames, skipped = episodes.load_all(found.lerobot_datasets, lambda x: trajectory_rows(spark, x, **options).withColumn("kind", F.lit("trajectory")))
+    whole = None
+    for part in [*talks, *frames]:
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    return whole, lost + skipped
+
+
 def dataset_statistics(spark: SparkSession, dataset: TrajectoryDataset, horizon: int = 16) -> DataFrame:
     """kind (absolute, or relative for actions relative to the state), feature, dim and statistics of a dataset's chosen columns.
 

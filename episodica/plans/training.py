@@ -31,12 +31,12 @@ def _dataset(spark, frames, root: str, odd: int) -> None:
     spark.createDataFrame(TASKS, episodes.TASK_SCHEMA).write.json(f"{root}/{episodes.TASKS}")
 
 
-def _catalogue(spark, d, odd_options: str = "train_subtask: true") -> str:
+def _catalogue(spark, d, odd_options: str = "train_subtask: true", strategy: str = "first:10") -> str:
     root = new_path(spark, "catalogue")
     frames = write_table(events_as_frames(spark, d).select("event_id", "episode_index", "frame_index", "episode_length", "value"), "frames")
     for name, odd in (("even", 0), ("odd", 1)):
         _dataset(spark, frames, f"{root}/{name}", odd)
-    lines = ["lerobot_datasets:", f"- {{repo_id: even, root: '{root}/even', state_mode: MIN_MAX}}", f"- {{repo_id: gone, root: '{root}/gone'}}", f"- {{repo_id: odd, root: '{root}/odd', {odd_options}}}", f"mm_datasets:\n- {{name: talks, json_path: '{root}/talks.jsonl', sampling_strategy: 'first:10'}}"]
+    lines = ["lerobot_datasets:", f"- {{repo_id: even, root: '{root}/even', state_mode: MIN_MAX}}", f"- {{repo_id: gone, root: '{root}/gone'}}", f"- {{repo_id: odd, root: '{root}/odd', {odd_options}}}", f"mm_datasets:\n- {{name: talks, json_path: '{root}/talks.jsonl', sampling_strategy: '{strategy}', vision_base_path: '/media'}}"]
     write_text(spark, "\n".join(lines), f"{root}/all.yaml")
     return f"{root}/all.yaml"
 
@@ -58,6 +58,25 @@ def training_rows(spark, d):
     return out
 
 
+TALKS = ", z AS (SELECT conv_id, list(CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE role END ORDER BY turn) AS r, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id), y AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS record FROM z), w AS (SELECT *, row_number() OVER (ORDER BY record) AS k, count(*) OVER () AS n FROM y WHERE conv_id % 7 * 1000 <= 5120), v AS (SELECT *, unnest(range(len(t) // 2)) AS i FROM w WHERE k <= (60 * n + 99) // 100)"
+
+
+@query(ROWS + TALKS + " SELECT 'trajectory' AS kind, dataset, episode_index::BIGINT AS a, frame_index::BIGINT AS b, task AS text, NULL AS media FROM t UNION ALL SELECT 'instruction', 'talks', record, i, CASE WHEN i = 0 THEN '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>' || r[2 * i + 1] || chr(10) || t[2 * i + 1] || '<|im_end|>' || chr(10) || '<|im_start|>' || r[2 * i + 2] || chr(10) || CASE WHEN t[2 * i + 2] = '' THEN '' ELSE t[2 * i + 2] || '<|im_end|>' || chr(10) END, CASE WHEN conv_id % 2 = 0 THEN '/media/' || conv_id || '.png' END FROM v")
+def catalog_samples(spark, d):
+    """Instruction and trajectory rows of one catalogue; a row for each chat pair and for each frame."""
+    path = _catalogue(spark, d, strategy="first:60%")
+    turn = F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    record = F.struct(F.transform("t", lambda x: x.dropFields("turn")).alias("conversations"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.col("conv_id").cast("string"), F.lit(".png"))).alias("image"), (F.col("conv_id") % 7 * 1000).alias("num_tokens"))
+    talks.orderBy("conv_id").select(F.to_json(record)).write.text(f"{path.removesuffix('all.yaml')}talks.jsonl")
+    found, skipped = training.sample_rows(spark, path, system="Be brief.", odd="drop")
+    if [x.repo_id for x, _ in skipped] != ["gone"]:
+        raise ValueError(f"skipped {skipped}")
+    out = found.select("kind", "dataset", "record", "episode_index", "frame_index", "task", F.get("media", F.lit(0)).alias("media"), F.posexplode_outer("pairs").alias("i", "p"))
+    out = out.where("kind = 'trajectory' or i is not null")
+    return out.select("kind", "dataset", F.coalesce("record", "episode_index").alias("a"), F.coalesce(F.col("i").cast("long"), "frame_index").alias("b"), F.coalesce(F.concat("p.prompt", "p.answer"), "task").alias("text"), "media")
+
+
 STEPS = FRAMES + ", g AS (SELECT *, CASE WHEN episode_index % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset FROM f), x AS (SELECT dataset, 'absolute' AS kind, unnest(['observation.state', 'observation.state', 'action', 'action']) AS feature, unnest([0, 1, 0, 1]) AS dim, unnest([value, value / 2, value * 2, -value]) AS x FROM g UNION ALL SELECT 'odd', 'relative', unnest(['action', 'action']), unnest([0, 1]), unnest([b.value * 2 - a.value, -b.value - a.value / 2]) FROM g a CROSS JOIN (SELECT unnest(range(16)) AS delta) d JOIN g b ON b.episode_index = a.episode_index AND b.frame_index = a.frame_index + d.delta WHERE a.dataset = 'odd')"
 
 

@@ -128,6 +128,49 @@ def test_catalogue_with_a_missing_dataset(spark, tmp_path):
     assert none is None and len(skipped) == 1
 
 
+def talk(n, tokens=None, **media):
+    turns = [{"from": "human", "value": f"q{n} <image>\nsee"}, {"from": "gpt", "value": f"a{n}"}]
+    return json.dumps({"conversations": turns, "num_tokens": tokens, **media})
+
+
+def test_instruction_rows_keep_the_order_of_files(spark, tmp_path):
+    (tmp_path / "t.jsonl").mkdir()
+    sizes = {"part-00000": 3, "part-00001": 400, "part-00002": 40}  # tasks read large files first
+    records, n = [], 0
+    for name, size in sizes.items():
+        part = [talk(n + k, 9000 if (n + k) % 10 == 0 else None if (n + k) % 10 == 1 else 50, image=f"{n + k}.png") for k in range(size)]
+        (tmp_path / "t.jsonl" / f"{name}.jsonl").write_text("\n".join(part))
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for split in ("10000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            for strategy in ("all", "first:5", "end:5", "random:25%"):
+                dataset = catalog.InstructionDataset("t", f"{tmp_path}/t.jsonl", strategy, "/base")
+                records = sorted(training.instruction_rows(spark, dataset, most_tokens=100, system="S").collect(), key=lambda r: r["record"])
+                assert all(r["pairs"][0]["prompt"].startswith(f"<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nq{r['record']}<|vision_start|>") for r in records)
+                assert all(r["media"] == [f"/base/{r['record']}.png"] for r in records)
+                seen.append([r["record"] for r in records])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    kept = [k for k in range(443) if k % 10]
+    assert seen[0] == kept and seen[1] == kept[:5] and seen[2] == kept[-5:] and len(seen[3]) == -(-len(kept) // 4)
+    assert seen[:4] == seen[4:]
+
+
+def test_rows_of_both_kinds(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    make_dataset(spark, tmp_path / "a")
+    (tmp_path / "t.json").write_text("[" + ",".join([talk(0), talk(1, video="v.mp4")]) + "]")
+    (tmp_path / "c.yaml").write_text(f"lerobot_datasets:\n- {{repo_id: a, root: {tmp_path}/a}}\nmm_datasets:\n- {{name: t, json_path: {tmp_path}/t.json}}\n- {{name: bad, json_path: {tmp_path}/t.txt}}\n- {{name: lost, json_path: {tmp_path}/lost.json}}\n")
+    found, skipped = training.sample_rows(spark, f"{tmp_path}/c.yaml", horizon=2)
+    assert [x.name for x, _ in skipped] == ["bad", "lost"]
+    assert {(r["kind"], r["n"]) for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {("instruction", 2), ("trajectory", 21)}
+    assert found.where("kind = 'instruction' and actions is null and record = 1").first()["media"] == ["v.mp4"]
+    assert found.where("kind = 'trajectory' and pairs is null and size(actions) = 2").count() == 21
+
+
 def test_replay(spark, tmp_path):
     path = f"{tmp_path}/r"
     recorded.record(spark.range(103), path, ["id"], 5, 3)
