@@ -17,8 +17,9 @@ PART = "t AS (SELECT p_partkey, p_size, list_transform(range(0, p_size + 1), lam
 
 
 def _part(spark, d):
+    """Token rows: ids is a column of its own, which filters and lambdas of later steps read but don't compute anew."""
     ids = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_size").cast("long")), lambda i: (i * F.col("p_partkey") + i) % 13)
-    return table(spark, d, "part").select("p_partkey", "p_size", ids.alias("ids"))
+    return P.fixed(table(spark, d, "part").select("p_partkey", "p_size"), ids=ids)
 
 
 def _text(ids):
@@ -80,8 +81,8 @@ SPANS = PART + ", m AS (SELECT *, coalesce((SELECT min(i) FROM (SELECT unnest(ra
 
 
 def _spans(spark, d):
-    ids = F.col("ids")
-    return _part(spark, d).withColumn("span", K.spans(ids, T.find(ids, [3, 4]), 7, 5, 9))
+    marked = P.fixed(_part(spark, d), marker=T.find(F.col("ids"), [3, 4]))
+    return P.fixed(marked, span=K.spans(F.col("ids"), F.col("marker"), 7, 5, 9))
 
 
 @query("WITH " + SPANS + " SELECT p_partkey, marker AS instruction_start, goal + 1 AS instruction_end, goal AS goal_pos, a AS action_start, b AS action_end_pos FROM s WHERE ok")
@@ -92,8 +93,9 @@ def action_spans(spark, d):
 @query("WITH " + SPANS + ", e AS (SELECT p_partkey, CASE WHEN ok THEN list_concat(list_concat(ids, CASE WHEN b >= a THEN ids[a + 1:b + 1] ELSE [] END), [11, 12]) ELSE ids END AS ids, CASE WHEN ok THEN list_concat(list_concat(range(len(ids)), CASE WHEN b >= a THEN range(a, b + 1) ELSE [] END), [0, 1]) ELSE range(len(ids)) END AS pos, len(ids) AS n FROM s WHERE b >= a OR NOT ok) SELECT p_partkey, array_to_string(ids, ',') AS ids, array_to_string(pos, ',') AS positions, (len(ids) - n)::BIGINT AS ignored FROM e")
 def sequence_extend(spark, d):
     x = _spans(spark, d).where("span is null or span.action_end_pos >= span.action_start")
-    positions = F.transform("ids", lambda v, i: i.cast("long"))
-    out = x.select("p_partkey", K.extended(F.col("ids"), F.col("ids"), positions, F.col("span"), F.array(F.lit(11).cast("long"), F.lit(12).cast("long"))).alias("s"))
+    x = P.fixed(x, positions=F.transform("ids", lambda v, i: i.cast("long")))
+    goal = F.array(F.lit(11).cast("long"), F.lit(12).cast("long"))
+    out = P.fixed(x, s=K.extended(F.col("ids"), F.col("ids"), F.col("positions"), F.col("span"), goal))
     return out.select("p_partkey", _text(F.col("s.ids")).alias("ids"), _text(F.col("s.positions")).alias("positions"), F.size(F.filter("s.labels", lambda v: v == K.IGNORE)).cast("long").alias("ignored"))
 
 
