@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +66,13 @@ def span(tokens: Column, marker: int, goal: int) -> Column:
 
 
 def find(tokens: Column, pattern: list[int]) -> Column:
-    """0-based place of the first occurrence of pattern, -1 without any."""
-    k = len(pattern)
-    want = F.array(*[F.lit(p).cast("long") for p in pattern])
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: (i + F.lit(k - 1) <= F.size(tokens)) & (F.slice(tokens, i, F.lit(k)) == want))
-    return F.coalesce(F.get(places, F.lit(0)) - 1, F.lit(-1))
+    """0-based place of the first occurrence of pattern, -1 without any; a place is looked at no further than its first other token.
+
+    tokens should be a column that is there, not an expression, as it is read at every place."""
+    if not pattern:
+        return F.when(tokens.isNotNull(), 0).otherwise(-1)
+    at = lambda x, i: reduce(lambda a, b: a & b, [x == pattern[0], *[F.get(tokens, i + k) == p for k, p in enumerate(pattern[1:], 1)]])
+    return F.coalesce(F.array_position(F.transform(tokens, at), True) - 1, F.lit(-1)).cast("int")
 
 
 def discount(steps_to_go: Column, gamma: float = 0.99) -> Column:

@@ -23,7 +23,7 @@ def _part(spark, d):
 
 
 def _text(ids):
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return F.array_join(ids.cast("array<string>"), ",")
 
 
 @query("WITH c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn) AS t FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, i AS pair, t[2 * i + 1] AS q, t[2 * i + 2] AS a FROM (SELECT conv_id, t, unnest(range(len(t) // 2)) AS i FROM c)) SELECT conv_id, pair, '<|im_start|>' || q.r || chr(10) || q.t || '<|im_end|>' || chr(10) || '<|im_start|>' || a.r || chr(10) AS prompt, CASE WHEN a.t = '' THEN '' ELSE a.t || '<|im_end|>' || chr(10) END AS answer FROM p")

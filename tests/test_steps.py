@@ -1,7 +1,9 @@
 """Steps of long queries are taken once, and as many files are written as the input needs."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from episodica.functions import text as T
 from episodica.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -12,3 +14,18 @@ def test_token_rows_are_made_once(spark, name):
     """A filter on what was found in a token row doesn't make the row anew for each of its places."""
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(sequence(") == 1
+
+
+def test_find(spark):
+    """The first place of patterns of any length, in rows that are empty, null, hold nulls or end inside a match."""
+    data = [None, [], [3], [3, 4], [4, 3, 4, 3, 4], [3, None, 4], [None, 3, 4], [3, 3, 4], [1, 2, 3]]
+    df = spark.createDataFrame(list(enumerate(data)), "id int, ids array<bigint>")
+    for pattern in ([], [3], [3, 4], [3, 4, 3], [2, 3, 4]):
+        want = {i: next((k for k in range(len(x) - len(pattern) + 1) if x[k : k + len(pattern)] == pattern), -1) if x is not None else -1 for i, x in enumerate(data)}
+        assert {r["id"]: r["at"] for r in df.select("id", T.find(F.col("ids"), pattern).alias("at")).collect()} == want
+
+
+def test_find_takes_no_slices(spark):
+    """A place is left at its first other token: no part of the row is copied for it."""
+    plan = catalogue.QUERIES["subsequence_search"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "array_position(" in plan
