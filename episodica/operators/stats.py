@@ -21,14 +21,14 @@ def dims(df: DataFrame, vector: str | Column, keys: list[str]) -> DataFrame:
 
 def exact_stats(components: DataFrame, keys: list[str], bins: int = 4096) -> DataFrame:
     """min, max, mean, population std and interpolated 1 % and 99 % quantiles of x by keys and dim: one aggregation for all
-    dims, after a count of the largest group."""
+    dims for groups that one task may hold; else quantiles by exact_quantiles, beside the first aggregation."""
     by = [*keys, "dim"]
     plain = [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
-    most = components.groupBy(*by).agg(F.count("x").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    out = cut(components.groupBy(*by).agg(*plain, F.count("x").alias("_n")))
+    most = out.agg(F.max("_n")).first()[0] or 0
     if most <= GROUP_VALUES:
         out = components.groupBy(*by).agg(*plain, F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_q"))
         return out.withColumns({"q01": F.col("_q")[0], "q99": F.col("_q")[1]}).drop("_q")
-    out = cut(components.groupBy(*by).agg(*plain, F.count("x").alias("_n")))
     q = exact_quantiles(components, out.select(*by, "min", "max", "_n"), by, {"q01": 0.01, "q99": 0.99}, bins)
     return _matched(out, q, by).drop("_n")
 
@@ -48,7 +48,7 @@ def exact_quantiles(components: DataFrame, spans: DataFrame, by: list[str], quan
     spans = small(spans)
     width = (F.col("max") - F.col("min")) / bins
     cell = F.when(F.col("max") > F.col("min"), F.least(F.floor((F.col("x") - F.col("min")) / width), F.lit(bins - 1))).otherwise(0).cast("long")
-    binned = _matched(components.select(*by, "x"), spans.select(*by, "min", "max"), by, "inner").select(*by, "x", cell.alias("_bin"))
+    binned = _matched(components.select(*by, "x").where("x is not null"), spans.select(*by, "min", "max"), by, "inner").select(*by, "x", cell.alias("_bin"))
     counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin")) - F.col("_c"))  # bins of a group
     rank = lambda q: F.lit(q) * (F.col("_n") - 1)

@@ -26,33 +26,33 @@ def ensured_stats(spark: SparkSession, root: str, frames: DataFrame, names: list
     path = f"{root}/{stats_files.STATS}"
     found = stats_files.read_stats(spark, path)
     if found is None:
-        parts = [stats.dims(frames.select(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("v")), "v", ["feature"]) for c in names]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.union(part)
-        stats_files.write_stats(stats.exact_stats(whole, ["feature"]), path)
+        vectors = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("array<double>").alias("v")) for c in names])
+        stats_files.write_stats(stats.exact_stats(stats.dims(frames.select(F.inline(vectors)), "v", ["feature"]), ["feature"]), path)
         found = stats_files.read_stats(spark, path)
     return found
 
 
-def _chunked(frames: DataFrame, state: list[str], action: list[str], horizon: int, *more: str) -> DataFrame:
-    """Frames numbered in their episodes, with _state, _action and the actions (and actions_is_pad) of the next horizon frames."""
+def _numbered(frames: DataFrame, state: list[str], action: list[str], *more: str) -> tuple[DataFrame, DataFrame | None]:
+    """Frames numbered in their episodes, with _state and _action; and the hot episodes."""
     df = frames.select(*KEYS, *more, _joined(state).alias("_state"), _joined(action).alias("_action"))
     hot = rows.hot_keys(df.select("episode_index"), "episode_index")
-    df = chunks.frames(df, "episode_index", ["frame_index"], hot)
-    return chunks.chunk(df, "_action", horizon, frame="frame_index", name="actions", hot=hot)
+    return chunks.frames(df, "episode_index", ["frame_index"], hot), hot
 
 
 def relative_stats(frames: DataFrame, state: list[str], action: dict[str, int], moved: list[bool], horizon: int) -> DataFrame:
     """feature, dim and exact statistics of actions relative to the state: over every frame and every step of its chunk that is real.
 
     Steps past an episode's end are left out, as they repeat its last action; dims that moved doesn't name count as they
-    are.  action: columns with their numbers of dims, in order.  Steps are rows only on their way into partial aggregates."""
-    df = _chunked(frames, state, list(action), horizon)
-    real = F.filter(F.arrays_zip(F.col("actions").alias("v"), F.col("actions_is_pad").alias("pad")), lambda x: ~x["pad"])
-    steps = df.select("_state", F.explode(real).alias("_s")).select(V.relative(F.col("_s.v"), F.col("_state"), moved).alias("v"))
+    are.  action: columns with their numbers of dims, in order.  Steps are rows only on their way into partial aggregates, and
+    their dims are told apart from the state's by place, as V.relative does, but without a lambda for each step."""
+    df, hot = _numbered(frames, state, list(action))
+    steps = chunks.ahead(df, "_action", horizon, name="_steps", hot=hot).select("_state", F.inline("_steps"))
+    beside = F.slice(F.coalesce("_state", F.array().cast("array<double>")), F.lit(1), F.size("v"))
+    met = steps.select(F.posexplode(F.arrays_zip("v", beside.alias("s"))).alias("dim", "_x"))
+    less = F.when(F.coalesce(F.get(F.array(*[F.lit(x) for x in moved]).cast("array<boolean>"), F.col("dim")), F.lit(False)), F.coalesce("_x.s", F.lit(0.0)) * F.lit(-1.0)).otherwise(F.lit(0.0))
+    components = met.select(F.col("dim").cast("long").alias("dim"), (F.col("_x.v") + less).alias("x"))
     places = F.array(*[F.struct(F.lit(name).alias("feature"), F.lit(k).cast("long").alias("dim")) for name, n in action.items() for k in range(n)])
-    found = stats.exact_stats(stats.dims(steps, "v", []), []).withColumn("_f", F.get(places, F.col("dim").cast("int")))
+    found = stats.exact_stats(components, []).withColumn("_f", F.get(places, F.col("dim").cast("int")))
     return found.select("_f.feature", "_f.dim", *stats_files.COLUMNS)
 
 
@@ -105,7 +105,8 @@ def trajectory_rows(spark: SparkSession, dataset: TrajectoryDataset, horizon: in
     states_tree = actions_tree = stats_files.nested(found)
     if dataset.state_relative_action:
         actions_tree = stats_files.nested(stats_files.with_relative_actions(spark, root, horizon, found))
-    df = _chunked(frames, state, action, horizon, "task_index")
+    df, hot = _numbered(frames, state, action, "task_index")
+    df = chunks.chunk(df, "_action", horizon, name="actions", hot=hot)
     if dataset.state_relative_action:
         dims = sum(len(actions_tree[c]["mean"]) for c in action)
         moved = catalog.mask(dataset.embodiment_tag, dims)

@@ -22,7 +22,8 @@ def _dataset(spark, frames, root: str, odd: int) -> None:
     frames = frames.where(F.col("episode_index") % 2 == odd)
     value = F.col("value")
     made = frames.select("episode_index", "frame_index", (F.col("event_id") % 3).alias("task_index"), F.array(value, value / 2).alias("observation.state"), F.array(value * 2, -value).alias("action"), F.floor(F.col("episode_index") / 1000).alias("chunk"))
-    made.write.partitionBy("chunk").parquet(f"{root}/data")
+    # by range, so that a task writes into few chunks: no more files than tasks and chunks together
+    made.repartitionByRange("episode_index", "frame_index").write.partitionBy("chunk").parquet(f"{root}/data")
     write_text(spark, json.dumps(INFO), f"{root}/{episodes.INFO}")
     name = F.concat(F.lit("episode "), F.col("episode_index").cast("string"))
     half = F.floor(F.col("episode_length") / 2).cast("string")

@@ -1,10 +1,14 @@
 """Steps of long queries are taken once, and as many files are written as the input needs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import text as T
+from episodica.operators import stats, training
 from episodica.plans import catalogue
+from episodica.plans import training as plans
+from episodica.sources import stats_files
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,3 +33,35 @@ def test_find_takes_no_slices(spark):
     """A place is left at its first other token: no part of the row is copied for it."""
     plan = catalogue.QUERIES["subsequence_search"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and "array_position(" in plan
+
+
+def test_files_of_a_dataset(spark, tmp_path):
+    """As many files as tasks and chunks of episodes together, not one for each pair of them."""
+    frames = spark.range(0, 12000, 1, 8).select(F.col("id").alias("event_id"), (F.pmod(F.xxhash64("id"), F.lit(6000)) * 2).alias("episode_index"), F.col("id").alias("frame_index"), F.lit(2).cast("long").alias("episode_length"), F.rand(1).alias("value"))
+    plans._dataset(spark, frames, f"{tmp_path}/d", 0)
+    files = list((tmp_path / "d/data").glob("chunk=*/*.parquet"))
+    chunks = {f.parent.name for f in files}
+    assert len(chunks) == 12 and len(files) <= 12 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{tmp_path}/d/data").count() == 12000
+
+
+def test_relative_statistics_of_odd_states(spark):
+    """States that are null or shorter than the action leave dims as they are; components that are null don't count, with many values a group or few."""
+    data = [(e, k, None if e == 1 else [0.5 * k, None] if e == 2 else [float(k)], [1.0 + k * k, None if k == 2 else -3.0 * k, 7.0 * e]) for e in range(3) for k in range(5)]
+    frames = spark.createDataFrame(data, "episode_index long, frame_index long, s array<double>, a array<double>")
+    rows = {(e, k): (s or [], a) for e, k, s, a in data}
+    values = {d: [] for d in range(3)}
+    for (e, k), (s, _) in rows.items():
+        for j in range(k, min(k + 3, 5)):
+            for d, x in enumerate(rows[e, j][1]):
+                if x is not None:
+                    values[d].append(x - ((s[d] if d < len(s) else None) or 0.0 if d < 2 else 0.0))
+    before = stats.GROUP_VALUES
+    try:
+        for stats.GROUP_VALUES in (before, 4):
+            got = {r["dim"]: r for r in training.relative_stats(frames, ["s"], {"a": 3}, [True, True, False], 3).collect()}
+            for d, x in values.items():
+                want = [min(x), max(x), np.mean(x), np.std(x), np.quantile(x, 0.01), np.quantile(x, 0.99)]
+                assert [got[d][c] for c in stats_files.COLUMNS] == pytest.approx(want)
+    finally:
+        stats.GROUP_VALUES = before
