@@ -51,9 +51,11 @@ def media_tokens(t: Column, h: Column, w: Column, merge: int = 2) -> Column:
     return F.floor(t * h * w / (merge * merge)).cast("long")
 
 
-def prompt(cameras: Column, bins: Column, instruction: Column) -> Column:
-    """Camera lines, the binned state, the instruction and the request."""
-    lines = F.array_join(F.transform(cameras, lambda c: F.concat(camera_caption(c), F.lit(": "), F.lit(VISION))), "\n")
+def prompt(cameras: Column | list[str], bins: Column, instruction: Column) -> Column:
+    """Camera lines, the binned state, the instruction and the request; cameras given as a list make a constant."""
+    line = lambda c: F.concat(camera_caption(c), F.lit(": "), F.lit(VISION))
+    made = F.transform(cameras, line) if isinstance(cameras, Column) else F.array(*[line(F.lit(c)) for c in cameras]).cast("array<string>")
+    lines = F.array_join(made, "\n")
     return F.concat(lines, F.lit("\nState: "), F.array_join(F.transform(bins, lambda b: b.cast("string")), " "), F.lit("\nInstruction: "), instruction, F.lit("\nPredict the next actions."))
 
 

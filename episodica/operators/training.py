@@ -105,20 +105,26 @@ def trajectory_rows(spark: SparkSession, dataset: TrajectoryDataset, horizon: in
     states_tree = actions_tree = stats_files.nested(found)
     if dataset.state_relative_action:
         actions_tree = stats_files.nested(stats_files.with_relative_actions(spark, root, horizon, found))
+    # joined before actions are gathered, so no join moves whole chunks
     df, hot = _numbered(frames, state, action, "task_index")
-    df = chunks.chunk(df, "_action", horizon, name="actions", hot=hot)
+    df = _instruction(df, meta, dataset, seed)
+    mode = V.mode_of("ACTION", dataset.state_mode)
     if dataset.state_relative_action:
+        df = chunks.chunk(df, "_action", horizon, name="actions", hot=hot)
         dims = sum(len(actions_tree[c]["mean"]) for c in action)
         moved = catalog.mask(dataset.embodiment_tag, dims)
         df = df.withColumn("actions", F.transform("actions", lambda a: V.relative(a, F.col("_state"), moved)))
-    df = _instruction(df, meta, dataset, seed)
-    mode = V.mode_of("ACTION", dataset.state_mode)
-    # in two steps: pad reads its vector several times, and a lambda would compute it anew for each
-    actions = F.transform(F.transform("actions", lambda a: _normalised(a, mode, actions_tree, action)), lambda a: V.pad(a, action_dim))
+        # in two steps: pad reads its vector several times, and a lambda would compute it anew for each
+        actions = F.transform(F.transform("actions", lambda a: _normalised(a, mode, actions_tree, action)), lambda a: V.pad(a, action_dim))
+        df = df.withColumn("actions", actions)
+    else:
+        # a frame's action is the same in every chunk, so it is normalised and padded once
+        df = df.withColumn("_value", _normalised(F.col("_action"), mode, actions_tree, action)).withColumn("_value", V.pad(F.col("_value"), action_dim))
+        df = chunks.chunk(df, "_value", horizon, name="actions", hot=hot)
     binned = F.transform(_normalised(F.col("_state"), V.mode_of("STATE"), states_tree, state), lambda s: V.state_bin(s, bins))
     names = F.array(*[F.lit(c) for c in cameras]).cast("array<string>")
-    df = df.withColumns({"dataset": F.lit(dataset.repo_id), "cameras": names, "state_bins": binned, "actions": actions, "action_dof_mask": V.pad_mask(F.col("_action"), action_dim), "weight": T.discount(F.col("steps_to_go"), gamma)})
-    df = df.withColumn("prompt", T.prompt(F.col("cameras"), F.col("state_bins"), F.col("task")))
+    df = df.withColumns({"dataset": F.lit(dataset.repo_id), "cameras": names, "state_bins": binned, "action_dof_mask": V.pad_mask(F.col("_action"), action_dim), "weight": T.discount(F.col("steps_to_go"), gamma)})
+    df = df.withColumn("prompt", T.prompt(list(cameras), F.col("state_bins"), F.col("task")))
     return df.select("dataset", *KEYS, "task", "cameras", "prompt", "state_bins", "actions", "actions_is_pad", "action_dof_mask", "steps_to_go", "weight").withColumnRenamed("actions_is_pad", "action_is_pad")
 
 

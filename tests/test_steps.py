@@ -8,7 +8,8 @@ from episodica.functions import text as T
 from episodica.operators import stats, training
 from episodica.plans import catalogue
 from episodica.plans import training as plans
-from episodica.sources import stats_files
+from episodica.sources import catalog, stats_files
+from test_training import make_dataset
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,3 +66,12 @@ def test_relative_statistics_of_odd_states(spark):
                 assert [got[d][c] for c in stats_files.COLUMNS] == pytest.approx(want)
     finally:
         stats.GROUP_VALUES = before
+
+
+def test_training_rows_join_before_they_gather(spark, tmp_path):
+    """Chunks of actions are gathered last, of vectors that are ready, and what is the same in every row is a constant."""
+    make_dataset(spark, tmp_path)
+    out = training.trajectory_rows(spark, catalog.TrajectoryDataset("toy", str(tmp_path)), horizon=4, action_dim=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[plan.index("collect_list(") :] and "Join" not in plan[: plan.index("collect_list(")]
+    assert "Camera top: <|vision_start|>" in plan
