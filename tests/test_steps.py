@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import text as T
-from episodica.operators import stats, training
+from episodica.operators import chunks, rows, stats, training
 from episodica.plans import catalogue
 from episodica.plans import training as plans
 from episodica.sources import catalog, stats_files
@@ -41,8 +41,8 @@ def test_files_of_a_dataset(spark, tmp_path):
     frames = spark.range(0, 12000, 1, 8).select(F.col("id").alias("event_id"), (F.pmod(F.xxhash64("id"), F.lit(6000)) * 2).alias("episode_index"), F.col("id").alias("frame_index"), F.lit(2).cast("long").alias("episode_length"), F.rand(1).alias("value"))
     plans._dataset(spark, frames, f"{tmp_path}/d", 0)
     files = list((tmp_path / "d/data").glob("chunk=*/*.parquet"))
-    chunks = {f.parent.name for f in files}
-    assert len(chunks) == 12 and len(files) <= 12 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = {f.parent.name for f in files}
+    assert len(parts) == 12 and len(files) <= 12 + int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spark.read.parquet(f"{tmp_path}/d/data").count() == 12000
 
 
@@ -50,11 +50,11 @@ def test_relative_statistics_of_odd_states(spark):
     """States that are null or shorter than the action leave dims as they are; components that are null don't count, with many values a group or few."""
     data = [(e, k, None if e == 1 else [0.5 * k, None] if e == 2 else [float(k)], [1.0 + k * k, None if k == 2 else -3.0 * k, 7.0 * e]) for e in range(3) for k in range(5)]
     frames = spark.createDataFrame(data, "episode_index long, frame_index long, s array<double>, a array<double>")
-    rows = {(e, k): (s or [], a) for e, k, s, a in data}
+    by_frame = {(e, k): (s or [], a) for e, k, s, a in data}
     values = {d: [] for d in range(3)}
-    for (e, k), (s, _) in rows.items():
+    for (e, k), (s, _) in by_frame.items():
         for j in range(k, min(k + 3, 5)):
-            for d, x in enumerate(rows[e, j][1]):
+            for d, x in enumerate(by_frame[e, j][1]):
                 if x is not None:
                     values[d].append(x - ((s[d] if d < len(s) else None) or 0.0 if d < 2 else 0.0))
     before = stats.GROUP_VALUES
@@ -75,3 +75,13 @@ def test_training_rows_join_before_they_gather(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan[plan.index("collect_list(") :] and "Join" not in plan[: plan.index("collect_list(")]
     assert "Camera top: <|vision_start|>" in plan
+
+
+def test_hot_episodes_make_the_same_training_rows(spark, tmp_path, monkeypatch):
+    make_dataset(spark, tmp_path)
+    dataset = catalog.TrajectoryDataset("toy", str(tmp_path))
+    made = lambda: sorted(map(str, training.trajectory_rows(spark, dataset, horizon=4, action_dim=5).collect()))
+    want = made()
+    monkeypatch.setattr(rows, "HOT_ROWS", 5)
+    monkeypatch.setattr(chunks, "BLOCK_ROWS", 4)
+    assert made() == want
